@@ -5,8 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_table, token_counts
-from .common import table
+from . import langid, piece_table, sharding, token_counts, warc
+from .common import crc32_text, shared_dir, table
+
+
+def fold(id_col: str = "doc_id"):
+    """crc32 of the id as text, mod 4; the fold 2 is held out."""
+    return F.pmod(crc32_text(F.col(id_col)), F.lit(4))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold() == 2, F.lit(False))
+    predicted = langid.predict(docs, langid.fit(docs, ~held_out))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_records(indexed, shared_dir(spark)).drop("payload")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +46,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_warc": op4_warc,
+    "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_token_counts": op9_token_counts,
 }
