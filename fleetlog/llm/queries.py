@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, piece_table, sharding, token_counts, warc
+from . import iblt, langid, piece_table, sharding, token_counts, warc
 from .common import crc32_text, shared_dir, table
 
 
@@ -14,6 +14,10 @@ def fold(id_col: str = "doc_id"):
     return F.pmod(crc32_text(F.col(id_col)), F.lit(4))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold() == 2, F.lit(False))
@@ -46,6 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
     "op4_warc": op4_warc,
     "op6_sharding": op6_sharding,
