@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, langid, piece_table, sharding, token_counts, warc
+from . import iblt, langid, mixing, path_join, piece_table, range_join, sharding, token_counts, warc
 from .common import crc32_text, shared_dir, table
 
 
@@ -25,11 +25,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_records(indexed, shared_dir(spark)).drop("payload")
 
 
+def op5_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -49,13 +57,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
+    "op5_range_join": op5_range_join,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
