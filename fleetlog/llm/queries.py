@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, langid, mixing, path_join, piece_table, range_join, sharding, token_counts, warc
+from . import iblt, langid, mixing, path_join, piece_table, range_join, sharding, suffix_dedup, token_counts, warc
 from .common import crc32_text, shared_dir, table
 
 
@@ -52,6 +52,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_range_join": op5_range_join,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
