@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches_of
 
@@ -63,17 +64,24 @@ class Model:
         return (flags.astype(np.float32) @ self.weights) / np.maximum(norms, 1)
 
 
-def solve(flags: np.ndarray, labels: list[str], landmarks: int, ridge: float) -> Model:
-    """Nyström features on landmarks taken in turn from each language, then kernel ridge regression."""
+def solve(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, block: int = 256) -> Model:
+    """Nyström features on landmarks taken in turn from each language, then kernel ridge regression.
+
+    `bits` has packed rows; only `block` of them, and the landmarks, are unpacked at a time.
+    """
     langs = sorted(set(labels))
     own = [[i for i, x in enumerate(labels) if x == lang] for lang in langs]
     order = [rows[k] for k in range(max(map(len, own))) for rows in own if k < len(rows)]
-    unit = flags.astype(np.float64) / np.sqrt(np.maximum(flags.sum(1, keepdims=True), 1))
-    marks = unit[order[:landmarks]]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    keep = values > 1e-8 * values.max()
+
+    def unit(packed: np.ndarray) -> np.ndarray:
+        flags = np.unpackbits(packed, axis=1).astype(np.float32)
+        return flags / np.sqrt(np.maximum(flags.sum(1, keepdims=True), 1))
+
+    marks = unit(bits[order[:landmarks]])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = unit @ marks.T @ root
+    features = np.concatenate([(unit(bits[low : low + block]) @ marks.T) @ root for low in range(0, len(bits), block)])
     target = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     beta = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ target)
     return Model(langs, (marks.T @ (root @ beta)).astype(np.float32))
@@ -104,23 +112,24 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
         return None
     rng = np.random.default_rng(0)
     got = [got[i] for i in rng.permutation(len(got))]
-    flags = np.unpackbits(np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool)
-    return solve(flags, [lang for lang, _ in got], landmarks, ridge)
+    bits = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1)
+    return solve(bits, [lang for lang, _ in got], landmarks, ridge)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:
-    """One row per row of `docs`: id, lang_pred, score.
+def annotate(docs: DataFrame, model: Model | None, text_col: str = "text", block: int = 256) -> DataFrame:
+    """`docs` with lang_pred and score, in place of columns of these names.
 
     Only the text decides. A null text, or one without a letter, is `und` with
     score 0; so is every text if there was nothing to learn from. Ties go to the
-    first language by name. An empty table gives none; other columns are not read.
+    first language by name. An empty table stays empty.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.drop("lang_pred", "score")
+    at_text = docs.columns.index(text_col)
 
     def run(batches):
         letters = letter_table()
         for batch in batches:
-            for start, part in batches_of(batch.column(1), 8 << 20):
+            for start, part in batches_of(batch.column(at_text), 8 << 20):
                 langs, scores = [UNKNOWN] * len(part), np.zeros(len(part))
                 texts = part.to_pylist()
                 for low in range(0, len(texts), block):
@@ -130,6 +139,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         made = model.scores(np.stack([x for x in found if x is not None]))
                         for i, best, value in zip(at, made.argmax(1), made.max(1)):
                             langs[i], scores[i] = model.langs[best], min(1.0, max(0.0, (float(value) + 1) / 2))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
+                rest = batch.slice(start, len(part))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*rest.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: id, lang_pred, score, as in annotate(); other columns are not read."""
+    return annotate(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)), model, text_col).drop(text_col)
