@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, cut_table
 
 CELLS = 12
-BLOCK_CELLS = 24
+BLOCK_CELLS = 48
+SMALL = 40
+SMALL_CELLS = 48
 PARTS = 3
 ROUNDS = 12
 LEVELS = 14
@@ -79,36 +81,27 @@ def _likeness(own: str, other: str, found: str) -> str:
 def differences(pairs: DataFrame) -> DataFrame:
     """(pair, found) from rows (pair, one, other) of digest arrays: how many digests only one side has.
 
-    Larger tables are tried for the pairs that fail, until none does.
+    A small pair is tried with a table of 48 cells in its own row; for the others,
+    and where that fails, the digests are dealt to blocks, four times as many in
+    each round, until every block of a pair peels.
     """
-    done, left = [], pairs
+    small = F.size("one") + F.size("other") <= SMALL
+    tried = cut_table(
+        pairs.withColumn("small", small).withColumn("p", F.when(F.col("small"), F.expr(peel(subtract(build("one", SMALL_CELLS, "1"), build("other", SMALL_CELLS, "1")), SMALL_CELLS, "1"))))
+        .select("pair", F.when(~F.coalesce("p.clean", F.lit(False)), F.col("one")).alias("one"), F.when(~F.coalesce("p.clean", F.lit(False)), F.col("other")).alias("other"), F.when(F.col("p.clean"), F.col("p.found")).cast("long").alias("found"))
+    )
+    out, left = tried.where("found is not null").select("pair", "found"), tried.where("found is null").select("pair", "one", "other")
     for level in range(1, LEVELS + 1):
-        blocks = 4**level
-        sides = left.select("pair", F.explode(F.expr("concat(transform(one, d -> named_struct('s', 1, 'd', d)), transform(other, d -> named_struct('s', -1, 'd', d)))")).alias("e"))
-        part = BLOCK_CELLS // PARTS
-        cells = (
-            sides.select("pair", F.expr(f"cast(pmod(xxhash64(e.d, {level}, 55), {blocks}) as int)").alias("block"), "e.s", "e.d")
-            .withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(PARTS)])))
-            .withColumn("cell", F.expr(f"cast(j * {part} + pmod(xxhash64(d, {level}, j), {part}) as int)"))
-            .groupBy("pair", "block", "cell")
-            .agg(F.sum("s").cast("int").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(F.expr(f"xxhash64(d, {level}, 99)")).alias("x"))
-            .where("n <> 0 or k <> 0L or x <> 0L")
-        )
-        held = cells.groupBy("pair", "block").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("n", "k", "x")))).alias("m"))
-        table = f"transform(sequence(0, {BLOCK_CELLS - 1}), c -> coalesce(m[c], named_struct('n', 0, 'k', 0L, 'x', 0L)))"
-        peeled = held.select("pair", F.expr(peel(table, BLOCK_CELLS, str(level))).alias("p")).groupBy("pair").agg(F.sum("p.found").alias("found"), F.bool_and("p.clean").alias("clean"))
-        peeled = cut(left.select("pair").join(peeled, "pair", "left").select("pair", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("clean", F.lit(True)).alias("clean")))
-        done.append(peeled.where("clean").select("pair", "found"))
-        failed = peeled.where("not clean").select("pair")
-        if failed.isEmpty():
-            break
-        left = left.join(failed, "pair", "left_semi")
-    else:
-        raise RuntimeError(f"a pair of fingerprints doesn't peel at {4**LEVELS} blocks")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+        if left.isEmpty():
+            return out
+        sides = left.select("pair", F.expr(f"ceil((size(one) + size(other)) / {SMALL}) * {4 ** (level - 1)}").alias("blocks"), F.explode(F.expr("concat(transform(one, d -> named_struct('s', 1, 'd', d)), transform(other, d -> named_struct('s', -1, 'd', d)))")).alias("e"))
+        dealt = sides.groupBy("pair", F.expr(f"cast(pmod(xxhash64(e.d, {level}, 55), blocks) as int)").alias("block")).agg(F.collect_list("e").alias("es"))
+        tables = [build(f"transform(filter(es, e -> e.s = {s}), e -> e.d)", BLOCK_CELLS, str(level + 1)) for s in (1, -1)]
+        peeled = dealt.select("pair", F.expr(peel(subtract(*tables), BLOCK_CELLS, str(level + 1))).alias("p")).groupBy("pair").agg(F.sum("p.found").alias("found"), F.bool_and("p.clean").alias("clean"))
+        peeled = cut(peeled)
+        out = out.unionByName(peeled.where("clean").select("pair", "found"))
+        left = left.join(peeled.where("not clean").select("pair"), "pair", "left_semi")
+    raise RuntimeError(f"a pair of fingerprints doesn't peel in {LEVELS} rounds")
 
 
 def _ranges(rows: DataFrame, column: str, range_rows: int) -> Column:
@@ -127,7 +120,7 @@ def _ranges(rows: DataFrame, column: str, range_rows: int) -> Column:
 
 
 def with_next(docs: DataFrame, range_rows: int = 400) -> DataFrame:
-    """`docs` (doc_id numeric, text without nulls, own digests and table) with those of the
+    """`docs` (doc_id numeric, text without nulls, own digests) with text and digests of the
     next row by descending doc_id; the first follows the last. Nulls come last, equal ids by
     descending text. Each range is sorted by itself; its last row gets the head of the next."""
     ranged = docs.withColumn("range", _ranges(docs.select("doc_id"), "doc_id", range_rows))
@@ -137,11 +130,11 @@ def with_next(docs: DataFrame, range_rows: int = 400) -> DataFrame:
     follows = tops.select("range", "top", F.coalesce(F.lag("range").over(order), F.min("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     heads = (
         ranged.join(F.broadcast(follows.withColumnRenamed("range", "r")), F.col("range").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top")))
-        .groupBy("before").agg(F.max(F.struct("text", "own", "cells")).alias("head"))
+        .groupBy("before").agg(F.max(F.struct("text", "own")).alias("head"))
         .select(F.col("before").alias("range"), "head")
     )
     line = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    after = F.lead(F.struct("text", "own", "cells")).over(line)
+    after = F.lead(F.struct("text", "own")).over(line)
     return ranged.withColumn("after", after).join(heads, "range", "left").withColumn("after", F.coalesce("after", "head")).drop("head", "range")
 
 
@@ -155,17 +148,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives none; other columns are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("own", F.expr(digests("text"))).withColumn("cells", F.expr(build("own")))
+    own = own.withColumn("own", F.expr(digests("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("after.text", F.lit(1), half))
-    both = with_next(own).withColumn("edited", edited).withColumn("changed", F.expr(digests("edited"))).withColumn("changed_cells", F.expr(build("changed")))
-    first = cut(
+    both = with_next(own).withColumn("edited", edited).withColumn("changed", F.expr(digests("edited")))
+    both = both.withColumn("cells", F.expr(build("own"))).withColumn("changed_cells", F.expr(build("changed")))
+    first = cut_table(
         both.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
             F.expr(text_of("cells")).alias("fingerprint"), F.expr(text_of("changed_cells")).alias("edited_fingerprint"),
             "own", "changed", F.col("after.own").alias("next"),
-            F.expr(peel(subtract("cells", "changed_cells"))).alias("to_edited"), F.expr(peel(subtract("cells", "after.cells"))).alias("to_next"),
+            F.expr(peel(subtract("cells", "changed_cells"))).alias("to_edited"), F.expr(peel(subtract("cells", build("after.own")))).alias("to_next"),
         )
     )
     failed = [first.where(f"not {p}.clean").select(F.expr(f"row * 2 + {i}").alias("pair"), F.col("own").alias("one"), F.col(side).alias("other")) for i, (p, side) in enumerate((("to_edited", "changed"), ("to_next", "next")))]
