@@ -1,6 +1,7 @@
 """The registered queries and their SQL."""
 
-from . import usage
+from . import messages, search, usage
 
-QUERIES = {**usage.QUERIES}
-ORACLES = {**usage.ORACLES}
+PARTS = [usage, messages, search]
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
