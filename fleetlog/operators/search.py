@@ -104,7 +104,9 @@ def highlight(column: str, q: str) -> Column:
 
 
 def _trigrams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+    """Distinct code-point trigrams; characters are taken apart once, so long texts cost in proportion."""
+    chars = F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    return F.array_distinct(F.transform(chars, lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - 3), lambda i: F.concat(F.get(cs, i), F.get(cs, i + 1), F.get(cs, i + 2))))[0])
 
 
 def trigram_postings(docs: DataFrame, fields=FIELDS) -> DataFrame:
