@@ -1,7 +1,7 @@
 """The registered queries and their SQL."""
 
-from . import catalog, messages, search, usage
+from . import catalog, functions, messages, search, usage
 
-PARTS = [usage, messages, search, catalog]
+PARTS = [usage, messages, search, catalog, functions]
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
