@@ -40,6 +40,12 @@ def cut_table(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
+def small_batches(frame: DataFrame, size: str = "8m") -> DataFrame:
+    """The frame, with its session handing Python tasks this much at a time, which bounds their memory and the JVM's buffers."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return frame
+
+
 def crc32_text(column):
     """Unsigned CRC-32 of the UTF-8 text, as a long."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8"))

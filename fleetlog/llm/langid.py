@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of
+from .common import batches_of, small_batches
 
 BUCKETS = 1 << 14
 ORDERS = 3
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     The texts of a language are thinned by a hash of the text to about `per_lang`.
     Null when no row has a letter. The number of languages is bounded by MOST_LANGS.
     """
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = small_batches(docs).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not counts:
         return None
@@ -123,7 +123,7 @@ def annotate(docs: DataFrame, model: Model | None, text_col: str = "text", block
     score 0; so is every text if there was nothing to learn from. Ties go to the
     first language by name. An empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     at_text = docs.columns.index(text_col)
 
     def run(batches):

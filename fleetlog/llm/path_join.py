@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut
+from .common import batches_of, cut, small_batches
 from .graph import components, forest, sorted_groups, tile_pairs
 
 TOKENS = 64
@@ -174,7 +174,7 @@ def overlaps(one: list[np.ndarray], other: list[np.ndarray], columns: int = 8192
 def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, threshold: float):
     """Rows (kind, a, b): kind 0 a spanning edge of links, kind 1 the weight b of a's links, from (id, component, weight, n)."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
-    tiles = F.greatest(F.ceil(F.col("sets") / TILE), F.ceil(F.col("grams") / 2_000_000)).cast("int")
+    tiles = F.greatest(F.ceil(F.col("sets") / TILE), F.ceil(F.col("grams") / 500_000)).cast("int")
     sized = groups.join(sizes, "component").select("id", "component", "weight", tiles.alias("tiles"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sized, "id").dropDuplicates(["id"])
 
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     results if no row with an equal text has one. Repeated rows share theirs.
     An empty table gives none; other columns are not read.
     """
-    slim = cut(sketches(docs, id_col, text_col, words))
+    slim = cut(sketches(small_batches(docs), id_col, text_col, words))
     classes = slim.groupBy("text_hash").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = cut(classes)
     sets = classes.where("n > 0 and id is not null").select("id", "weight", "n", "tokens")

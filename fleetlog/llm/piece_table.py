@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENTENCEPIECE_MODEL, batches_of, load_sentencepiece
+from .common import SENTENCEPIECE_MODEL, batches_of, load_sentencepiece, small_batches
 
 MARK = "▁"
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -81,4 +81,4 @@ def encode(docs: DataFrame, model: str = SENTENCEPIECE_MODEL, id_col: str = "doc
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join([ids for ids, _ in rows]))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([text for _, text in rows], pa.string())], names=[id_col, "ids", "decoded"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .graph import components, forest, sorted_groups, tile_pairs
 
 CELL = 2048
@@ -138,7 +138,7 @@ def near_vectors(frame: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
     own component. Ids are unique. An empty table gives none; other columns are
     not read.
     """
-    rows = frame.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = small_batches(frame).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("ok", F.expr(valid("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     keys = [F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2")]
     keyed = cut(rows.select("id", "label", "vector", "ok", *keys))

@@ -32,12 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut
+from .common import batches_of, cut, small_batches
 
 GRAM = 16
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
-SORT_BYTES = 1_500_000
+SORT_BYTES = 400_000
 
 
 def sliding(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -424,7 +424,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty. Texts under `length` bytes lose nothing. A row with a null id neither
     loses bytes nor takes any. An empty table gives none; other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(total / BUCKET_BYTES))
     blocks = max(1, round(total / BLOCK_BYTES)) | 1

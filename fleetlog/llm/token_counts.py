@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SENTENCEPIECE_MODEL, batches_of, load_sentencepiece
+from .common import SENTENCEPIECE_MODEL, batches_of, load_sentencepiece, small_batches
 from .piece_table import MARK, crossing_pieces
 
 SPACE = 0x20
@@ -86,4 +86,4 @@ def count_tokens(docs: DataFrame, model: str = SENTENCEPIECE_MODEL, id_col: str
                 counts = [0 if not text else len(processor.encode(text)) if whole or size <= chunk else spliced_count(processor, lengths, text, chunk, overlap) for text, size in zip(part.to_pylist(), sizes.to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), sizes, pa.array(counts, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")

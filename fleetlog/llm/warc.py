@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, shared_dir
+from .common import batches_of, cut, shared_dir, small_batches
 
 DATE = "2026-01-01T00:00:00Z"
 RECORD_ID = "<urn:page:{}>"
@@ -213,7 +213,7 @@ def read_records(indexed: DataFrame, folder: str, with_payload: bool = False) ->
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
     """Write, normalise and index `pages`; the index rows (archive, sidecar, records). An empty table has none."""
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     written = cut(write_monolithic(with_revisits(pages, **columns), f"{folder}/streams"))
     return cut(normalise(written.repartition(spark.sparkContext.defaultParallelism * 4), f"{folder}/members"))
