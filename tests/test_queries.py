@@ -59,7 +59,7 @@ def test_day_bounds():
 
 
 def test_query_text():
-    assert search.parse_query("fix Provider:low bug after:2024-01-02 before:soon") == ("fix  bug", {"provider": "low", "after": 1704153600})
+    assert search.parse_query("fix Provider:low bug after:2024-01-02 before:soon") == ("fix bug", {"provider": "low", "after": 1704153600})
 
 
 def test_delete_guard():
