@@ -33,13 +33,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document has are cut out, with what is left of a split character. A document left without text goes."""
+    """Strings of 50 bytes that an earlier document has are cut out, with what is left of a split character. A document left without text goes; a null text comes back empty."""
     text = F.col("kept").cast("string")
     text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
-    cleaned = suffix_dedup.remove_repeats(docs).where("doc_id is not null and n_removed > 0").select("doc_id", text.alias("left_text"))
-    joined = docs.join(cleaned, "doc_id", "left").where("left_text is null or left_text <> ''")
-    joined = joined.withColumn("n_chars", F.when(F.col("left_text").isNotNull(), F.char_length("left_text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.withColumn("text", F.coalesce("left_text", "text")).select(docs.columns)
+    cut = F.col("n_removed") > 0
+    cleaned = suffix_dedup.remove_repeats(docs, carry=tuple(c for c in docs.columns if c != "text")).withColumn("text", text)
+    cleaned = cleaned.where(~cut | (F.col("text") != "")).select("text", "n_removed", "rest.*")
+    return cleaned.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

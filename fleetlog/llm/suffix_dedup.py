@@ -234,26 +234,31 @@ def _flat(table, name: str) -> np.ndarray:
 
 
 def grams_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Packed least grams: (bucket, ids, texts, counts, hashes, places) for a part of a task and a bucket."""
+    """Packed least grams: (bucket, ids, texts, counts, hashes, places) for a part of a task and a bucket.
+
+    The lower half of the hash is enough beside the bucket: grams that agree in both are only candidates.
+    """
 
     def run(batches):
         for batch in batches:
             for start, part in batches_of(batch.column("text"), 4 << 20):
                 ids = batch.column("id").slice(start, len(part)).to_numpy()
                 own, places, hashes = [], [], []
-                texts = np.empty(len(part), np.int64)
+                # Of the copies of a text here only the first document speaks for it.
+                texts = np.array([np.frombuffer(hashlib.blake2b(t.as_buffer(), digest_size=8).digest(), np.int64)[0] for t in part], np.int64)
+                order = np.lexsort((ids, texts))
+                order = np.sort(order[np.concatenate([[True], texts[order[1:]] != texts[order[:-1]]])])
+                ids, texts, part = ids[order], texts[order], part.take(pa.array(order))
                 for low, few in batches_of(part, 128 << 10):
                     held = [t.as_buffer() for t in few]
-                    for i, t in enumerate(held):
-                        texts[low + i] = np.frombuffer(hashlib.blake2b(t, digest_size=8).digest(), np.int64)[0]
                     bounds = np.cumsum([0, *map(len, held)])
                     at, found = least_grams(np.frombuffer(b"".join(held), np.uint8), bounds, length)
                     doc = np.searchsorted(bounds, at, side="right") - 1
                     own.append(doc + low)
                     places.append((at - bounds[doc]).astype(np.int32))
-                    hashes.append(found.view(np.int64))
+                    hashes.append(found)
                 own, places, hashes = np.concatenate(own), np.concatenate(places), np.concatenate(hashes)
-                bucket = (hashes.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)
+                bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 own, places, hashes, bucket = own[order], places[order], hashes[order], bucket[order]
                 # Within a bucket the order of documents is kept, so each has one run.
@@ -263,11 +268,11 @@ def grams_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 docs_of = own[pair[:-1]]
                 if len(bucket):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[outer[:-1]].astype(np.int32)), *_lists({"i": ids[docs_of], "t": texts[docs_of], "c": np.diff(pair).astype(np.int32)}, inner), *_lists({"h": hashes, "p": places}, outer)],
+                        [pa.array(bucket[outer[:-1]].astype(np.int32)), *_lists({"i": ids[docs_of], "t": texts[docs_of], "c": np.diff(pair).astype(np.int32)}, inner), *_lists({"h": hashes.astype(np.uint32).view(np.int32), "p": places}, outer)],
                         names=["bucket", "ids", "texts", "counts", "hashes", "places"],
                     )
 
-    return docs.mapInArrow(run, "bucket int, ids array<long>, texts array<long>, counts array<int>, hashes array<long>, places array<int>")
+    return docs.mapInArrow(run, "bucket int, ids array<long>, texts array<long>, counts array<int>, hashes array<int>, places array<int>")
 
 
 def shared_grams(grams: DataFrame, blocks: int) -> DataFrame:
@@ -276,7 +281,7 @@ def shared_grams(grams: DataFrame, blocks: int) -> DataFrame:
     def run(key, table):
         counts = _flat(table, "counts")
         ids, texts = np.repeat(_flat(table, "ids"), counts), np.repeat(_flat(table, "texts"), counts)
-        hashes, places = _flat(table, "hashes"), _flat(table, "places")
+        hashes, places = (key[0].as_py() << 32) | (_flat(table, "hashes").astype(np.int64) & 0xFFFFFFFF), _flat(table, "places")
         order = np.lexsort((ids, texts, hashes))
         ids, texts, hashes, places = ids[order], texts[order], hashes[order], places[order]
         by_hash = _runs(hashes)
@@ -296,7 +301,7 @@ def _by_block(columns: dict[str, np.ndarray], blocks: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(block[order][bounds[:-1]].astype(np.int32)), *_lists({k: v[order] for k, v in columns.items()}, bounds)], names=["block", *columns])
 
 
-def surroundings(docs: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
+def surroundings(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """(bucket, ids, places, hashes, lefts, rights, bytes) of the shared grams: what lies around each, compressed."""
     reach = length - GRAM
 
@@ -307,7 +312,7 @@ def surroundings(docs: DataFrame, shared: DataFrame, buckets: int, length: int)
         inflate = zstandard.ZstdDecompressor()
         where = {i: k for k, i in enumerate(texts.column("id").to_pylist())}
         ids, places, hashes = (_flat(found, c) for c in ("ids", "places", "hashes"))
-        bucket = ((hashes.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        bucket = hashes >> 32
         order = np.lexsort((places, ids, bucket))
         ids, places, hashes, bucket = ids[order], places[order].astype(np.int64), hashes[order], bucket[order]
         held = [inflate.decompress(x) for x in texts.column("packed").to_pylist()]
@@ -384,7 +389,7 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
 
 
 def remove_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(id, row, n_bytes, n_removed, n_spans, kept binary) for packed texts and the intervals of their blocks."""
+    """(id, n_bytes, n_removed, n_spans, kept binary, rest) for packed texts and the intervals of their blocks."""
 
     def run(key, texts, found):
         inflate = zstandard.ZstdDecompressor()
@@ -410,13 +415,13 @@ def remove_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
             gone.append(n)
             spans.append(keep)
             kept.append(b"".join(parts))
-        return pa.Table.from_arrays([texts.column("id"), texts.column("row"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary())], names=["id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.Table.from_arrays([texts.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary()), texts.column("rest")], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
-    return docs.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(run, "id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `carry` as a struct `rest` if there are any.
 
     A byte is removed if a string of `length` bytes that covers it also starts
     in a text with a smaller id. Strings are judged on the input; within one
@@ -424,7 +429,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty. Texts under `length` bytes lose nothing. A row with a null id neither
     loses bytes nor takes any. An empty table gives none; other columns are not read.
     """
-    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("rest"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(total / BUCKET_BYTES))
     blocks = max(1, round(total / BLOCK_BYTES)) | 1
@@ -436,13 +441,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for start, part in batches_of(batch.column("text"), 8 << 20):
                 packed = pa.array([deflate.compress(t.as_buffer()) for t in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(part)), batch.column("block").slice(start, len(part)), packed], names=["id", "block", "packed"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in ("id", "block", "rest")), packed], names=["id", "block", "rest", "packed"])
+
+    block = F.pmod(F.coalesce("id", F.xxhash64("text")), F.lit(blocks)).cast("int")
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("block", block).select("id", "block", "rest", "text").mapInArrow(pack, f"id long, block int, rest {rows.schema['rest'].dataType.simpleString()}, packed binary")
 
-    block = F.coalesce(F.pmod("id", F.lit(blocks)), F.lit(0)).cast("int")
-    packed = base.withColumn("block", block).select("id", "block", "text").mapInArrow(pack, "id long, block int, packed binary")
-    intervals = covered(surroundings(packed.where("id is not null"), shared, buckets, length), blocks, length)
+    bare = named.withColumn("rest", F.lit(None).cast("boolean"))
+    intervals = covered(surroundings(packed(bare), shared, length), blocks, length)
     texts = named.select("id", F.octet_length("text").alias("n"), F.md5("text").alias("digest")).where(F.col("n") >= length)
     firsts = texts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first")
-    copies = texts.join(firsts, "digest").where("id > first").select(block.alias("block"), F.array("id").alias("ids"), F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("stops"))
+    copies = texts.join(firsts, "digest").where("id > first").select(F.pmod("id", F.lit(blocks)).cast("int").alias("block"), F.array("id").alias("ids"), F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("stops"))
     intervals = cut(intervals.unionByName(copies))
-    return remove_intervals(packed.withColumn("row", F.monotonically_increasing_id()), intervals).drop("row").withColumnRenamed("id", id_col)
+    out = remove_intervals(packed(base), intervals).withColumnRenamed("id", id_col)
+    return out if carry else out.drop("rest")
