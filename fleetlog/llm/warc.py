@@ -113,7 +113,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     return base.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("response_id"))
 
 
-def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 1) -> DataFrame:
+def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 6) -> DataFrame:
     """Write `page_id, url, payload, response_id` rows; one row (archive) per file, of about `roll_bytes` plain bytes."""
 
     def run(batches):
@@ -146,7 +146,7 @@ def write_monolithic(records: DataFrame, folder: str, roll_bytes: int = 32 << 20
     return records.mapInArrow(run, "archive string")
 
 
-def normalise(archives: DataFrame, folder: str, level: int = 1) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite whole-file streams record by record; one row (archive, sidecar, records) per file.
 
     The sidecar has a JSON line for each record: offset and length of its member, its id and type.
