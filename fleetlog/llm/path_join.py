@@ -36,7 +36,7 @@ TILE = 512
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode())
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 

@@ -62,7 +62,7 @@ def encode_texts(processor, texts, words: WordTable | None, table_words: int):
             yield b"".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
 
 
-def encode(docs: DataFrame, model: str = SENTENCEPIECE_MODEL, id_col: str = "doc_id", text_col: str = "text", table_words: int = 400_000, batch_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str = SENTENCEPIECE_MODEL, id_col: str = "doc_id", text_col: str = "text", table_words: int = 200_000, batch_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of `docs`: id, ids array<int>, decoded string.
 
     Equals the library's encode(text) without begin or end ids, and decode(ids).
