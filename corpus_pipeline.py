@@ -14,14 +14,13 @@ from fleetlog.llm import langid, mixing, path_join, piece_table, suffix_dedup
 from fleetlog.llm.common import cut_table, table
 from fleetlog.llm.queries import fold
 
-MIN_SCORE = 0.2
 MIX_FRACTION = 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those that no language claims (score under MIN_SCORE; 0.5 is the border of a language)."""
-    model = langid.fit(docs, F.coalesce(fold() != 2, F.lit(True)))
-    kept = langid.annotate(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    """Documents without a letter go, and those that no learned language claims; the border is chosen on the learning folds, with each language left out in turn."""
+    model = langid.fit(docs, F.coalesce(fold() != 2, F.lit(True)), judge=True)
+    kept = langid.annotate(docs, model, judge=True).where("claimed")
     return kept.select(docs.columns)
 
 

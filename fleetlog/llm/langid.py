@@ -29,6 +29,10 @@ BUCKETS = 1 << 14
 ORDERS = 3
 UNKNOWN = "und"
 MOST_LANGS = 1000
+#: Texts with fewer different n-grams are too short to be called foreign.
+FEW_GRAMS = 48
+#: The border of a claim when there are fewer than three languages, so that none can be left out.
+USUAL_BORDER = 0.7
 
 
 def letter_table() -> np.ndarray:
@@ -58,11 +62,22 @@ def presence(text: str, letters: np.ndarray, piece: int = 1 << 20) -> np.ndarray
 class Model:
     langs: list[str]
     weights: np.ndarray  # BUCKETS x langs
+    familiar: np.ndarray  # BUCKETS; a ridge to 1 for every learned text, so unlike texts fall to 0
+    border: float = USUAL_BORDER
 
     def scores(self, flags: np.ndarray) -> np.ndarray:
         norms = np.sqrt(flags.sum(1, keepdims=True, dtype=np.float32))
         return (flags.astype(np.float32) @ self.weights) / np.maximum(norms, 1)
 
+    def claims(self, flags: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """How far the learned languages claim each text, 0 to 1: half the best score, half its familiarity. A text of two learned languages has low scores, but is familiar."""
+        norms = np.sqrt(flags.sum(1, dtype=np.float32))
+        familiar = (flags.astype(np.float32) @ self.familiar) / np.maximum(norms, 1)
+        return (np.clip((scores.max(1) + 1) / 2, 0, 1) + np.clip(familiar, 0, 1)) / 2
+
+    def claimed(self, flags: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        return (self.claims(flags, scores) >= self.border) | (flags.sum(1) < FEW_GRAMS)
+
 
 def solve(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, block: int = 256) -> Model:
     """Nyström features on landmarks taken in turn from each language, then kernel ridge regression.
@@ -82,16 +97,49 @@ def solve(bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, blo
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     features = np.concatenate([(unit(bits[low : low + block]) @ marks.T) @ root for low in range(0, len(bits), block)])
-    target = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
+    target = np.where(np.array(labels)[:, None] == np.array([*langs, None])[None, :], 1.0, -1.0)
+    target[:, -1] = 1.0
     beta = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ target)
-    return Model(langs, (marks.T @ (root @ beta)).astype(np.float32))
+    weights = (marks.T @ (root @ beta)).astype(np.float32)
+    return Model(langs, np.ascontiguousarray(weights[:, :-1]), weights[:, -1].copy())
+
 
+def border_of(model: Model, bits: np.ndarray, labels: list[str], landmarks: int, ridge: float, folds: int = 4, foreign: float = 0.75, block: int = 256) -> float:
+    """Midway between the claim that a share `foreign` of the texts of a left-out language stays under (the rest has passages of learned languages) and the least of a learned text.
+
+    Languages are left out in `folds` groups; texts under FEW_GRAMS don't count. The language that is hardest to tell decides.
+    """
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, landmarks: int = 256, ridge: float = 1.0) -> Model | None:
+    def claims(by: Model, rows: np.ndarray) -> np.ndarray:
+        made = [np.empty(0)]
+        for low in range(0, len(rows), block):
+            flags = np.unpackbits(bits[rows[low : low + block]], axis=1)
+            made.append(by.claims(flags, by.scores(flags)))
+        return np.concatenate(made)
+
+    grams = np.concatenate([np.unpackbits(bits[low : low + block], axis=1).sum(1, dtype=np.int64) for low in range(0, len(bits), block)])
+    fold = np.array([model.langs.index(x) for x in labels])
+    judged = grams >= FEW_GRAMS
+    if not judged.any():
+        return model.border
+    found = []
+    if len(model.langs) > 2:
+        for k in range(folds := min(folds, len(model.langs))):
+            rest = np.flatnonzero(fold % folds != k)
+            by = solve(bits[rest], [labels[i] for i in rest], landmarks, ridge)
+            rows = np.flatnonzero((fold % folds == k) & judged)
+            made = claims(by, rows)
+            found += [np.quantile(made[fold[rows] == lang], foreign) for lang in np.unique(fold[rows])]
+    least = claims(model, np.flatnonzero(judged)).min()
+    return float((max(found) + least) / 2 if found else min(model.border, least))
+
+
+def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, landmarks: int = 256, ridge: float = 1.0, judge: bool = False) -> Model | None:
     """Learn from the texts of rows where `learn` holds and the language is not null.
 
     The texts of a language are thinned by a hash of the text to about `per_lang`.
     Null when no row has a letter. The number of languages is bounded by MOST_LANGS.
+    With `judge` the border of a claim is chosen on the same texts.
     """
     rows = small_batches(docs).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
@@ -113,36 +161,45 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     rng = np.random.default_rng(0)
     got = [got[i] for i in rng.permutation(len(got))]
     bits = np.frombuffer(b"".join(b for _, b in got), np.uint8).reshape(len(got), -1)
-    return solve(bits, [lang for lang, _ in got], landmarks, ridge)
+    labels = [lang for lang, _ in got]
+    model = solve(bits, labels, landmarks, ridge)
+    if judge:
+        model.border = border_of(model, bits, labels, landmarks, ridge)
+    return model
 
 
-def annotate(docs: DataFrame, model: Model | None, text_col: str = "text", block: int = 256) -> DataFrame:
-    """`docs` with lang_pred and score, in place of columns of these names.
+def annotate(docs: DataFrame, model: Model | None, text_col: str = "text", block: int = 256, judge: bool = False) -> DataFrame:
+    """`docs` with lang_pred and score, in place of columns of these names; with `judge` also `claimed`.
 
     Only the text decides. A null text, or one without a letter, is `und` with
     score 0; so is every text if there was nothing to learn from. Ties go to the
-    first language by name. An empty table stays empty.
+    first language by name. An empty table stays empty. A text is claimed if the
+    learned languages' claim reaches the model's border, or if it has a letter and
+    fewer than FEW_GRAMS n-grams, which is too little to tell.
     """
-    docs = small_batches(docs).drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score", *["claimed"] * judge)
     at_text = docs.columns.index(text_col)
 
     def run(batches):
         letters = letter_table()
         for batch in batches:
             for start, part in batches_of(batch.column(at_text), 8 << 20):
-                langs, scores = [UNKNOWN] * len(part), np.zeros(len(part))
+                langs, scores, claimed = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part), bool)
                 texts = part.to_pylist()
                 for low in range(0, len(texts), block):
                     found = [None if model is None or text is None else presence(text, letters) for text in texts[low : low + block]]
                     at = [low + i for i, x in enumerate(found) if x is not None]
                     if at:
-                        made = model.scores(np.stack([x for x in found if x is not None]))
+                        flags = np.stack([x for x in found if x is not None])
+                        made = model.scores(flags)
+                        if judge:
+                            claimed[at] = model.claimed(flags, made)
                         for i, best, value in zip(at, made.argmax(1), made.max(1)):
                             langs[i], scores[i] = model.langs[best], min(1.0, max(0.0, (float(value) + 1) / 2))
                 rest = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*rest.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(langs, pa.string()), pa.array(scores), *[pa.array(claimed)] * judge], names=[*rest.schema.names, "lang_pred", "score", *["claimed"] * judge])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("claimed", T.BooleanType())] * judge])
     return docs.mapInArrow(run, schema)
 
 

@@ -88,6 +88,23 @@ def test_language(spark, sf, docs):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("foreign", ["de", "en", "es", "fr"])
+def test_language_stage_rejects(spark, sf, foreign):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (20, 100, 1000) for _ in range(10)]
+    start = spark.read.parquet(f"{sf}/documents.parquet")
+    # A language without labels is one that the stage can't learn.
+    given = start.withColumn("lang", F.expr(f"nullif(lang, '{foreign}')")).unionByName(spark.createDataFrame([(10**6 + i, t, None, "noise", len(t)) for i, t in enumerate(noise)], start.schema))
+    own = {r.doc_id: r.lang for r in start.collect()}
+    kept = {r.doc_id for r in pipeline.identify_language(spark, given, sf).collect()}
+    assert max(kept) < 10**6
+    assert {i for i, lang in own.items() if lang != foreign} <= kept
+    theirs = {i for i, lang in own.items() if lang == foreign}
+    assert len(theirs & kept) <= 0.1 * len(theirs)
+
+
 def test_mixing(spark, docs):
     for fraction, epochs in ((0.5, 1), (0.9, 4), (3.0, 4)):
         rows = mixing.mix(docs, fraction=fraction, epochs=epochs).collect()
