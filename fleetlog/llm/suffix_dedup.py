@@ -131,7 +131,8 @@ def suffix_ranks(text: np.ndarray, span: int, wanted: np.ndarray | None = None)
     else:
         zero, one, two = (wanted[wanted % 3 == k] for k in range(3))
     behind_one = lambda at: _pair(text[at], rank[at + 1], rank_bits)
-    behind_two = lambda at: _packed_pair(text, rank, at, wide, rank_bits)
+    two_symbols = _symbol_pairs(text, wide, rank_bits)
+    behind_two = lambda at: _pair(two_symbols[at], rank[at + 2], rank_bits)
     zero_by_one, zero_by_two = behind_one(zero), behind_two(zero)
     one_key, two_key = behind_one(one), behind_two(two)
     one_order, two_order = np.argsort(rank[one]), np.argsort(rank[two])
@@ -156,10 +157,10 @@ def _pair(symbol: np.ndarray, rank: np.ndarray, bits: int) -> np.ndarray:
     return (symbol << bits) | rank
 
 
-def _packed_pair(text: np.ndarray, rank: np.ndarray, at: np.ndarray, wide: int, bits: int) -> np.ndarray:
-    if 2 * wide + bits > 63:
-        raise ValueError("too many suffixes for one sort")
-    return (((text[at] << wide) | text[at + 1]) << bits) | rank[at + 2]
+def _symbol_pairs(text: np.ndarray, wide: int, bits: int) -> np.ndarray:
+    """A number for each symbol and the next that leaves `bits` bits free; pairs too wide for that are named first."""
+    pairs = (text[:-1] << wide) | text[1:]
+    return pairs if 2 * wide + bits <= 63 else _dense(pairs)[0]
 
 
 def earliest(rows: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
@@ -192,6 +193,45 @@ def earliest(rows: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.
     return out
 
 
+def earliest_bounded(rows: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: np.ndarray, length: int, low: int, high: int) -> np.ndarray:
+    """As earliest(), for the strings from columns `low` to `high`, which all rows' strings have in common a piece of; no sort takes over about SORT_BYTES.
+
+    Strings from columns low to high all cover the bytes from high to low + length. So a sort that is too large falls apart
+    into those of the rows that agree in these bytes, after halving the columns as often as it takes; of a single column
+    the strings themselves are compared.
+    """
+    n, width = rows.shape
+    out = np.full((n, width), np.iinfo(np.int64).max)
+    starts, stops = np.maximum(starts, low), np.minimum(stops, high + length)
+    if n == 1 or (stops - starts + 1).sum() <= SORT_BYTES:
+        return earliest(rows, starts, stops, first, length)
+    halves = [(low, high)] if low == high else [(low, (low + high) // 2), ((low + high) // 2 + 1, high)]
+    for a, b in halves:
+        own = np.flatnonzero((starts <= b) & (stops >= a + length) & (np.minimum(stops, b + length) - np.maximum(starts, a) >= length))
+        if not len(own):
+            continue
+        core = np.ascontiguousarray(rows[own, b : a + length])
+        words = np.zeros((len(own), -(-core.shape[1] // 8) * 8), np.uint8)
+        words[:, : core.shape[1]] = core
+        order = np.lexsort(words.view("<u8").T)
+        own, ordered = own[order], words[order]
+        bounds = np.concatenate([[0], np.flatnonzero((ordered[1:] != ordered[:-1]).any(1)) + 1, [len(own)]])
+        if a == b:
+            least = np.minimum.reduceat(first[own], bounds[:-1])
+            out[own, a] = np.repeat(least, np.diff(bounds))
+            continue
+        # Whole groups of rows with the same piece, up to about SORT_BYTES; one that is larger is divided on.
+        weight = np.cumsum(np.minimum(stops[own], b + length) - np.maximum(starts[own], a) + 1)
+        at = 0
+        while at < len(bounds) - 1:
+            done = weight[bounds[at] - 1] if bounds[at] else 0
+            upto = max(at + 1, int(np.searchsorted(weight[bounds[1:] - 1], done + SORT_BYTES, side="right")))
+            pick = own[bounds[at] : bounds[upto]]
+            out[pick, a : b + 1] = earliest_bounded(rows[pick], starts[pick], stops[pick], first[pick], length, a, b)[:, a : b + 1]
+            at = upto
+    return out
+
+
 def shared_extent(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
     """How many leading bytes each row has in common with some other row of its group, at most; rows of a group stay together."""
     n, width = parts.shape
@@ -362,17 +402,18 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
             some, cut_out = some[order], cut_out[order]
             begins = np.flatnonzero(fresh)
             cut_first, gram_of = np.minimum.reduceat(first[some], begins), grams[some[begins]]
-            least = np.empty((len(begins), width), np.int64)
+            group, ends = np.cumsum(fresh) - 1, np.append(begins, len(some))
             weight = np.cumsum(to_left[some[begins]] + to_right[some[begins]] + 1)
             low = 0
             while low < len(begins):
-                # Whole grams, up to about SORT_BYTES.
+                # Whole grams, up to about SORT_BYTES; a larger one is divided in earliest_bounded().
                 high = max(low + 1, int(np.searchsorted(weight, (weight[low - 1] if low else 0) + SORT_BYTES)))
                 high = int(np.searchsorted(gram_of, gram_of[min(high, len(begins)) - 1], side="right"))
                 pick = begins[low:high]
-                least[low:high] = earliest(cut_out[pick], reach - to_left[some[pick]], reach + to_right[some[pick]], cut_first[low:high], length)
+                least = earliest_bounded(cut_out[pick], reach - to_left[some[pick]], reach + to_right[some[pick]], cut_first[low:high], length, 0, reach)
+                members = slice(ends[low], ends[high])
+                removed[some[members]] = least[group[members] - low] < first[some[members], None]
                 low = high
-            removed[some] = least[np.cumsum(fresh) - 1] < first[some, None]
         later = ids > first[of]
         spans = [(ids[later], places[later] - left[later], places[later] + right[later])]
         own = np.flatnonzero(~later & removed.any(1)[of])

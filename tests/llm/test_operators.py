@@ -248,6 +248,37 @@ def test_suffix_ranks():
                 assert prefixes == sorted(prefixes)
 
 
+def test_large_sorts():
+    # Names and ranks of this many different suffixes together need more than 63 bits.
+    text = np.random.default_rng(6).integers(1, 257, 7 << 19)
+    wanted = np.arange(0, len(text) - 50, 1009)
+    at = wanted[np.argsort(suffix_dedup.suffix_ranks(text, 50, wanted))]
+    prefixes = [tuple(text[i : i + 50].tolist()) for i in at]
+    assert prefixes == sorted(prefixes)
+
+
+def test_hot_gram(monkeypatch):
+    rng = np.random.default_rng(7)
+    sizes = []
+    whole = suffix_dedup.earliest
+    monkeypatch.setattr(suffix_dedup, "earliest", lambda rows, starts, stops, first, length: sizes.append(int((stops - starts + 1).sum())) or whole(rows, starts, stops, first, length))
+    for kind in range(3):
+        n, length, reach = 400, 50, 34
+        rows = rng.integers(1, 3, (n, 84)).astype(np.uint8)
+        for k in range(n):
+            like = rng.integers(0, n)
+            a, b = sorted(rng.integers(0, 85, 2)) if kind == 0 else ((0, 60) if kind == 1 else (20, 84))
+            rows[k, a:b] = rows[like if kind == 0 else 0, a:b]
+        rows[:, 34:50] = 7
+        starts, stops = 34 - rng.integers(0, 35, n), 50 + rng.integers(0, 35, n)
+        first = rng.permutation(n)
+        want = whole(rows, starts, stops, first, length)
+        monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 2000)
+        sizes.clear()
+        got = suffix_dedup.earliest_bounded(rows, starts, stops, first, length, 0, reach)
+        assert (got == want).all() and max(sizes) <= 2000
+
+
 def brute_jaccard(texts: dict):
     hashes = path_join.WordHashes()
     sets = {i: frozenset(path_join.shingles(t, hashes).tolist()) for i, t in texts.items()}
