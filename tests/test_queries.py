@@ -45,6 +45,18 @@ def test_all_queries_have_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
+def test_rates_of_whole_sessions(spark, sf):
+    from fleetlog.operators import order
+    from fleetlog.sources import tables
+
+    rows = tables.event_messages(spark, sf)
+    long = {r.session_id for r in rows.where("msg_index >= 12").select("session_id").distinct().collect()}
+    whole = {r.session_id: r for r in registry.QUERIES["sa_6_rates_whole"](spark, sf).collect()}
+    assert long and any(whole[r.session_id] != r for r in registry.QUERIES["sa_6_rates"](spark, sf).collect() if r.session_id in long)
+    none = order.session_report(rows.where("role = 'system'")).first()
+    assert none.tokens_per_turn is None and none.tools_per_user_turn is None
+
+
 def test_day_bounds():
     assert times.day_range_epochs("2011-12-30", "2011-12-30", "Pacific/Apia") == (1325239200, 1325239200)
     start, end = times.day_range_epochs("2024-03-10", "2024-03-10", "America/New_York")
