@@ -114,6 +114,14 @@ def win_3(spark, sf):
     return order.resolve_title(rows)
 
 
+@query("win_3_resolve_title_whole", """WITH l AS (SELECT user_id AS session_id, event_id AS line_no, CASE event_type WHEN 'signup' THEN 'custom-title' WHEN 'error' THEN 'ai-title' WHEN 'click' THEN 'user' WHEN 'view' THEN 'summary' ELSE 'agent-name' END AS type, CASE WHEN user_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '' ELSE concat(event_type, event_id) END AS value FROM events)
+  SELECT session_id, coalesce(arg_max(value, line_no) FILTER (type = 'custom-title' AND value <> ''), arg_max(value, line_no) FILTER (type = 'ai-title' AND value <> ''), arg_max(value, line_no) FILTER (type = 'agent-name' AND value <> ''), arg_min(value, line_no) FILTER (type = 'user' AND value <> ''), arg_min(value, line_no) FILTER (type = 'summary' AND value <> ''), 'Untitled') AS title FROM l GROUP BY 1""")
+def win_3_whole(spark, sf):
+    rows = T.read(spark, sf, "events").selectExpr(
+        "user_id as session_id", "event_id as line_no", "case event_type when 'signup' then 'custom-title' when 'error' then 'ai-title' when 'click' then 'user' when 'view' then 'summary' else 'agent-name' end as type", "case when user_id % 5 = 0 then null when event_id % 3 = 0 then '' else concat(event_type, event_id) end as value")
+    return order.resolve_title(rows)
+
+
 @query("win_5_attach_turn_usage", f"""{EVENTS}, t AS (SELECT session_id, msg_index, CASE WHEN session_id % 10 = 0 THEN 'system' ELSE role END AS role, input_tokens, msg_index // 4 AS turn FROM messages), u AS (SELECT session_id, turn, max(input_tokens) AS input_tokens, max(msg_index) FILTER (role <> 'system') AS place, max(msg_index) AS last_one FROM t GROUP BY 1, 2)
   SELECT t.session_id, t.turn, CAST(t.msg_index AS DOUBLE) AS msg_index, t.role, CASE WHEN t.msg_index = u.place THEN u.input_tokens END AS input_tokens FROM t JOIN u USING (session_id, turn) UNION ALL SELECT session_id, turn, last_one + 0.5, 'assistant', input_tokens FROM u WHERE place IS NULL AND input_tokens IS NOT NULL""")
 def win_5(spark, sf):

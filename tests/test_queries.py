@@ -57,6 +57,12 @@ def test_rates_of_whole_sessions(spark, sf):
     assert none.tokens_per_turn is None and none.tools_per_user_turn is None
 
 
+def test_every_session_has_a_title(spark, sf, duck):
+    titles = {r.session_id: r.title for r in registry.QUERIES["win_3_resolve_title_whole"](spark, sf).collect()}
+    assert set(titles) == {x for (x,) in duck.sql("select distinct user_id from events").fetchall()}
+    assert any(x % 4 == 0 and t != "Untitled" for x, t in titles.items()) and all(t == "Untitled" for x, t in titles.items() if x % 5 == 0)
+
+
 def test_day_bounds():
     assert times.day_range_epochs("2011-12-30", "2011-12-30", "Pacific/Apia") == (1325239200, 1325239200)
     start, end = times.day_range_epochs("2024-03-10", "2024-03-10", "America/New_York")
