@@ -19,7 +19,7 @@ def rows(spark):
 
 def test_encode_is_the_library(spark):
     texts, docs = rows(spark)
-    got = {r.doc_id: (r.ids, r.decoded) for r in piece_table.encode(docs, table_words=50).collect()}
+    got = {r.doc_id: (r.ids, r.decoded) for r in piece_table.encode(docs, table_bytes=5000).collect()}
     for i, text in enumerate(texts):
         ids = SP.encode(text or "")
         assert got[i] == (ids, SP.decode(ids)), repr(text)[:60]
@@ -43,3 +43,26 @@ def test_counts_are_the_library_for_any_chunk(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert piece_table.encode(none).count() == 0 and token_counts.count_tokens(none).count() == 0
+
+
+def test_word_table_keeps_frequent_words():
+    import numpy as np
+    import pyarrow as pa
+
+    table = piece_table.WordTable(SP, 4000)
+    for k in range(30):
+        words = [" the", " of"] + [f" w{k}x{j}" for j in range(20)]
+        got = table.ids(pa.array(words, pa.large_string()), np.array([50, 50] + [1] * 20))
+        assert got.to_pylist() == [SP.encode(w[1:]) for w in words]
+    assert {" the", " of"} <= set(table.words.to_pylist()) and table.words.nbytes + table.found.nbytes <= 4000
+
+
+def test_other_models_are_encoded_whole(monkeypatch):
+    class Trims:
+        def __getattr__(self, name):
+            return getattr(SP, name)
+
+        def normalize(self, text):
+            return SP.normalize(text.strip())
+
+    assert piece_table.splittable(SP) and not piece_table.splittable(Trims())
