@@ -50,12 +50,12 @@ def sliding(values: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position."""
+    """Hash of the GRAM bytes from each position, never 0."""
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
     mixed = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
     mixed = (mixed ^ (mixed >> np.uint64(32))) + eight[8:]
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return mixed ^ (mixed >> np.uint64(32))
+    return (mixed ^ (mixed >> np.uint64(32))) | np.uint64(1)
 
 
 def least_grams(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +264,10 @@ def distinct_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)]) if n else np.zeros(0, bool)
 
 
+def _two_bytes(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(">u2").view(np.uint8).reshape(-1, 2)
+
+
 def _lists(columns: dict[str, np.ndarray], bounds: np.ndarray) -> list[pa.Array]:
     offsets = pa.array(bounds.astype(np.int32))
     return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in columns.values()]
@@ -346,7 +350,7 @@ def surroundings(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     reach = length - GRAM
 
     def run(key, texts, found):
-        schema = pa.schema([("bucket", pa.int32()), *((n, pa.list_(t)) for n, t in (("ids", pa.int64()), ("places", pa.int32()), ("hashes", pa.int64()), ("lefts", pa.int8()), ("rights", pa.int8()))), ("bytes", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), *((n, pa.list_(t)) for n, t in (("ids", pa.int64()), ("places", pa.int32()), ("hashes", pa.int64()), ("lefts", pa.int16()), ("rights", pa.int16()))), ("bytes", pa.binary())])
         if not found.num_rows or not texts.num_rows:
             return schema.empty_table()
         inflate = zstandard.ZstdDecompressor()
@@ -368,10 +372,10 @@ def surroundings(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
         bounds = _runs(bucket)
         deflate = zstandard.ZstdCompressor(level=1)
         packed = [deflate.compress(rows[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-        lists = _lists({"i": ids, "p": places.astype(np.int32), "h": hashes, "l": left.astype(np.int8), "r": right.astype(np.int8)}, bounds)
+        lists = _lists({"i": ids, "p": places.astype(np.int32), "h": hashes, "l": left.astype(np.int16), "r": right.astype(np.int16)}, bounds)
         return pa.Table.from_arrays([pa.array(bucket[bounds[:-1]].astype(np.int32)), *lists, pa.array(packed, pa.binary())], schema=schema)
 
-    return docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket int, ids array<long>, places array<int>, hashes array<long>, lefts array<byte>, rights array<byte>, bytes binary")
+    return docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket int, ids array<long>, places array<int>, hashes array<long>, lefts array<short>, rights array<short>, bytes binary")
 
 
 def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
@@ -384,7 +388,7 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
         ids, places, hashes, left, right = (_flat(table, c).astype(np.int64) for c in ("ids", "places", "hashes", "lefts", "rights"))
         rows = np.frombuffer(b"".join(inflate.decompress(x) for x in table.column("bytes").to_pylist()), np.uint8).reshape(len(ids), width)
         # Distinct surroundings of each gram, with their smallest document.
-        order, fresh = distinct_rows(hashes, left.astype(np.uint8)[:, None], right.astype(np.uint8)[:, None], rows)
+        order, fresh = distinct_rows(hashes, _two_bytes(left), _two_bytes(right), rows)
         ids, places, hashes, left, right = (x[order] for x in (ids, places, hashes, left, right))
         heads, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         first = np.minimum.reduceat(ids, heads)
@@ -398,7 +402,7 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
         if len(some):
             columns = np.arange(width)
             cut_out = np.where((columns >= reach - to_left[some, None]) & (columns < reach + to_right[some, None]), rows[some], 0).astype(np.uint8)
-            order, fresh = distinct_rows(grams[some], to_left[some].astype(np.uint8)[:, None], to_right[some].astype(np.uint8)[:, None], cut_out)
+            order, fresh = distinct_rows(grams[some], _two_bytes(to_left[some]), _two_bytes(to_right[some]), cut_out)
             some, cut_out = some[order], cut_out[order]
             begins = np.flatnonzero(fresh)
             cut_first, gram_of = np.minimum.reduceat(first[some], begins), grams[some[begins]]
@@ -469,7 +473,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text, or between rows with the same id, nothing is removed. A null text is
     empty. Texts under `length` bytes lose nothing. A row with a null id neither
     loses bytes nor takes any. An empty table gives none; other columns are not read.
+    `length` is from GRAM to 32767.
     """
+    if not GRAM <= length < 1 << 15:
+        raise ValueError(f"length is from {GRAM} to {(1 << 15) - 1}")
     base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("rest"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(total / BUCKET_BYTES))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SENTENCEPIECE_MODEL, batches_of, load_sentencepiece, small_batches
-from .piece_table import MARK, crossing_pieces
+from .piece_table import MARK, splittable
 
 SPACE = 0x20
 
@@ -71,7 +71,8 @@ def count_tokens(docs: DataFrame, model: str = SENTENCEPIECE_MODEL, id_col: str
 
     Equals len(encode(text)) of the library. A null or empty text has 0 bytes
     and 0 tokens. Texts of up to `chunk` bytes are encoded whole; longer ones in
-    overlapping chunks. Repeated rows give repeated results; other columns are
+    overlapping chunks, if the model keeps characters and blanks as they are and
+    no piece crosses into a word; with other models all are encoded whole. Repeated rows give repeated results; other columns are
     not read. An empty table gives none.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -79,7 +80,7 @@ def count_tokens(docs: DataFrame, model: str = SENTENCEPIECE_MODEL, id_col: str
     def run(batches):
         processor = load_sentencepiece(model)
         lengths = surface_bytes(processor)
-        whole = crossing_pieces(processor)
+        whole = not splittable(processor)
         for batch in batches:
             for start, part in batches_of(batch.column(1), batch_bytes):
                 sizes = pc.fill_null(pc.binary_length(part), 0).cast(pa.int64())

@@ -237,6 +237,20 @@ def test_repeats(spark, docs):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("length", [20, 50, 200])
+def test_repeats_of_any_length(spark, length):
+    rng = random.Random(length)
+    shared = [bytes(rng.choice(b"ab\x00") for _ in range(500)).decode() for _ in range(3)]
+    given = ["first " + "\x00" * 60, "other " + "\x00" * 60, "\x00" * 300, "x" * 700, "y" + "x" * 650]
+    given += [rng.choice(shared)[rng.randrange(200) :][: rng.randrange(300)] + str(i) + rng.choice(shared)[rng.randrange(300) :] for i in range(30)]
+    want = brute_repeats({i: t.encode() for i, t in enumerate(given)}, length)
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    for r in suffix_dedup.remove_repeats(rows, length=length).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(rows, length=10)
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(9)
     for n in (5, 6, 7, 8, 40, 301):
