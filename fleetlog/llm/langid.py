@@ -8,9 +8,11 @@ ridge regression of each language against the rest gives the scores. Since
 (X L') M = X (L' M), scoring a batch is one product of its presence matrix with
 a small weight matrix.
 
-The fit uses at most `per_lang` texts of each language and `landmarks` of them
-in all, both parameters; each comes to the driver as a bit vector of BUCKETS / 8
-bytes. Everything else covers all rows and whole texts.
+The fit uses at most `per_lang` distinct texts of each language, those with the
+smallest hashes, and `landmarks` of them in all, both parameters; each comes to
+the driver as a bit vector of BUCKETS / 8 bytes. Everything else covers all rows
+and whole texts. A text long enough to have most n-grams fills the buckets; the
+more it fills, the less it tells.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +30,6 @@ from .common import batches_of, small_batches
 BUCKETS = 1 << 14
 ORDERS = 3
 UNKNOWN = "und"
-MOST_LANGS = 1000
 #: Texts with fewer different n-grams are too short to be called foreign.
 FEW_GRAMS = 48
 #: The border of a claim when there are fewer than three languages, so that none can be left out.
@@ -135,27 +136,36 @@ def border_of(model: Model, bits: np.ndarray, labels: list[str], landmarks: int,
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, landmarks: int = 256, ridge: float = 1.0, judge: bool = False) -> Model | None:
-    """Learn from the texts of rows where `learn` holds and the language is not null.
+    """Learn from the texts of rows where `learn` holds, the language is not null and there is a letter.
 
-    The texts of a language are thinned by a hash of the text to about `per_lang`.
-    Null when no row has a letter. The number of languages is bounded by MOST_LANGS.
-    With `judge` the border of a claim is chosen on the same texts.
+    Of each language the `per_lang` distinct texts with the smallest hashes are learned, so copies
+    count once and no language is left out. The driver gets `per_lang` vectors of 2 KB for each
+    language. Null when no row has a letter. With `judge` the border of a claim is chosen on the same texts.
     """
-    rows = small_batches(docs).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    rows = small_batches(docs).where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col, F.lit(2)).alias("h"))
+    # One row for each language.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))])[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("text", F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+    # About twice as many as needed, thinned before they are ordered.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_lang / max(1, r["n"])))])[F.col("lang")]
+    drawn = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
 
     def features(batches):
         letters = letter_table()
+        seen = set()
         for batch in batches:
             for start, part in batches_of(batch.column(0), 8 << 20):
-                found = [None if text is None else presence(text, letters) for text in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([None if x is None else np.packbits(x).tobytes() for x in found], pa.binary()), batch.column(1).slice(start, len(part))], names=["bits", "lang"])
-
-    got = sorted((r.lang, bytes(r.bits)) for r in rows.where(drawn).mapInArrow(features, "bits binary, lang string").where("bits is not null").collect())
+                rest = batch.slice(start, len(part))
+                keys = list(zip(rest.column(1).to_pylist(), rest.column(2).to_pylist()))
+                # Of copies the task's first is enough.
+                fresh = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+                found = [presence(part[i].as_py(), letters) for i in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array([None if x is None else np.packbits(x).tobytes() for x in found], pa.binary()), *(rest.column(k).take(pa.array(fresh, pa.int64())) for k in (1, 2))], names=["bits", "lang", "h"])
+
+    sample = rows.where(drawn).mapInArrow(features, "bits binary, lang string, h long").where("bits is not null").groupBy("lang", "h").agg(F.first("bits").alias("bits"))
+    smallest = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    got = sorted((r.lang, bytes(r.bits)) for r in sample.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= per_lang).select("lang", "bits").collect())
     if not got:
         return None
     rng = np.random.default_rng(0)

@@ -82,7 +82,30 @@ QUERIES = {
 #: Groups by following links from the smallest id of each.
 _REACH = "reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"
 
+
+
+
+def _poured(level: str, nodes: str, parent: str) -> str:
+    """SQL of one level of the tree: the parents' budgets poured over their children of weight 1, in the order of supply."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    return f"""{level}_level AS (SELECT *, (least(budget, sum(supply) OVER ({by})) - coalesce(sum(supply) OVER ({by} ORDER BY supply, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / (count(*) OVER ({by}) - coalesce(count(*) OVER ({by} ORDER BY supply, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM ({nodes})),
+    {level}_first AS (SELECT *, first(CASE WHEN supply > level + 1e-6 THEN level END IGNORE NULLS) OVER ({by} ORDER BY supply, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS water FROM {level}_level),
+    {level}_given AS (SELECT *, coalesce(water, supply) AS given FROM {level}_first)"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_mixing": f"""WITH rows AS (SELECT doc_id, row_number() OVER () AS r, md5(coalesce(text, '')) AS digest, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+      CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS BIGINT) AS n_tokens,
+      'd' || coalesce(CAST(TRY_CAST(nullif(regexp_extract(coalesce(source, 'none'), '([0-9]+)$', 1), '') AS BIGINT) % 4 AS VARCHAR), '?') AS domain FROM documents),
+    leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS DOUBLE) * 4 AS supply FROM rows GROUP BY ALL),
+    {_poured('a', "SELECT domain AS name, domain, sum(supply) AS supply, (SELECT floor(sum(tokens) * 0.5) FROM leaf) AS budget FROM leaf GROUP BY ALL", "")},
+    {_poured('b', "SELECT l.lang AS name, l.domain, l.lang, sum(l.supply) AS supply, any_value(a.given) AS budget FROM leaf l JOIN a_given a USING (domain) GROUP BY ALL", "domain")},
+    {_poured('c', "SELECT l.source AS name, l.domain, l.lang, l.source, l.tokens, l.supply, b.given AS budget FROM leaf l JOIN b_given b USING (domain, lang)", "domain, lang")},
+    plan AS (SELECT domain, lang, source, tokens, CAST(floor(given + 1e-6) AS BIGINT) AS leaf_budget FROM c_given),
+    part AS (SELECT *, CASE WHEN tokens > 0 THEN leaf_budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN leaf_budget % tokens ELSE 0 END AS rest FROM plan),
+    line AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '3', whole, coalesce(CAST(doc_id AS VARCHAR), ''), digest))[:15], doc_id, digest, r) AS upto FROM rows JOIN part USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies, tokens AS leaf_tokens, leaf_budget FROM line""",
     "op5_range_join": f"""WITH RECURSIVE ok AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),

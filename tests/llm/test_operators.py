@@ -88,6 +88,42 @@ def test_language(spark, sf, docs):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_is_the_explicit_kernel(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(80).collect()
+    given = spark.createDataFrame([(r.doc_id, r.text[:150], r.lang) for r in rows], "doc_id long, text string, lang string")
+    learn = [r for r in rows if r.doc_id % 3]
+
+    def grams(text):
+        clean = "".join(c if c.isalpha() else " " for c in text[:150].lower())
+        return {clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    sets = [grams(r.text) for r in learn]
+    langs = sorted({r.lang for r in learn})
+    gram = np.array([[kernel(a, b) for b in sets] for a in sets])
+    alpha = np.linalg.solve(gram + np.eye(len(sets)), np.array([[1.0 if r.lang == x else -1.0 for x in langs] for r in learn]))
+    # All learned texts are landmarks, so Nystrom features lose nothing; buckets that two n-grams share do, a little.
+    model = langid.fit(given, F.col("doc_id") % 3 != 0)
+    got = {r.doc_id: r for r in langid.predict(given, model).collect()}
+    for r in rows:
+        raw = np.array([kernel(grams(r.text), x) for x in sets]) @ alpha
+        best = int(raw.argmax())
+        assert abs(got[r.doc_id].score - min(1, max(0, (raw[best] + 1) / 2))) < 0.06
+        assert got[r.doc_id].lang_pred == langs[best] or np.sort(raw)[-1] - np.sort(raw)[-2] < 0.05
+
+
+def test_language_of_copies(spark):
+    words = {"fr": "le chat est sur la table et le chien dort", "en": "the cat is on the table and the dog sleeps"}
+    rows = [(i, words["fr"], "fr") for i in range(3000)] + [(5000 + i, f"{words['en']} number {i}", "en") for i in range(50)] + [(9000, "123", "xx"), (9001, None, "yy"), (9002, "où " * 300_000, None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(given, F.lit(True), per_lang=20)
+    assert model.langs == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(given, model).collect()}
+    assert all(got[i] == "fr" for i in range(3000)) and all(got[5000 + i] == "en" for i in range(50)) and got[9000] == got[9001] == "und" and got[9002] in model.langs
+
+
 @pytest.mark.parametrize("foreign", ["de", "en", "es", "fr"])
 def test_language_stage_rejects(spark, sf, foreign):
     import corpus_pipeline as pipeline
@@ -124,6 +160,17 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_is_repeatable(spark):
+    rows = [(i % 3 if i % 4 else None, f"w{i % 7} x y" * (i % 5) or None, "en", "src1") for i in range(400)] + [(7, "same row", "en", "src2")] * 2500
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    seen = {tuple(sorted((str(r) for r in mixing.mix(given.repartition(n)).collect()))) for n in (1, 3, 8)}
+    assert len(seen) == 1
+    made = mixing.mix(given, fraction=0.5, epochs=1).collect()
+    assert len(made) == len(rows)
+    drawn = sum(r.copies * r.n_tokens for r in made)
+    assert 0.9 * sum(r.n_tokens for r in made) * 0.5 < drawn <= sum(r.n_tokens for r in made) * 0.5
+
+
 def test_water_level(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("a", "y", "3", 5), ("b", "x", "4", 1000)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.budget for r in mixing.budgets(leaves, 200, epochs=1).collect()}
