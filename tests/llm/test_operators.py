@@ -241,7 +241,7 @@ def test_range_join(spark, monkeypatch):
 
 
 def test_sharding(spark, docs):
-    many = docs.select("doc_id", "text").unionByName(spark.range(5000, 9000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))).unionByName(spark.createDataFrame([(None, "n"), (None, None)], "doc_id long, text string"))
+    many = docs.select("doc_id", "text").unionByName(spark.range(5000, 9000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))).unionByName(spark.createDataFrame([(None, "n"), (None, None)] + [(None, "same")] * 300, "doc_id long, text string"))
     rows = sharding.shard(many, part_rows=100).collect()
     assert len(rows) == many.count()
     total, biggest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
@@ -258,6 +258,20 @@ def test_sharding(spark, docs):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(11)
+    rows = [(i, f"text {rng.randrange(6000)} " * 3) for i in range(20_000)] + [(30_000 + i, "large group") for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), ranges=16, part_rows=50).collect()
+    known, where = dict(rows), {}
+    for r in got:
+        where.setdefault(known[r.doc_id], set()).add(r.shard)
+    assert all(len(v) == 1 for t, v in where.items() if t != "large group") and len(got) == len(rows)
+    sums = [sum(r["size"] for r in got if r.shard == s) for s in range(16)]
+    assert max(sums) <= 1.05 * sum(sums) / 16 and min(sums) >= 0.95 * sum(sums) / 16
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def brute_repeats(texts: dict, length: int = 50) -> dict:
     first, out = {}, {}
     for i in sorted(texts):
