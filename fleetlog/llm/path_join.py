@@ -2,13 +2,17 @@
 
 A text's set holds its word 5-grams; its signature has TOKENS sampled tokens
 (minwise hashes, so two sets share each token with the probability of their
-similarity). A run starts with all sets in one bucket and splits: each bucket
-samples one of the tokens by a hash of its path (a quarter of the buckets two),
-and sets that share the token go on together. A bucket of at most `small` sets,
-or one that has been split `depth` times, is compared by brute force, in tiles
-of signatures: pairs that agree in fewer than `agree` tokens are far below the
-threshold. Runs are repeated until a pair at the threshold is found with
-probability `recall`.
+similarity). Sets with equal signatures are joined at once and go on as one. A run
+starts with all sets in one bucket and splits: each bucket samples one of the
+tokens by a hash of its path (a quarter of the buckets two), and sets that share
+the token go on together until a bucket has at most `small` sets. Small buckets
+are compared by brute force: pairs that agree in fewer than `agree` tokens are far
+below the threshold. Runs are repeated until a pair at the threshold that passes
+`usual` splits is found with probability `recall`; sets that came into buckets
+which needed more splits get as many more runs as the deepest needs. A large bucket
+of which a share ALIKE stays together in a split is a group of near copies, which
+more splits would only multiply; it is compared in tiles, as is what is still large
+after `depth` splits.
 
 What runs find joins sets to candidate groups, by spanning edges and never as
 all pairs. Inside each group every pair of tiles is compared once on the whole
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from .graph import components, forest, sorted_groups, tile_pairs
 
 TOKENS = 64
 TILE = 512
+ALIKE = 0.7
 
 
 class WordHashes(dict):
@@ -63,6 +69,11 @@ def signature(grams: np.ndarray, odd: np.ndarray, piece: int = 4096) -> np.ndarr
     return least
 
 
+def text_hash(text_col: str):
+    """The md5 of a text, null as empty, as bytes."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(id, text_hash, n, tokens array<int>) for each row."""
 
@@ -84,28 +95,62 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, text_hash binary, n long, tokens array<int>")
 
 
-def runs_for(recall: float, threshold: float, depth: int) -> int:
-    """Runs after which a pair at the threshold that has to pass `depth` splits is found with that probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+def found_in(share: float, depth: int) -> float:
+    """Probability that a run finds a pair that agrees in a share of its tokens, if it has to pass `depth` splits."""
+    alive = 1.0
+    for _ in range(depth - 1):
+        one = share * alive
+        alive = one + 0.25 * (1 - 1 / TOKENS) * (1 - one) * one
+    return share * alive
 
 
-def buckets(sets: DataFrame, runs: int, small: int, depth: int) -> DataFrame:
-    """(path, id, n) of the buckets that are to be compared, by recursive splitting."""
-    node = sets.select("id", "tokens", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("path", F.xxhash64("run"))
-    out = None
-    for level in range(1, depth + 1):
+def runs_for(recall: float, threshold: float, depth: int) -> int:
+    """Runs after which a pair at the threshold that has to pass `depth` splits is found with that probability. All runs draw from the same tokens, of which a binomial number agrees."""
+    chances = [(math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k), found_in(k / TOKENS, depth)) for k in range(TOKENS + 1)]
+    runs = 1
+    while sum(p * (1 - found) ** runs for p, found in chances) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def buckets(sets: DataFrame, first: int, last: int, small: int, depth: int, usual: int) -> tuple[DataFrame, DataFrame, int]:
+    """The buckets (path, id, n) of the runs from first to last that are to be compared, the ids in buckets that need more than `usual` splits, and the most splits made."""
+    node = sets.select("id", "tokens", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select("id", "tokens", F.xxhash64("run").alias("path"), F.lit(None).cast("long").alias("whole"))
+    leaves, dense, level = [], [], 0
+    while True:
+        level += 1
         sampled = F.array(*[F.pmod(F.xxhash64("path", F.lit(k)), F.lit(TOKENS)).cast("int") for k in (0, 1)])
-        sampled = F.slice(sampled, 1, F.when(F.lit(level > 1) & (F.pmod(F.xxhash64("path", F.lit(2)), F.lit(4)) == 0), 2).otherwise(1))
-        child = node.withColumn("at", F.explode(sampled)).select("id", F.xxhash64("path", "at", F.expr("tokens[at]")).alias("path"))
+        sampled = F.array_distinct(F.slice(sampled, 1, F.when(F.lit(level > 1) & (F.pmod(F.xxhash64("path", F.lit(2)), F.lit(4)) == 0), 2).otherwise(1)))
+        child = node.withColumn("at", F.explode(sampled)).select("id", "whole", F.xxhash64("path", "at", F.expr("tokens[at]")).alias("path"))
         sizes = child.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         placed = cut(child.join(sizes, "path"))
-        leaves = placed if level == depth else placed.where(F.col("n") <= small)
-        out = leaves if out is None else out.unionByName(leaves)
-        deeper = placed.where(F.col("n") > small).select("id", "path")
+        # Of sets that are alike most go on together, and splitting them further only makes copies.
+        alike = F.coalesce(F.col("n") >= ALIKE * F.col("whole"), F.lit(False)) & F.lit(level >= usual)
+        done = (F.col("n") <= small) | alike | F.lit(level == depth)
+        leaves.append(placed.where(done).select("path", "id", "n"))
+        deeper = placed.where(~done).select("id", "path", F.col("n").alias("whole"))
+        if level >= usual:
+            dense.append(deeper.select("id"))
         if level == depth or deeper.isEmpty():
             break
         node = deeper.join(sets.select("id", "tokens"), "id")
-    return out
+    none = sets.select("id").where("false")
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, dense, none).distinct(), level
+
+
+def candidates(sets: DataFrame, recall: float, threshold: float, small: int, depth: int, usual: int, agree: int) -> DataFrame:
+    """Spanning edges (a, b) of the pairs of sets that the runs find."""
+    signed = sets.select("id", "tokens", F.xxhash64("tokens").alias("sign"))
+    leads = cut(signed.groupBy("sign").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.count("*").alias("k")))
+    equal = signed.select("id", "sign").join(leads.where("k > 1").select("sign", F.col("id").alias("lead")), "sign").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    runs = runs_for(recall, threshold, usual)
+    found, dense, deepest = buckets(leads, 1, runs, small, depth, usual)
+    edges = candidate_edges(leads, found, agree)
+    if deepest > usual:
+        among = cut(leads.join(dense, "id", "left_semi").select("id", "tokens"))
+        found, _, _ = buckets(among, runs + 1, runs_for(recall, threshold, deepest), small, depth, usual)
+        edges = edges.unionByName(candidate_edges(among, found, agree))
+    return edges.unionByName(equal)
 
 
 def candidate_edges(sets: DataFrame, found: DataFrame, agree: int) -> DataFrame:
@@ -172,11 +217,12 @@ def overlaps(one: list[np.ndarray], other: list[np.ndarray], columns: int = 8192
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, threshold: float):
-    """Rows (kind, a, b): kind 0 a spanning edge of links, kind 1 the weight b of a's links, from (id, component, weight, n)."""
+    """Rows (kind, a, b): kind 0 a spanning edge of links, kind 1 the weight b of a's links, from groups (id, component, weight, n, and own and text_hash of a row with the set's text)."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     tiles = F.greatest(F.ceil(F.col("sets") / TILE), F.ceil(F.col("grams") / 500_000)).cast("int")
-    sized = groups.join(sizes, "component").select("id", "component", "weight", tiles.alias("tiles"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sized, "id").dropDuplicates(["id"])
+    sized = groups.join(sizes, "component").select("id", "own", "text_hash", "component", "weight", tiles.alias("tiles"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("hash"))
+    rows = given.join(sized, (F.col("hash") == F.col("text_hash")) & F.col("doc").eqNullSafe(F.col("own"))).dropDuplicates(["id"])
 
     def grams(batches):
         hashes = WordHashes()
@@ -234,25 +280,53 @@ def _kinds(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made[:, 0].astype(np.int32)), pa.array(made[:, 1]), pa.array(made[:, 2])], names=["kind", "a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.9999, depth: int = 3, small: int = 64, agree: int = 36) -> DataFrame:
-    """One row per row of `docs`: id, class_id (smallest id of its group), n_links (other rows with an equal or similar text).
-
-    Groups follow links transitively. Equal texts are linked whatever their
-    length; a null text counts as empty, and a text without words is like none
-    but its equals. Ids are unique or null: rows with a null id have null
-    results if no row with an equal text has one. Repeated rows share theirs.
-    An empty table gives none; other columns are not read.
-    """
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.9999, small: int = 64, depth: int = 12, usual: int = 3, agree: int = 36) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, text_hash) and each distinct text: text_hash, own (its smallest id), class_id (its group's smallest id), n_links, leads (whether it is the one text of its group that has the smallest id, then the smallest hash; a missing id comes last)."""
     slim = cut(sketches(small_batches(docs), id_col, text_col, words))
-    classes = slim.groupBy("text_hash").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = cut(classes)
-    sets = classes.where("n > 0 and id is not null").select("id", "weight", "n", "tokens")
-    found = buckets(sets, runs_for(recall, threshold, depth), small, depth)
-    groups = components(candidate_edges(sets, found, agree)).withColumnRenamed("node", "id")
+    classes = cut(slim.groupBy("text_hash").agg(F.min("id").alias("own"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    # Numbers of the rows of the checkpoint, which don't change.
+    classes = classes.withColumn("id", F.monotonically_increasing_id())
+    sets = classes.where("n > 0").select("id", "weight", "n", "tokens", "own", "text_hash")
+    groups = components(candidates(sets, recall, threshold, small, depth, usual, agree)).withColumnRenamed("node", "id")
     groups = cut(sets.drop("tokens").join(groups, "id"))
     exact = exact_links(docs, groups, id_col, text_col, words, threshold)
     classed = components(exact.where("kind = 0").select("a", "b")).withColumnRenamed("node", "id")
     linked = exact.where("kind = 1").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("similar"))
-    known = classes.select("text_hash", F.col("id").alias("own"), "weight").join(classed.withColumnRenamed("id", "own"), "own", "left").join(linked.withColumnRenamed("id", "own"), "own", "left")
-    known = known.select("text_hash", F.coalesce("component", "own").alias("class_id"), (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_links"))
-    return slim.select("id", "text_hash").join(known, "text_hash").select(F.col("id").alias(id_col), "class_id", "n_links")
+    known = classes.select("text_hash", "id", "own", "weight").join(classed, "id", "left").join(linked, "id", "left")
+    best = groups.select("id", "own", "text_hash").join(classed, "id").groupBy("component").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "text_hash")).alias("best"))
+    known = known.join(best, "component", "left").select(
+        "text_hash", "own", F.when(F.col("best").isNull(), F.col("own")).otherwise(F.col("best.own")).alias("class_id"),
+        (F.col("weight") - 1 + F.coalesce("similar", F.lit(0))).alias("n_links"), F.coalesce(F.col("best.text_hash") == F.col("text_hash"), F.lit(True)).alias("leads"),
+    )
+    return slim.select("id", "text_hash"), known
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row per row of `docs`: id, class_id (smallest id of its group), n_links (other rows with an equal or similar text).
+
+    Groups follow links transitively. Equal texts are linked whatever their
+    length; a null text counts as empty, and a text without words is like none
+    but its equals. Ids may repeat or be null; class_id is null where the whole
+    group has none. Very long texts are compared whole. An empty table gives
+    none; other columns are not read. `how` has the other parameters of classified().
+    """
+    rows, known = classified(docs, id_col, **how)
+    return rows.join(known, "text_hash").select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of `docs`, all columns, less near duplicates: of each group one row stays, of the text with the smallest id; rows without an id come last.
+
+    Rows that agree in id and text count as one document, and any one of them stays.
+    """
+    rows, known = classified(docs, id_col, text_col, **how)
+    given = rows.join(known, "text_hash").withColumn("stays", F.col("leads") & F.col("id").eqNullSafe(F.col("own")))
+    # One row for each id and text that goes.
+    gone = given.where("not stays").select(F.col("id").alias("_gone"), "text_hash").distinct()
+    keyed = docs.withColumn("_hash", text_hash(text_col))
+    kept = keyed.join(gone, (F.col("_hash") == F.col("text_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = given.where("stays").groupBy("id", "text_hash").count().where("count > 1").select("text_hash")
+    if not repeated.isEmpty():
+        same = F.col("_hash") == F.col("text_hash")
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["_hash"]))
+    return kept.select(docs.columns)

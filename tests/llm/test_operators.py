@@ -380,7 +380,7 @@ def test_near_duplicates(spark, docs, monkeypatch):
         for _ in range(rng.randrange(1, 5)):
             t[rng.randrange(150)] = f"x{rng.randrange(9)}"
         many.append((1000 + i, " ".join(t)))
-    given = docs.select("doc_id", "text", F.lit(0).alias("id")).unionByName(spark.createDataFrame([(*r, 0) for r in many], "doc_id long, text string, id int"))
+    given = docs.select("doc_id", "text", F.lit(0).alias("own")).unionByName(spark.createDataFrame([(*r, 0) for r in many], "doc_id long, text string, own int"))
     root, links = brute_jaccard(local(given))
     for small in (64, 8):
         for r in path_join.near_duplicates(given, small=small).collect():
@@ -388,6 +388,49 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert path_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_any_ids(spark):
+    base = " ".join(f"n{i}" for i in range(200))
+    rows = [(1, "one text here"), (1, "quite another text"), (1, base), (1, base), (None, base + " tail"), (None, "lonely"), (None, "lonely"), (5, base + " end"), (3, None), (4, ""), (None, " ")]
+    given = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, leads string").repartition(4)
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.n_links) for r in path_join.near_duplicates(given).collect()))
+    assert got == sorted([(1, 1, 0), (1, 1, 0), (1, 1, 3), (1, 1, 3), (0, 1, 3), (0, 0, 1), (0, 0, 1), (5, 1, 3), (3, 3, 1), (4, 3, 1), (0, 0, 0)])
+    kept = path_join.without_duplicates(given)
+    assert kept.columns == given.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, "one text here"), (1, "quite another text"), (1, base), (0, "lonely"), (3, ""), (0, " ")])
+
+
+def test_recall_at_the_threshold(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for k in range(400):
+        # 96 n-grams; five words apart, two changed words take ten of them: 86 of 106 are shared.
+        own = [f"p{k}x{i}" for i in range(100)]
+        like = list(own)
+        for at in (rng.randrange(10, 40), rng.randrange(50, 90)):
+            like[at] = "changed"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(like))]
+    got = {r.doc_id: r.class_id for r in path_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 399
+    for depth in (3, 8):
+        assert path_join.runs_for(0.9999, 0.8, depth) > path_join.runs_for(0.99, 0.8, depth)
+
+
+def test_dense_sets(spark):
+    rng = random.Random(13)
+    base = [f"d{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        t = list(base)
+        for at in rng.sample(range(300), 3):
+            t[at] = f"y{rng.randrange(99)}"
+        rows.append((i, " ".join(t)))
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    root, links = brute_jaccard(dict(rows))
+    assert len(set(root.values())) < 300
+    for r in path_join.near_duplicates(given, small=32).collect():
+        assert (r.class_id, r.n_links) == (root[r.doc_id], links[r.doc_id])
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
     from fleetlog.llm.common import cut_table
