@@ -25,10 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once; rows without an id stay."""
-    gone = path_join.near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest id stays, once. Rows with a repeated id but different texts are different documents, and so are rows without an id."""
+    return path_join.without_duplicates(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +40,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mixture of MIX_FRACTION of the tokens, domains, languages and sources as even as supply allows; each document once at most. Rows without an id can't be drawn."""
-    drawn = mixing.mix(docs, fraction=MIX_FRACTION, epochs=1).where("copies > 0").select("doc_id")
-    return docs.join(drawn, "doc_id", "left_semi").select(docs.columns)
+    """A mixture of MIX_FRACTION of the tokens, domains, languages and sources as even as supply allows; each document once at most."""
+    return mixing.draw(docs, fraction=MIX_FRACTION)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
