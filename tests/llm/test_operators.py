@@ -454,3 +454,23 @@ def test_pipeline(spark, sf):
     assert set(kept) <= set(got) and 0.5 < sum(len(t.split()) for t in kept.values()) / sum(len(t.split()) for t in got.values()) <= 0.8
     assert {r.doc_id for r in held["pieces"].collect()} == set(kept)
     assert sorted(r.n_tokens for r in pipeline.run(spark, sf).collect()) == sorted(r.n_tokens for r in held["pieces"].collect())
+
+
+def test_pipeline_of_odd_rows(spark, sf):
+    import corpus_pipeline as pipeline
+
+    known = spark.read.parquet(f"{sf}/documents.parquet")
+    word = {r.doc_id: r for r in known.limit(12).collect()}
+    a, b, c = (list(word.values())[i] for i in (0, 1, 2))
+    odd = [(1, a.text, a.lang, a.source, a.n_chars), (1, b.text, b.lang, b.source, b.n_chars), (None, c.text, c.lang, c.source, c.n_chars), (7, None, None, None, None), (8, "", "en", "src1", 0)]
+    docs = spark.createDataFrame(odd, known.schema)
+    near = pipeline.drop_near_duplicates(spark, docs, sf)
+    assert sorted((r.doc_id or 0, r.text or "") for r in near.collect()) == sorted([(1, a.text), (1, b.text), (0, c.text), (7, "")])
+    for fraction in (1.0,):
+        from fleetlog.llm import mixing
+
+        assert mixing.draw(near, fraction=fraction).count() >= 3
+    none = known.limit(0)
+    for name, stage in pipeline.STAGES:
+        none = stage(spark, none, sf)
+        assert none.count() == 0, name
