@@ -28,8 +28,10 @@ SLACK = 1e-9
 
 
 def unit_rows(column) -> np.ndarray:
-    made = np.stack([np.asarray(x, np.float64) for x in column.to_pylist()])
-    made /= np.abs(made).max(1, keepdims=True)
+    """Vectors of one length, as rows of unit length."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    made = np.concatenate([np.asarray(x.flatten(), np.float64) for x in parts]).reshape(len(column), -1)
+    made = made / np.abs(made).max(1, keepdims=True)
     return made / np.sqrt((made * made).sum(1, keepdims=True))
 
 
