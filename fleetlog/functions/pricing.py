@@ -52,9 +52,11 @@ def _stripped(name: str) -> str:
     return f"case when {name} rlike '-[0-9]{{4,}}$' then regexp_replace({name}, '-[0-9]{{4,}}$', '') when {name} rlike '^.+[.][0-9]*$' then regexp_replace({name}, '[.][0-9]*$', '') else {name} end"
 
 
-def model_candidates(model: str, parts: int = 6) -> Column:
+def model_candidates(model: str) -> Column:
     """Names to look a model up by: as given, after its last slash, without version parts, then without a variant suffix and the same again."""
     base = f"lower(trim({model}))"
+    # No name has more version parts than dashes and dots.
+    parts = f"size(split({base}, '[-.]'))"
     step = f"(a, i) -> array_distinct(concat(a, transform(a, x -> {_stripped('x')})))"
     named = f"aggregate(sequence(1, {parts}), array_distinct(array({base}, substring_index({base}, '/', -1))), {step})"
     suffix = "|".join(VARIANT_SUFFIXES)

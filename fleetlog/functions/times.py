@@ -52,6 +52,13 @@ def validate_range(start: str | None, end: str | None) -> tuple[str, str] | None
     return start, end
 
 
+def range_problem(start: str, end: str) -> Column:
+    """As validate_range() for two text columns: why they are no range; null for a range or none at all."""
+    a, b = F.col(start), F.col(end)
+    real = lambda c: F.coalesce(F.regexp_like(c, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & c.try_cast("date").isNotNull() & (c >= "1970-01-01"), F.lit(False))
+    return F.when(a.isNull() & b.isNull(), None).when(a.isNull() | b.isNull(), "half").when(~real(a) | ~real(b), "no date").when(a > b, "order")
+
+
 def _local_start(day: datetime.date, zone: ZoneInfo) -> int:
     """First second of a local day; where midnight is skipped, the first that exists."""
     for minutes in range(0, 24 * 60 + 1, 15):

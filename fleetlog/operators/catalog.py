@@ -112,6 +112,12 @@ def delete_allowed(alive: int, stored: int, aggressive: bool = False) -> bool:
     return aggressive or (alive > 0 and (stored <= 10 or alive / stored > 0.5))
 
 
+def guarded(counts: DataFrame, aggressive: bool = False) -> DataFrame:
+    """Rows (alive, stored) with `allowed`, as delete_allowed() decides."""
+    enough = (F.col("alive") > 0) & ((F.col("stored") <= 10) | (F.col("alive") / F.col("stored") > 0.5))
+    return counts.withColumn("allowed", F.lit(aggressive) | enough)
+
+
 def delete_missing(sessions: DataFrame, scanned_sources: DataFrame, found: DataFrame) -> DataFrame:
     """Without the ids that a rescanned source no longer has; found has (id), scanned_sources (source_path)."""
     missing = sessions.join(scanned_sources, "source_path", "left_semi").join(found.select("id"), "id", "left_anti")
@@ -182,7 +188,10 @@ def parent_by_header_path(headers: DataFrame) -> DataFrame:
     """(id, parent_id) from (id, source_path, parent_path): the session whose log the child's header names, absolutely or from the child's folder; none for itself or a missing log."""
     folder = F.regexp_replace("source_path", "[^/]*$", "")
     path = F.when(F.col("parent_path").startswith("/"), F.col("parent_path")).otherwise(F.concat(folder, "parent_path"))
-    path = F.regexp_replace(F.regexp_replace(path, "/[.]/", "/"), "/[^/]+/[.][.]/", "/")
+    # From the left, `..` takes back the part before it.
+    parts = F.filter(F.split(path, "/"), lambda p: p != ".")
+    step = lambda done, p: F.when((p == "..") & (F.size(done) > 1), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(p)))
+    path = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
     known = headers.select(F.col("source_path").alias("_path"), F.col("id").alias("_id"))
     joined = headers.withColumn("_path", path).join(known, "_path", "left")
     return joined.select("id", F.when(F.col("_id") != F.col("id"), F.col("_id")).alias("parent_id"))

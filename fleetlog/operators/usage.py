@@ -31,8 +31,10 @@ def dedup_cross(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """A hash counts once for a provider: parents before children, then by session and row. The claim stands even if the row is invalid later."""
     known = sessions.select(F.col("id").alias("session_id"), "provider", F.col("parent_id").isNotNull().alias("_child"))
     first = Window.partitionBy("provider", "usage_hash").orderBy("_child", "session_id", "seq")
-    ranked = events.join(known, "session_id").withColumn("_n", F.when(F.col("usage_hash").isNull(), 1).otherwise(F.row_number().over(first)))
-    return ranked.where("_n = 1").drop("_n", "_child", "provider")
+    joined = events.join(known, "session_id")
+    # Rows without a hash all stay, so they don't go through the window, where a provider's would be one partition.
+    claimed = joined.where("usage_hash is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return claimed.unionByName(joined.where("usage_hash is null")).drop("_child", "provider")
 
 
 def invalid_reason() -> Column:
@@ -51,9 +53,9 @@ def invalid_counts(events: DataFrame) -> DataFrame:
     return events.select(invalid_reason().alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds cost: the wire's, else estimated. Prices are looked up once for each distinct model."""
-    known = pricing.lookup(events, prices)
+def priced(events: DataFrame, prices: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Adds cost: the wire's, else estimated. Prices are looked up once for each distinct model, of `models` if it is given: a frame with at least the events' models that is cheaper to read."""
+    known = pricing.lookup(events if models is None else models, prices)
     return events.join(known, "model", "left").withColumn("cost", pricing.resolve_cost()).drop(*[c for c in known.columns if c != "model"])
 
 
@@ -65,7 +67,7 @@ def sum_stats(events: DataFrame) -> DataFrame:
 
 def token_stats(events: DataFrame, prices: DataFrame) -> DataFrame:
     """The fact table: the largest row of each hash, then validity, then price, then sums."""
-    return sum_stats(priced(valid_usage(dedup_max(events)), prices))
+    return sum_stats(priced(valid_usage(dedup_max(events)), prices, events))
 
 
 def counter_delta(rows: DataFrame, counters: list[str]) -> DataFrame:

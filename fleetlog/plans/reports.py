@@ -124,21 +124,23 @@ def project_daily(base: DataFrame, tz: str) -> DataFrame:
 def project_costs(base: DataFrame) -> DataFrame:
     """A row for each project path: name of most input and output tokens, providers, exact session count, sums, and parts by provider and by model."""
     size = F.col("input_tokens") + F.col("output_tokens")
-    names = base.groupBy("project_path", "project_name").agg(F.sum(size).alias("w")).groupBy("project_path").agg(F.max_by("project_name", F.struct("w", "project_name")).alias("project_name"))
-    sets = base.groupingSets([("project_path",), ("project_path", "provider"), ("project_path", "model")], "project_path", "provider", "model").agg(
-        F.grouping_id().alias("g"), F.count_distinct("session_id").alias("sessions"), F.sum(total()).alias("tokens"), dollars().alias("cost_usd"),
+    # Sums of each session first, so that the sets and the exact counts go over fewer rows.
+    each = base.groupBy("project_path", "project_name", "provider", "model", "session_id").agg(F.sum(size).alias("size"), F.sum(total()).alias("all_tokens"), F.sum("cost_usd").alias("cost_usd"))
+    sets = each.groupingSets([("project_path",), ("project_path", "provider"), ("project_path", "model"), ("project_path", "project_name")], "project_path", "project_name", "provider", "model").agg(
+        F.grouping_id().alias("g"), F.count_distinct("session_id").alias("sessions"), F.sum("all_tokens").alias("tokens"), F.sum("size").alias("w"), dollars().alias("cost_usd"),
     )
+    # Bits of the grouping id, from the left: path, name, provider, model; 1 where the set lacks the column.
+    whole, by_name = F.col("g") == 0b0111, F.col("g") == 0b0011
 
     def parts(key: str):
         item = F.struct((-F.col("cost_usd")).alias("order"), F.col(key).alias("name"), "sessions", "tokens", "cost_usd")
-        made = F.sort_array(F.collect_list(F.when(F.col(key).isNotNull(), item)))
+        made = F.sort_array(F.collect_list(F.when(F.col("g") == (0b0101 if key == "provider" else 0b0110), item)))
         return F.transform(made, lambda x: F.struct(x["name"].alias("name"), x["sessions"].alias("sessions"), x["tokens"].alias("tokens"), x["cost_usd"].alias("cost_usd")))
 
-    whole = F.col("provider").isNull() & F.col("model").isNull()
     out = sets.groupBy("project_path").agg(
-        *[F.max(F.when(whole, F.col(c))).alias(c) for c in ("sessions", "tokens", "cost_usd")], F.sort_array(F.collect_set("provider")).alias("providers"), parts("provider").alias("by_provider"), parts("model").alias("by_model"),
+        *[F.max(F.when(whole, F.col(c))).alias(c) for c in ("sessions", "tokens", "cost_usd")], F.sort_array(F.collect_set("provider")).alias("providers"), F.max_by("project_name", F.when(by_name, F.struct("w", "project_name"))).alias("project_name"), parts("provider").alias("by_provider"), parts("model").alias("by_model"),
     )
-    return out.join(names, "project_path").orderBy(F.desc("cost_usd"), "project_path")
+    return out.orderBy(F.desc("cost_usd"), "project_path")
 
 
 def cache_hit_rate():

@@ -14,8 +14,8 @@ from . import usage as U
 
 QUERIES, ORACLES = {}, {}
 TODAY = datetime.date(1998, 3, 5)
-DAY_START, DAY_END = times.day_range_epochs("1998-03-05", "1998-03-05", U.TZ)
-YEAR_START, YEAR_END = times.day_range_epochs(*times.calendar_window(1998, TODAY), U.TZ)
+DAY_START, DAY_END = U.midnight("1998-03-05"), U.midnight("1998-03-06")
+YEAR_START, YEAR_END = U.midnight("1998-01-01"), U.midnight("1998-03-06")
 
 
 def query(name: str, sql: str | None = None):
@@ -46,7 +46,7 @@ def jn_4(spark, sf):
 
 
 @query("agg_19_usage_stats", f"""{U.BASE}, {U.BOUND} SELECT 'sessions' AS part, '' AS name, CAST(count(DISTINCT session_id) AS DOUBLE) AS value FROM bounded UNION ALL SELECT 'model', model, CAST(sum({U.ALL}) AS DOUBLE) FROM bounded GROUP BY 2
-  UNION ALL SELECT 'provider', provider, CAST(count(DISTINCT session_id) AS DOUBLE) FROM bounded GROUP BY 2 UNION ALL SELECT 'previous', '', CAST(count(DISTINCT session_id) AS DOUBLE) FROM base WHERE bucket >= {2 * U.START - U.END} AND bucket < {U.START}""")
+  UNION ALL SELECT 'provider', provider, CAST(count(DISTINCT session_id) AS DOUBLE) FROM bounded GROUP BY 2 UNION ALL SELECT 'previous', '', CAST(count(DISTINCT session_id) AS DOUBLE) FROM base WHERE bucket >= 2 * {U.START_SQL} - {U.END_SQL} AND bucket < {U.START_SQL}""")
 def agg_19(spark, sf):
     made = reports.usage_stats(U.facts(spark, sf), T.sessions(spark, sf), None, U.TZ, TODAY, start="1997-01-01", end="1998-12-31")
     part = lambda df, kind, name, value: df.select(F.lit(kind).alias("part"), name.alias("name"), value.cast("double").alias("value"))

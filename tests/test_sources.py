@@ -131,15 +131,71 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     got = run_stream(jobs.stream_usage(source, "100000 days"), tmp_path, "usage", "complete")
     want = events.groupBy("session_id", (F.floor(F.unix_seconds("ts") / 900) * 900).alias("bucket"), "model").agg(F.sum("input_tokens").alias("n"))
     assert {(r.session_id, r.bucket, r.model, r.input_tokens) for r in got.collect()} == {tuple(r) for r in want.collect()}
-    assert run_stream(jobs.stream_dedup(source, "100000 days"), tmp_path, "dedup").count() == events.select("usage_hash").distinct().count()
+    assert run_stream(jobs.stream_dedup(source, "100000 days"), tmp_path, "dedup").count() == events.select("session_id", "usage_hash").distinct().count()
     bursts = run_stream(jobs.activity_bursts(source, late="100000 days"), tmp_path, "bursts", "complete").agg(F.sum("messages")).first()[0]
     assert bursts == events.count()
-    totals = events.selectExpr("session_id", "seq", "sum(input_tokens) over (partition by session_id order by seq) as total").coalesce(1)
+    totals = events.selectExpr("session_id", "seq", "ts", "if(seq = 3, null, sum(input_tokens) over (partition by session_id order by seq)) as total_input_tokens", "if(seq % 4 = 1, input_tokens + 1, null) as last_input_tokens").coalesce(1)
     totals.write.parquet(str(tmp_path / "totals"))
-    deltas = run_stream(jobs.stream_delta(spark.readStream.schema(totals.schema).parquet(str(tmp_path / "totals"))), tmp_path, "deltas")
-    assert {tuple(r) for r in deltas.collect()} == {(r.session_id, r.seq, r.input_tokens) for r in events.collect()}
+    deltas = run_stream(jobs.stream_delta(spark.readStream.schema(totals.schema).parquet(str(tmp_path / "totals")), late="100000 days"), tmp_path, "deltas")
+    want = usage.counter_delta(totals.withColumn("model", F.lit(None)), ["input_tokens"])
+    assert {(r.session_id, r.seq, r.input_tokens) for r in deltas.collect()} == {(r.session_id, r.seq, r.input_tokens) for r in want.collect()}
     jobs.stream_merge(source.select("session_id", "seq"), str(tmp_path / "merged"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "merged")).count() == events.count()
     write(tmp_path / "lines", "a.jsonl", ["{}", "{}"])
     lines = jobs.file_stream(spark, str(tmp_path / "lines"))
     assert run_stream(lines, tmp_path, "lines").count() == 2
+
+
+def test_stream_keeps_rows_without_hash(spark, tmp_path):
+    rows = [(1, 1, None), (2, 1, None), (1, 2, "h"), (1, 3, "h"), (2, 2, "h")]
+    frame = spark.createDataFrame(rows, "session_id long, seq long, usage_hash string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    frame.write.parquet(str(tmp_path / "in"))
+    got = run_stream(jobs.stream_dedup(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))), tmp_path, "nohash")
+    assert sorted((r.session_id, r.usage_hash) for r in got.collect() if r.usage_hash) == [(1, "h"), (2, "h")] and got.where("usage_hash is null").count() == 2
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    schema = "session_id long, ts timestamp, model string, " + ", ".join(f"{c} long" for c in usage.COUNTERS)
+    for k, ts in enumerate(("2024-01-01 10:00:00", "2024-01-01 20:00:00", "2024-01-01 01:00:00")):
+        spark.createDataFrame([(1, None, "m", 1, 1, 1, 1)], schema).withColumn("ts", F.lit(ts).cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    query = jobs.stream_usage(source, "1 hour").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert jobs.late_rows(query) == 1 and spark.table("late").count() >= 1
+
+
+def test_grown_logs(spark, tmp_path):
+    fmt = logs.LogFormat("p")
+    write(tmp_path, "a.jsonl", ['{"n":1}', '{"n":2}'])
+    write(tmp_path, "b.jsonl", ['{"n":1}', "{torn"], tail="")
+    new, known = jobs.changed_lines(spark, str(tmp_path), fmt)
+    assert sorted((r.source_path[-7], r.line_no) for r in new.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    known = spark.createDataFrame(known.collect(), known.schema)
+    write(tmp_path, "a.jsonl", ['{"n":1}', '{"n":2}', '{"n":3}'])
+    write(tmp_path, "b.jsonl", ['{"n":1}', '{"n":2}'])
+    new, known = jobs.changed_lines(spark, str(tmp_path), fmt, known)
+    assert sorted((r.source_path[-7], r.line_no, r.raw) for r in new.collect()) == [("a", 3, '{"n":3}'), ("b", 2, '{"n":2}')]
+    known = spark.createDataFrame(known.collect(), known.schema)
+    write(tmp_path, "a.jsonl", ['{"m":1}'])
+    new, known = jobs.changed_lines(spark, str(tmp_path), fmt, known)
+    assert [(r.source_path[-7], r.line_no, r.raw) for r in new.collect()] == [("a", 1, '{"m":1}')]
+
+
+def test_lines_in_blocks(spark, tmp_path):
+    rows = [f'{{"n":{i}}}' if i % 7 else "" for i in range(4000)]
+    write(tmp_path, "a.jsonl", rows, tail="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = logs.read_log_lines(spark, str(tmp_path)).collect()
+        assert {(r.line_no, r.raw) for r in got} == {(i + 1, r) for i, r in enumerate(rows) if r}
+        assert logs.read_log_lines(spark, str(tmp_path), torn_tail=True).count() == len(got) - 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_parents_behind_dots(spark):
+    from fleetlog.operators import catalog
+
+    rows = [("p", "/a/x.jsonl", None), ("c", "/a/b/c/y.jsonl", "../.././x.jsonl"), ("d", "/a/z.jsonl", "/a/b/../x.jsonl"), ("e", "/e.jsonl", "e.jsonl")]
+    got = {r.id: r.parent_id for r in catalog.parent_by_header_path(spark.createDataFrame(rows, "id string, source_path string, parent_path string")).collect()}
+    assert got == {"p": None, "c": "p", "d": "p", "e": None}
