@@ -49,10 +49,12 @@ def export_batch(docs: DataFrame, sessions: DataFrame, ids: DataFrame, extension
     return chosen.select(file_name("title", "id", extension).alias("file_name"), "doc")
 
 
-def write_tables(stats: DataFrame, path: str) -> None:
-    """Replaces the days that `stats` has (by bucket_date), and no others."""
-    dated = stats.withColumn("bucket_date", F.to_date(F.timestamp_seconds("bucket")))
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket_date").parquet(path)
+def write_tables(stats: DataFrame, path: str, part: Column | None = None) -> None:
+    """Replaces the parts that `stats` has, and no others: by bucket_date, or by `part`, a named column."""
+    part = F.to_date(F.timestamp_seconds("bucket")).alias("bucket_date") if part is None else part
+    dated = stats.select("*", part)
+    name = dated.columns[-1]
+    dated.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
