@@ -5,14 +5,15 @@ A text's set holds its word 5-grams; its signature has TOKENS sampled tokens
 similarity). Sets with equal signatures are joined at once and go on as one. A run
 starts with all sets in one bucket and splits: each bucket samples one of the
 tokens by a hash of its path (a quarter of the buckets two), and sets that share
-the token go on together until a bucket has at most `small` sets. Small buckets
-are compared by brute force: pairs that agree in fewer than `agree` tokens are far
-below the threshold. Runs are repeated until a pair at the threshold that passes
-`usual` splits is found with probability `recall`; sets that came into buckets
-which needed more splits get as many more runs as the deepest needs. A large bucket
-of which a share ALIKE stays together in a split is a group of near copies, which
-more splits would only multiply; it is compared in tiles, as is what is still large
-after `depth` splits.
+the token go on together until a bucket has at most `small` sets, or, after `usual`
+splits, at most `large`. Such buckets are compared by brute force, in tiles: pairs
+that agree in fewer than `agree` tokens are far below the threshold. Runs are
+repeated until a pair at the threshold that passes `usual` splits is found with
+probability `recall`; sets that came into buckets which needed more splits get as
+many more runs as the deepest needs. A larger bucket of which a share ALIKE stays
+together in a split is a group of near copies, which more splits would only
+multiply; its tiles are compared too, as are those of what is still large after
+`depth` splits.
 
 What runs find joins sets to candidate groups, by spanning edges and never as
 all pairs. Inside each group every pair of tiles is compared once on the whole
@@ -113,7 +114,7 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return runs
 
 
-def buckets(sets: DataFrame, first: int, last: int, small: int, depth: int, usual: int) -> tuple[DataFrame, DataFrame, int]:
+def buckets(sets: DataFrame, first: int, last: int, small: int, large: int, depth: int, usual: int) -> tuple[DataFrame, DataFrame, int]:
     """The buckets (path, id, n) of the runs from first to last that are to be compared, the ids in buckets that need more than `usual` splits, and the most splits made."""
     node = sets.select("id", "tokens", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run")).select("id", "tokens", F.xxhash64("run").alias("path"), F.lit(None).cast("long").alias("whole"))
     leaves, dense, level = [], [], 0
@@ -125,8 +126,8 @@ def buckets(sets: DataFrame, first: int, last: int, small: int, depth: int, usua
         sizes = child.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         placed = cut(child.join(sizes, "path"))
         # Of sets that are alike most go on together, and splitting them further only makes copies.
-        alike = F.coalesce(F.col("n") >= ALIKE * F.col("whole"), F.lit(False)) & F.lit(level >= usual)
-        done = (F.col("n") <= small) | alike | F.lit(level == depth)
+        alike = F.coalesce(F.col("n") >= ALIKE * F.col("whole"), F.lit(False))
+        done = (F.col("n") <= small) | (F.lit(level >= usual) & (alike | (F.col("n") <= large))) | F.lit(level == depth)
         leaves.append(placed.where(done).select("path", "id", "n"))
         deeper = placed.where(~done).select("id", "path", F.col("n").alias("whole"))
         if level >= usual:
@@ -138,17 +139,17 @@ def buckets(sets: DataFrame, first: int, last: int, small: int, depth: int, usua
     return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, dense, none).distinct(), level
 
 
-def candidates(sets: DataFrame, recall: float, threshold: float, small: int, depth: int, usual: int, agree: int) -> DataFrame:
+def candidates(sets: DataFrame, recall: float, threshold: float, small: int, large: int, depth: int, usual: int, agree: int) -> DataFrame:
     """Spanning edges (a, b) of the pairs of sets that the runs find."""
     signed = sets.select("id", "tokens", F.xxhash64("tokens").alias("sign"))
     leads = cut(signed.groupBy("sign").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.count("*").alias("k")))
     equal = signed.select("id", "sign").join(leads.where("k > 1").select("sign", F.col("id").alias("lead")), "sign").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     runs = runs_for(recall, threshold, usual)
-    found, dense, deepest = buckets(leads, 1, runs, small, depth, usual)
+    found, dense, deepest = buckets(leads, 1, runs, small, large, depth, usual)
     edges = candidate_edges(leads, found, agree)
     if deepest > usual:
         among = cut(leads.join(dense, "id", "left_semi").select("id", "tokens"))
-        found, _, _ = buckets(among, runs + 1, runs_for(recall, threshold, deepest), small, depth, usual)
+        found, _, _ = buckets(among, runs + 1, runs_for(recall, threshold, deepest), small, large, depth, usual)
         edges = edges.unionByName(candidate_edges(among, found, agree))
     return edges.unionByName(equal)
 
@@ -280,14 +281,14 @@ def _kinds(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made[:, 0].astype(np.int32)), pa.array(made[:, 1]), pa.array(made[:, 2])], names=["kind", "a", "b"])
 
 
-def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.9999, small: int = 64, depth: int = 12, usual: int = 3, agree: int = 36) -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5, recall: float = 0.9999, small: int = 64, large: int = 8 * TILE, depth: int = 12, usual: int = 3, agree: int = 36) -> tuple[DataFrame, DataFrame]:
     """The rows (id, text_hash) and each distinct text: text_hash, own (its smallest id), class_id (its group's smallest id), n_links, leads (whether it is the one text of its group that has the smallest id, then the smallest hash; a missing id comes last)."""
     slim = cut(sketches(small_batches(docs), id_col, text_col, words))
     classes = cut(slim.groupBy("text_hash").agg(F.min("id").alias("own"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
     # Numbers of the rows of the checkpoint, which don't change.
     classes = classes.withColumn("id", F.monotonically_increasing_id())
     sets = classes.where("n > 0").select("id", "weight", "n", "tokens", "own", "text_hash")
-    groups = components(candidates(sets, recall, threshold, small, depth, usual, agree)).withColumnRenamed("node", "id")
+    groups = components(candidates(sets, recall, threshold, small, large, depth, usual, agree)).withColumnRenamed("node", "id")
     groups = cut(sets.drop("tokens").join(groups, "id"))
     exact = exact_links(docs, groups, id_col, text_col, words, threshold)
     classed = components(exact.where("kind = 0").select("a", "b")).withColumnRenamed("node", "id")

@@ -427,7 +427,7 @@ def test_dense_sets(spark):
     given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     root, links = brute_jaccard(dict(rows))
     assert len(set(root.values())) < 300
-    for r in path_join.near_duplicates(given, small=32).collect():
+    for r in path_join.near_duplicates(given, small=32, large=64).collect():
         assert (r.class_id, r.n_links) == (root[r.doc_id], links[r.doc_id])
 
 
