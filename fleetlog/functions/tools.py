@@ -7,47 +7,47 @@ from pyspark.sql import functions as F
 
 # Canonical tools with their category, label and other names.
 TOOLS = {
-    "Bash": ("shell", "Bash", "Shell shell bash exec exec_command shell_command run_shell_command run_in_terminal run_terminal_command run_terminal_cmd write_stdin Monitor LocalShellCall run_command AwaitShell"),
-    "Read": ("file", "Read", "read ReadFile read_file view view_file"),
-    "Write": ("file", "Write", "write WriteFile write_file create write_to_file"),
-    "Edit": ("file", "Edit", "edit edit_file replace StrReplace str_replace search_replace StrReplaceFile ApplyPatch Apply_patch MultiEdit str_replace_editor apply_patch EditNotebook replace_file_content multi_replace_file_content"),
-    "Delete": ("file", "Delete", "delete"),
-    "Grep": ("search", "Grep", "grep rg Search SemanticSearch grep_search search_file_content"),
-    "Glob": ("search", "Glob", "glob file_search ReadFolder list_directory list list_dir ls find find_by_name"),
-    "Agent": ("agent", "Agent", "Task task Subagent subagent AgentSwarm agent read_agent spawn_agent spawn_subagent wait_agent send_input close_agent invoke_subagent define_subagent"),
-    "SendMessage": ("agent", "send message", "send_message"),
-    "FollowupTask": ("task", "followup task", "followup_task"),
-    "ListAgents": ("agent", "list agents", "list_agents"),
-    "TaskCreate": ("task", "task create", ""),
-    "TaskUpdate": ("task", "task update", ""),
-    "TaskList": ("task", "task list", "task_query"),
-    "TaskOutput": ("task", "task output", "get_task_output get_command_or_subagent_output task_output"),
-    "TaskStop": ("task", "task stop", "kill_task"),
-    "Workflow": ("tool", "workflow", ""),
-    "StructuredOutput": ("tool", "structured output", ""),
-    "Plan": ("plan", "Plan", "update_plan TodoWrite TodoList todo todowrite todo_write EnterPlanMode ExitPlanMode enter_plan_mode exit_plan_mode manage_task"),
-    "AskUserQuestion": ("interaction", "ask user", "request_user_input ask_user question"),
-    "RequestPermissions": ("interaction", "request permissions", "request_permissions ask_permission list_permissions"),
-    "ScheduleWakeup": ("cron", "schedule wakeup", "schedule"),
-    "CronCreate": ("cron", "cron create", ""),
-    "CronList": ("cron", "cron list", ""),
-    "CronDelete": ("cron", "cron delete", ""),
-    "Lint": ("tool", "Lint", "ReadLints"),
-    "WebFetch": ("web", "web fetch", "web_fetch webfetch FetchURL read_url_content"),
-    "WebSearch": ("web", "web search", "web_search web_search_call websearch search_web x_search x_semantic_search x_keyword_search x_thread_fetch x_user_search XSearch"),
-    "ImageGeneration": ("media", "image generation", "image_generation_call image_generation_end image_gen ImageGen image_to_video reference_to_video image_edit"),
-    "DynamicTool": ("tool", "dynamic tool", "dynamic_tool_call dynamic_tool_call_request dynamic_tool_call_response load_workspace_dependencies install_workspace_dependencies"),
-    "JavaScript": ("tool", "node repl", "js js_add_node_module_dir js_reset"),
-    "ReadMediaFile": ("media", "read media file", "view_image"),
-    "ComputerUse": ("tool", "computer use", "get_app_state list_apps click press_key scroll drag type_text set_value select_text perform_secondary_action"),
-    "CreateGoal": ("goal", "create goal", "create_goal"),
-    "GetGoal": ("goal", "get goal", "get_goal"),
-    "SetGoalBudget": ("goal", "set goal budget", "set_goal_budget"),
-    "UpdateGoal": ("goal", "update goal", "update_goal"),
-    "ToolSearch": ("search", "tool search", "codesearch"),
-    "ListMcpResourcesTool": ("search", "list mcp resources", "list_mcp_resources list_mcp_resource_templates read_mcp_resource"),
-    "Skill": ("skill", "skill", "skill"),
-    "SQL": ("database", "SQL", "sql"),
+    "Bash": ("shell", "Bash", ["Shell", "shell", "bash", "exec", "exec_command", "shell_command", "run_shell_command", "run_in_terminal", "run_terminal_command", "run_terminal_cmd", "write_stdin", "Monitor", "LocalShellCall", "run_command", "AwaitShell"]),
+    "Read": ("file", "Read", ["read", "ReadFile", "read_file", "view", "view_file"]),
+    "Write": ("file", "Write", ["write", "WriteFile", "write_file", "create", "write_to_file"]),
+    "Edit": ("file", "Edit", ["edit", "edit_file", "replace", "StrReplace", "str_replace", "search_replace", "StrReplaceFile", "ApplyPatch", "Apply_patch", "MultiEdit", "str_replace_editor", "apply_patch", "EditNotebook", "replace_file_content", "multi_replace_file_content"]),
+    "Delete": ("file", "Delete", ["delete"]),
+    "Grep": ("search", "Grep", ["grep", "rg", "Search", "SemanticSearch", "grep_search", "search_file_content"]),
+    "Glob": ("search", "Glob", ["glob", "file_search", "ReadFolder", "list_directory", "list", "list_dir", "ls", "find", "find_by_name"]),
+    "Agent": ("agent", "Agent", ["Task", "task", "Subagent", "subagent", "AgentSwarm", "agent", "read_agent", "spawn_agent", "spawn_subagent", "wait_agent", "send_input", "close_agent", "invoke_subagent", "define_subagent"]),
+    "SendMessage": ("agent", "send message", ["send_message"]),
+    "FollowupTask": ("task", "followup task", ["followup_task"]),
+    "ListAgents": ("agent", "list agents", ["list_agents"]),
+    "TaskCreate": ("task", "task create", []),
+    "TaskUpdate": ("task", "task update", []),
+    "TaskList": ("task", "task list", ["task_query"]),
+    "TaskOutput": ("task", "task output", ["get_task_output", "get_command_or_subagent_output", "task_output"]),
+    "TaskStop": ("task", "task stop", ["kill_task"]),
+    "Workflow": ("tool", "workflow", []),
+    "StructuredOutput": ("tool", "structured output", []),
+    "Plan": ("plan", "Plan", ["update_plan", "TodoWrite", "TodoList", "todo", "todowrite", "todo_write", "EnterPlanMode", "ExitPlanMode", "enter_plan_mode", "exit_plan_mode", "manage_task"]),
+    "AskUserQuestion": ("interaction", "ask user", ["request_user_input", "ask_user", "question"]),
+    "RequestPermissions": ("interaction", "request permissions", ["request_permissions", "ask_permission", "list_permissions"]),
+    "ScheduleWakeup": ("cron", "schedule wakeup", ["schedule"]),
+    "CronCreate": ("cron", "cron create", []),
+    "CronList": ("cron", "cron list", []),
+    "CronDelete": ("cron", "cron delete", []),
+    "Lint": ("tool", "Lint", ["ReadLints"]),
+    "WebFetch": ("web", "web fetch", ["web_fetch", "webfetch", "FetchURL", "read_url_content"]),
+    "WebSearch": ("web", "web search", ["web_search", "web_search_call", "websearch", "search_web", "x_search", "x_semantic_search", "x_keyword_search", "x_thread_fetch", "x_user_search", "XSearch"]),
+    "ImageGeneration": ("media", "image generation", ["image_generation_call", "image_generation_end", "image_gen", "ImageGen", "image_to_video", "reference_to_video", "image_edit"]),
+    "DynamicTool": ("tool", "dynamic tool", ["dynamic_tool_call", "dynamic_tool_call_request", "dynamic_tool_call_response", "load_workspace_dependencies", "install_workspace_dependencies"]),
+    "JavaScript": ("tool", "node repl", ["js", "js_add_node_module_dir", "js_reset"]),
+    "ReadMediaFile": ("media", "read media file", ["view_image"]),
+    "ComputerUse": ("tool", "computer use", ["get_app_state", "list_apps", "click", "press_key", "scroll", "drag", "type_text", "set_value", "select_text", "perform_secondary_action"]),
+    "CreateGoal": ("goal", "create goal", ["create_goal"]),
+    "GetGoal": ("goal", "get goal", ["get_goal"]),
+    "SetGoalBudget": ("goal", "set goal budget", ["set_goal_budget"]),
+    "UpdateGoal": ("goal", "update goal", ["update_goal"]),
+    "ToolSearch": ("search", "tool search", ["codesearch"]),
+    "ListMcpResourcesTool": ("search", "list mcp resources", ["list_mcp_resources", "list_mcp_resource_templates", "read_mcp_resource"]),
+    "Skill": ("skill", "skill", ["skill"]),
+    "SQL": ("database", "SQL", ["sql"]),
 }
 SERVER_TOOL = "^mcp__(.*?)__(.*)$"
 
@@ -56,7 +56,7 @@ def tool_names(spark: SparkSession) -> DataFrame:
     """(raw, canonical, category, label), one row for each name; the first tool that has a name keeps it."""
     rows = {}
     for canonical, (category, label, others) in TOOLS.items():
-        for raw in [canonical, *others.split()]:
+        for raw in [canonical, *others]:
             rows.setdefault(raw, (raw, canonical, category, label))
     return spark.createDataFrame(list(rows.values()), "raw string, canonical string, category string, label string")
 
@@ -110,19 +110,39 @@ def tool_status(json: str, is_error: str, status: str) -> Column:
     )
 
 
+# Fields of a result that tell its kind, and tools whose results are of one kind. Earlier rules come first.
+RESULT_FIELDS = {
+    "persisted_output": ["persistedOutputPath", "outputPath", "metadata.outputPath"],
+    "file_patch": ["structuredPatch", "patch", "patches", "fileDiff", "diff", "filediff", "metadata.diff", "metadata.filediff", "resultDisplay.fileDiff"],
+    "terminal_output": ["stdout", "stderr", "exitCode"],
+    "agent_summary": ["agentId", "agent_id"],
+    "task_status": ["task", "taskId", "task_id", "tasks"],
+}
+RESULT_TOOLS = {
+    "search_result": ["ToolSearch"],
+    "web_result": ["WebSearch", "WebFetch"],
+    "interaction_result": ["AskUserQuestion", "RequestPermissions"],
+    "schedule_result": ["ScheduleWakeup", "CronCreate", "CronList", "CronDelete"],
+    "goal_status": ["CreateGoal", "GetGoal", "SetGoalBudget", "UpdateGoal"],
+    "tool_output": ["DynamicTool", "JavaScript", "ComputerUse", "Workflow", "StructuredOutput", "Skill", "SendMessage"],
+}
+
+
 def tool_result_kind(canonical: str, category: str, json: str) -> Column:
-    c = F.col(canonical)
-    any_of = lambda *ns: F.greatest(*[has(json, n) for n in ns], F.lit(False))
-    return (
-        F.when(F.col(category) == "mcp", "mcp").when(c == "ImageGeneration", "image").when(F.col(json).isNull(), F.lit(None).cast("string"))
-        .when(any_of("persistedOutputPath", "outputPath", "metadata.outputPath"), "persisted_output")
-        .when(any_of("structuredPatch", "patch", "patches", "fileDiff", "diff", "filediff", "metadata.diff", "metadata.filediff", "resultDisplay.fileDiff") | (has(json, "oldString") & has(json, "newString")) | (has(json, "old_string") & has(json, "new_string")) | ((c == "Edit") & any_of("output", "message")), "file_patch")
-        .when(any_of("stdout", "stderr", "exitCode") | ((c == "Bash") & has(json, "output")), "terminal_output")
-        .when(any_of("agentId", "agent_id"), "agent_summary").when(any_of("task", "taskId", "task_id", "tasks"), "task_status")
-        .when(c == "ToolSearch", "search_result").when(c.isin("WebSearch", "WebFetch"), "web_result").when(c.isin("AskUserQuestion", "RequestPermissions"), "interaction_result")
-        .when(c.isin("ScheduleWakeup", "CronCreate", "CronList", "CronDelete"), "schedule_result").when(c.isin("CreateGoal", "GetGoal", "SetGoalBudget", "UpdateGoal"), "goal_status")
-        .when(c.isin("DynamicTool", "JavaScript", "ComputerUse", "Workflow", "StructuredOutput", "Skill", "SendMessage"), "tool_output")
-    )
+    """The kind of a result: a server tool's and an image's by the tool alone; else, if there is a result, by the first rule on its fields, then by the tool."""
+    tool = F.col(canonical)
+    both = lambda a, b: has(json, a) & has(json, b)
+    # What counts beside the fields of a kind.
+    also = {
+        "file_patch": both("oldString", "newString") | both("old_string", "new_string") | ((tool == "Edit") & (has(json, "output") | has(json, "message"))),
+        "terminal_output": (tool == "Bash") & has(json, "output"),
+    }
+    rules = [(F.col(category) == "mcp", "mcp"), (tool == "ImageGeneration", "image"), (F.col(json).isNull(), None)]
+    rules += [(F.coalesce(F.array_contains(F.array(*[has(json, n) for n in names]), True) | also.get(kind, F.lit(False)), F.lit(False)), kind) for kind, names in RESULT_FIELDS.items()]
+    rules += [(tool.isin(names), kind) for kind, names in RESULT_TOOLS.items()]
+    # Of the rules that hold, the first.
+    matching = F.filter(F.array(*[F.when(holds, F.struct(F.lit(True).alias("met"), F.lit(kind).cast("string").alias("kind"))) for holds, kind in rules]), lambda r: r.isNotNull())
+    return F.get(matching, F.lit(0))["kind"]
 
 
 def structured_ids(json: str) -> Column:

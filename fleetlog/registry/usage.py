@@ -102,9 +102,15 @@ def agg_3(spark, sf):
     return reports.totals(bounded(spark, sf, ["urgent", "low"]))
 
 
-@query("exp_1_empty_providers", f"SELECT CAST(0 AS BIGINT) AS sessions, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in ['turn_count', *usage.COUNTERS])}, CAST(0 AS DOUBLE) AS cost_usd")
+_RANGE_SUMS = f"count(DISTINCT session_id) AS sessions, {ZERO4}, coalesce(round(sum(cost_usd) + 1e-9, 4), 0) AS cost_usd"
+
+
+@query("exp_1_empty_providers", f"{BASE}, {BOUND} SELECT 'all' AS chosen, {_RANGE_SUMS} FROM bounded UNION ALL SELECT 'some', {_RANGE_SUMS} FROM bounded WHERE provider IN ('high', 'low') UNION ALL SELECT 'none', {_RANGE_SUMS} FROM bounded WHERE false")
 def exp_1(spark, sf):
-    return reports.totals_range(bounded(spark, sf, []))
+    """Without a list of providers all count, with an empty one none."""
+    lists = {"all": None, "some": ["high", "low"], "none": []}
+    made = [reports.totals_range(bounded(spark, sf, providers)).select(F.lit(name).alias("chosen"), "*") for name, providers in lists.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query("agg_5_activity_daily", f"{BASE}, {BOUND} SELECT {DAY} AS date, count(DISTINCT session_id) AS sessions, CAST(sum(turn_count) AS BIGINT) AS turns, CAST(sum({ALL}) AS BIGINT) AS tokens, {COST} FROM bounded GROUP BY 1")

@@ -134,10 +134,10 @@ CHAT_SQL = "messages AS (SELECT conv_id AS session_id, turn AS msg_index, role,
 
 
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").selectExpr("doc_id as id", "substr(text, 1, 40) as title", "text as content_text", "source as project_name", "lang as provider", "doc_id as created_at")
+    return read(spark, sf_dir, "documents").selectExpr("doc_id as id", "substr(text, 1, 40) as title", "text as content_text", "source as project_name", "lang as provider", "doc_id * 7919 % 1000 as created_at")
 
 
-DOCS_SQL = "docs AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, text AS content_text, source AS project_name, lang AS provider, doc_id AS created_at FROM documents)"
+DOCS_SQL = "docs AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, text AS content_text, source AS project_name, lang AS provider, doc_id * 7919 % 1000 AS created_at FROM documents)"
 
 
 def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:

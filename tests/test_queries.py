@@ -82,3 +82,16 @@ def test_query_text():
 
 def test_delete_guard():
     assert not catalog.delete_allowed(0, 5) and catalog.delete_allowed(1, 10) and not catalog.delete_allowed(10, 20) and catalog.delete_allowed(11, 20) and catalog.delete_allowed(0, 99, aggressive=True)
+
+
+def test_result_kinds_by_precedence(spark):
+    from fleetlog.functions import tools
+
+    rows = [
+        ("Bash", "mcp", None, "mcp"), ("ImageGeneration", "media", None, "image"), ("Bash", "shell", None, None), ("Bash", "shell", '{"stdout":"x","outputPath":"p"}', "persisted_output"),
+        ("Edit", "file", '{"output":"x"}', "file_patch"), ("Edit", "file", '{"oldString":"a"}', None), ("Bash", "shell", '{"oldString":"a","newString":"b","stdout":""}', "file_patch"), ("Bash", "shell", '{"output":"x"}', "terminal_output"),
+        ("Read", "file", '{"output":"x"}', None), ("WebFetch", "web", '{"agent_id":1,"task":2}', "agent_summary"), ("WebFetch", "web", '{"task":2}', "task_status"), ("WebFetch", "web", "{}", "web_result"), ("Skill", "skill", "{}", "tool_output"),
+    ]
+    frame = spark.createDataFrame(rows, "canonical string, category string, result string, want string")
+    got = frame.select("want", tools.tool_result_kind("canonical", "category", "result").alias("kind")).collect()
+    assert [r.kind for r in got] == [r.want for r in got]
