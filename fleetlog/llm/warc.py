@@ -211,9 +211,26 @@ def read_records(indexed: DataFrame, folder: str, with_payload: bool = False) ->
     return indexed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
-    """Write, normalise and index `pages`; the index rows (archive, sidecar, records). An empty table has none."""
+def remove_streams(written: DataFrame, folder: str) -> None:
+    """Deletes whole-file streams once their members are indexed; those that are gone already are passed by."""
+
+    def run(batches):
+        files, _ = _opened(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if files.get_file_info(name).is_file:
+                    files.delete_file(name)
+            yield batch
+
+    written.mapInArrow(run, "archive string").write.format("noop").mode("overwrite").save()
+
+
+def archive_pages(pages: DataFrame, folder: str | None = None, keep_streams: bool = False, **columns) -> DataFrame:
+    """Write, normalise and index `pages`; the index rows (archive, sidecar, records). An empty table has none. The whole-file streams go when the index is kept, unless they are wanted."""
     spark = small_batches(pages).sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     written = cut(write_monolithic(with_revisits(pages, **columns), f"{folder}/streams"))
-    return cut(normalise(written.repartition(spark.sparkContext.defaultParallelism * 4), f"{folder}/members"))
+    indexed = cut(normalise(written.repartition(spark.sparkContext.defaultParallelism * 4), f"{folder}/members"))
+    if not keep_streams:
+        remove_streams(written, f"{folder}/streams")
+    return indexed

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -193,6 +194,11 @@ def test_warc(spark):
         first = largest[h or ""]
         assert (r.record_type, r.refers_to) == (("response", None) if first == i else ("revisit", first))
         assert r.payload == (data if first == i else None)
+    for keep in (True, False):
+        folder = f"{warc.shared_dir(spark)}/kept-{keep}-{rng.random()}"
+        assert warc.archive_pages(pages, folder, keep_streams=keep).count() > 0
+        files, top = warc._opened(f"{folder}/streams")
+        assert bool([f for f in os.listdir(top) if f.endswith(".warc.gz")]) == keep
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.archive_pages(none), warc.shared_dir(spark)).count() == 0
 
