@@ -106,17 +106,9 @@ def win_2(spark, sf):
     return order.session_attributes(rows)
 
 
-@query("win_3_resolve_title", """WITH l AS (SELECT user_id AS session_id, event_id AS line_no, CASE event_type WHEN 'signup' THEN 'custom-title' WHEN 'error' THEN 'ai-title' WHEN 'click' THEN 'user' WHEN 'view' THEN 'summary' ELSE 'agent-name' END AS type, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(event_type, event_id) END AS value FROM events WHERE (user_id + event_id) % 4 < user_id % 4)
+@query("win_3_resolve_title", """WITH l AS (SELECT user_id AS session_id, event_id AS line_no, CASE event_type WHEN 'signup' THEN 'custom-title' WHEN 'error' THEN 'ai-title' WHEN 'click' THEN 'user' WHEN 'view' THEN 'summary' ELSE 'agent-name' END AS type, CASE WHEN user_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '' ELSE concat(event_type, event_id) END AS value FROM events)
   SELECT session_id, coalesce(arg_max(value, line_no) FILTER (type = 'custom-title' AND value <> ''), arg_max(value, line_no) FILTER (type = 'ai-title' AND value <> ''), arg_max(value, line_no) FILTER (type = 'agent-name' AND value <> ''), arg_min(value, line_no) FILTER (type = 'user' AND value <> ''), arg_min(value, line_no) FILTER (type = 'summary' AND value <> ''), 'Untitled') AS title FROM l GROUP BY 1""")
 def win_3(spark, sf):
-    rows = T.read(spark, sf, "events").where("(user_id + event_id) % 4 < user_id % 4").selectExpr(
-        "user_id as session_id", "event_id as line_no", "case event_type when 'signup' then 'custom-title' when 'error' then 'ai-title' when 'click' then 'user' when 'view' then 'summary' else 'agent-name' end as type", "if(event_id % 3 = 0, '', concat(event_type, event_id)) as value")
-    return order.resolve_title(rows)
-
-
-@query("win_3_resolve_title_whole", """WITH l AS (SELECT user_id AS session_id, event_id AS line_no, CASE event_type WHEN 'signup' THEN 'custom-title' WHEN 'error' THEN 'ai-title' WHEN 'click' THEN 'user' WHEN 'view' THEN 'summary' ELSE 'agent-name' END AS type, CASE WHEN user_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '' ELSE concat(event_type, event_id) END AS value FROM events)
-  SELECT session_id, coalesce(arg_max(value, line_no) FILTER (type = 'custom-title' AND value <> ''), arg_max(value, line_no) FILTER (type = 'ai-title' AND value <> ''), arg_max(value, line_no) FILTER (type = 'agent-name' AND value <> ''), arg_min(value, line_no) FILTER (type = 'user' AND value <> ''), arg_min(value, line_no) FILTER (type = 'summary' AND value <> ''), 'Untitled') AS title FROM l GROUP BY 1""")
-def win_3_whole(spark, sf):
     rows = T.read(spark, sf, "events").selectExpr(
         "user_id as session_id", "event_id as line_no", "case event_type when 'signup' then 'custom-title' when 'error' then 'ai-title' when 'click' then 'user' when 'view' then 'summary' else 'agent-name' end as type", "case when user_id % 5 = 0 then null when event_id % 3 = 0 then '' else concat(event_type, event_id) end as value")
     return order.resolve_title(rows)

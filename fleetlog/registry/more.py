@@ -101,14 +101,8 @@ def sa_5(spark, sf):
     return loaded.join(own, "session_id", "left").select("session_id", F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("loaded")).alias("tokens"))
 
 
-@query("sa_6_rates", f"""WITH {T.event_messages_sql()} SELECT session_id, round(sum(input_tokens + output_tokens + cache_read_tokens + cache_write_tokens) / nullif(count(*) FILTER (role = 'assistant'), 0), 6) AS tokens_per_turn, round(count(*) FILTER (role = 'tool') / nullif(count(*) FILTER (role = 'user'), 0), 6) AS tools_per_user_turn FROM messages WHERE msg_index < 12 GROUP BY 1""")
+@query("sa_6_rates", f"""WITH {T.event_messages_sql()} SELECT session_id, round(sum(input_tokens + output_tokens + cache_read_tokens + cache_write_tokens) / nullif(count(*) FILTER (role = 'assistant'), 0), 6) AS tokens_per_turn, round(count(*) FILTER (role = 'tool') / nullif(count(*) FILTER (role = 'user'), 0), 6) AS tools_per_user_turn FROM messages GROUP BY 1""")
 def sa_6(spark, sf):
-    made = order.session_report(T.event_messages(spark, sf).where("msg_index < 12"))
-    return made.select("session_id", F.when(F.col("assistant") > 0, F.col("tokens_per_turn")).alias("tokens_per_turn"), "tools_per_user_turn")
-
-
-@query("sa_6_rates_whole", f"""WITH {T.event_messages_sql()} SELECT session_id, round(sum(input_tokens + output_tokens + cache_read_tokens + cache_write_tokens) / nullif(count(*) FILTER (role = 'assistant'), 0), 6) AS tokens_per_turn, round(count(*) FILTER (role = 'tool') / nullif(count(*) FILTER (role = 'user'), 0), 6) AS tools_per_user_turn FROM messages GROUP BY 1""")
-def sa_6_whole(spark, sf):
     made = order.session_report(T.event_messages(spark, sf))
     return made.select("session_id", F.when(F.col("assistant") > 0, F.col("tokens_per_turn")).alias("tokens_per_turn"), "tools_per_user_turn")
 
