@@ -9,7 +9,9 @@ sort. So the work is first narrowed by a content-defined sample, exactly:
    bytes, are shuffled, by hash. A gram that only one text has starts nothing
    to remove. Copies of one text count as one, since they are removed whole.
 2. For the rest, the bytes around the gram that strings of `length` with it can
-   reach are shuffled by the same hash, so equal strings meet in one bucket.
+   reach are shuffled by the same hash, so equal strings meet in one bucket. What equals
+   an earlier document's in the same block is settled before. Around a gram that very
+   many texts have, each string goes to a bucket of its own hash instead.
 3. There a difference-cover sort orders the suffixes of the distinct surroundings:
    sampled triples are named in order, the names are sorted recursively until a
    name stands for at least `length` bytes, the remaining suffixes are merged in,
@@ -277,12 +279,28 @@ def _flat(table, name: str) -> np.ndarray:
     return np.concatenate([np.asarray(c.flatten()) for c in table.column(name).chunks]) if table.num_rows else np.empty(0, np.int64)
 
 
-def grams_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Packed least grams: (bucket, ids, texts, counts, hashes, places) for a part of a task and a bucket.
+def grams_of(docs: DataFrame, buckets: int, length: int, hot: int) -> DataFrame:
+    """Packed least grams: (via, bucket, ids, texts, counts, hashes, places) for a part of a task and a bucket.
 
     The lower half of the hash is enough beside the bucket: grams that agree in both are only candidates.
+    Rows go to the group `via`, their bucket. A gram that `hot` different texts of a part have is shared as it is: one
+    of them tells its bucket so, by a place below 0, and the others go by it, dealt to groups below 0 by parts.
     """
 
+    def packed(via, hashes, places, bucket, own, ids, texts):
+        order = np.argsort(bucket, kind="stable")
+        own, places, hashes, bucket = own[order], places[order], hashes[order], bucket[order]
+        # Within a bucket the order of documents is kept, so each has one run.
+        pair = _runs(bucket.astype(np.int64) * len(ids) + own)
+        of_pair = bucket[pair[:-1]]
+        outer, inner = _runs(bucket), _runs(of_pair)
+        docs_of = own[pair[:-1]]
+        named = bucket[outer[:-1]].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(named if via is None else np.full(len(named), via, np.int32)), pa.array(named), *_lists({"i": ids[docs_of], "t": texts[docs_of], "c": np.diff(pair).astype(np.int32)}, inner), *_lists({"h": hashes.astype(np.uint32).view(np.int32), "p": places}, outer)],
+            names=["via", "bucket", "ids", "texts", "counts", "hashes", "places"],
+        )
+
     def run(batches):
         for batch in batches:
             for start, part in batches_of(batch.column("text"), 4 << 20):
@@ -303,77 +321,174 @@ def grams_of(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     hashes.append(found)
                 own, places, hashes = np.concatenate(own), np.concatenate(places), np.concatenate(hashes)
                 bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                own, places, hashes, bucket = own[order], places[order], hashes[order], bucket[order]
-                # Within a bucket the order of documents is kept, so each has one run.
-                pair = _runs(bucket.astype(np.int64) * len(part) + own)
-                of_pair = bucket[pair[:-1]]
-                outer, inner = _runs(bucket), _runs(of_pair)
-                docs_of = own[pair[:-1]]
-                if len(bucket):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[outer[:-1]].astype(np.int32)), *_lists({"i": ids[docs_of], "t": texts[docs_of], "c": np.diff(pair).astype(np.int32)}, inner), *_lists({"h": hashes.astype(np.uint32).view(np.int32), "p": places}, outer)],
-                        names=["bucket", "ids", "texts", "counts", "hashes", "places"],
-                    )
-
-    return docs.mapInArrow(run, "bucket int, ids array<long>, texts array<long>, counts array<int>, hashes array<int>, places array<int>")
-
-
-def shared_grams(grams: DataFrame, blocks: int) -> DataFrame:
-    """(block, ids, places, hashes) of the grams that two different texts have, for the first document of each text."""
+                by_hash = np.lexsort((own, hashes))
+                heads = np.concatenate([[True], (hashes[by_hash[1:]] != hashes[by_hash[:-1]]) | (own[by_hash[1:]] != own[by_hash[:-1]])]) if len(by_hash) else np.zeros(0, bool)
+                runs = _runs(hashes[by_hash])
+                many = np.add.reduceat(heads.astype(np.int64), runs[:-1]) >= hot if len(by_hash) else np.zeros(0, bool)
+                aside = np.zeros(len(hashes), bool)
+                aside[by_hash[np.repeat(many, np.diff(runs))]] = True
+                tell = by_hash[runs[:-1][many]]
+                aside[tell] = False
+                places[tell] = -1 - places[tell]
+                for via, pick in ((None, ~aside), (-1 - int(texts.view(np.uint64)[0] % np.uint64(buckets)) if len(texts) else None, aside)):
+                    if pick.any():
+                        yield packed(via, hashes[pick], places[pick], bucket[pick], own[pick], ids, texts)
+
+    return docs.mapInArrow(run, "via int, bucket int, ids array<long>, texts array<long>, counts array<int>, hashes array<int>, places array<int>")
+
+
+def shared_grams(grams: DataFrame, blocks: int, hot_total: int) -> DataFrame:
+    """(block, hot, ids, places, hashes) of the grams that two different texts have, for the first document of each text in a group.
+
+    Hot grams are those that a part of a task found hot, and those that more than `hot_total` texts of a bucket have.
+    """
 
     def run(key, table):
         counts = _flat(table, "counts")
         ids, texts = np.repeat(_flat(table, "ids"), counts), np.repeat(_flat(table, "texts"), counts)
-        hashes, places = (key[0].as_py() << 32) | (_flat(table, "hashes").astype(np.int64) & 0xFFFFFFFF), _flat(table, "places")
+        each = np.asarray(table.column("hashes").combine_chunks().value_lengths())
+        buckets = np.repeat(table.column("bucket").to_numpy().astype(np.int64), each)
+        hashes, places = (buckets << 32) | (_flat(table, "hashes").astype(np.int64) & 0xFFFFFFFF), _flat(table, "places")
+        told = places < 0
+        places = np.where(told, -1 - places, places)
         order = np.lexsort((ids, texts, hashes))
-        ids, texts, hashes, places = ids[order], texts[order], hashes[order], places[order]
-        by_hash = _runs(hashes)
-        several = np.repeat(texts[by_hash[:-1]] != texts[by_hash[1:] - 1], np.diff(by_hash))
+        ids, texts, hashes, places, told = ids[order], texts[order], hashes[order], places[order], told[order]
         same = (hashes[1:] == hashes[:-1]) & (texts[1:] == texts[:-1])
         by_text = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(ids)]]) if len(ids) else np.zeros(1, np.int64)
-        keep = several & (ids == np.repeat(ids[by_text[:-1]], np.diff(by_text)))
-        return _by_block({"ids": ids[keep], "places": places[keep], "hashes": hashes[keep]}, blocks)
+        by_hash = _runs(hashes)
+        sizes = np.diff(by_hash)
+        several = np.repeat(texts[by_hash[:-1]] != texts[by_hash[1:] - 1], sizes)
+        if key[0].as_py() < 0:
+            hot = np.ones(len(ids), bool)
+        else:
+            distinct = np.diff(np.searchsorted(by_text, by_hash))
+            hot = np.repeat(np.logical_or.reduceat(told, by_hash[:-1]) | (distinct > hot_total), sizes) if len(ids) else told
+        keep = (several | hot) & (ids == np.repeat(ids[by_text[:-1]], np.diff(by_text)))
+        parts = [_by_block({"ids": ids[k], "places": places[k], "hashes": hashes[k]}, blocks, hot=flag) for flag, k in ((False, keep & ~hot), (True, keep & hot))]
+        return pa.concat_tables(parts)
 
-    return grams.groupBy("bucket").applyInArrow(run, "block int, ids array<long>, places array<int>, hashes array<long>")
+    return grams.groupBy("via").applyInArrow(run, "block int, hot boolean, ids array<long>, places array<int>, hashes array<long>")
 
 
-def _by_block(columns: dict[str, np.ndarray], blocks: int) -> pa.Table:
+def _by_block(columns: dict[str, np.ndarray], blocks: int, **same) -> pa.Table:
     block = columns["ids"] % blocks
     order = np.argsort(block, kind="stable")
     bounds = _runs(block[order])
-    return pa.Table.from_arrays([pa.array(block[order][bounds[:-1]].astype(np.int32)), *_lists({k: v[order] for k, v in columns.items()}, bounds)], names=["block", *columns])
+    fixed = [pa.array([v] * (len(bounds) - 1), pa.bool_()) for v in same.values()]
+    return pa.Table.from_arrays([pa.array(block[order][bounds[:-1]].astype(np.int32)), *fixed, *_lists({k: v[order] for k, v in columns.items()}, bounds)], names=["block", *same, *columns])
+
+
+def string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` bytes from each position of `at`."""
+    out = np.empty(len(at), np.uint64)
+    step = max(1, (8 << 20) // length)
+    for low in range(0, len(at), step):
+        words = np.zeros((len(at[low : low + step]), -(-length // 8) * 8), np.uint8)
+        words[:, :length] = data[at[low : low + step, None] + np.arange(length)]
+        mixed = np.zeros(len(words), np.uint64)
+        for word in words.view("<u8").T:
+            mixed = (mixed ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(31)
+        out[low : low + step] = mixed
+    return out
 
 
-def surroundings(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(bucket, ids, places, hashes, lefts, rights, bytes) of the shared grams: what lies around each, compressed."""
+def whole_strings(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, later) of each string of `length` bytes that reaches over a hot gram; later ones have an equal string in an earlier document of the block."""
+    reach = length - GRAM
+    offsets = np.arange(-reach, 1)
+    fits = (offsets >= -left[:, None]) & (offsets + length <= right[:, None])
+    at = np.unique((at[:, None] + offsets)[fits])
+    ids = ids[np.searchsorted(starts, at, side="right") - 1]
+    mixed = string_hashes(data, at, length)
+    order = np.lexsort((ids, mixed))
+    at, ids, mixed = at[order], ids[order], mixed[order]
+    fresh = np.ones(len(at), bool)
+    alike = np.flatnonzero(mixed[1:] == mixed[:-1])
+    for low in range(0, len(alike), 1 << 17):
+        some = alike[low : low + (1 << 17)]
+        fresh[some + 1] = (data[at[some, None] + np.arange(length)] != data[at[some + 1, None] + np.arange(length)]).any(1)
+    first = ids[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(at) else ids
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return at, (bucket << 32) | (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64), ids > first
+
+
+def surroundings(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(bucket, ids, places, hashes, lefts, rights, bytes) of the shared grams: what lies around each, compressed.
+
+    Around a hot gram each string goes to a bucket of its own hash, so no bucket gets all that surrounds the gram. What
+    equals the bytes of an earlier document of the same block is settled here: its intervals, from `places` to `hashes`,
+    pass by in groups below 0.
+    """
     reach = length - GRAM
+    width = reach + length
 
     def run(key, texts, found):
         schema = pa.schema([("bucket", pa.int32()), *((n, pa.list_(t)) for n, t in (("ids", pa.int64()), ("places", pa.int32()), ("hashes", pa.int64()), ("lefts", pa.int16()), ("rights", pa.int16()))), ("bytes", pa.binary())])
         if not found.num_rows or not texts.num_rows:
             return schema.empty_table()
         inflate = zstandard.ZstdDecompressor()
-        where = {i: k for k, i in enumerate(texts.column("id").to_pylist())}
+        named = np.array(texts.column("id").to_pylist(), np.int64)
+        where = {i: k for k, i in enumerate(named.tolist())}
+        hot = np.repeat(found.column("hot").to_numpy(zero_copy_only=False).astype(bool), found.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
         ids, places, hashes = (_flat(found, c) for c in ("ids", "places", "hashes"))
-        bucket = hashes >> 32
-        order = np.lexsort((places, ids, bucket))
-        ids, places, hashes, bucket = ids[order], places[order].astype(np.int64), hashes[order], bucket[order]
         held = [inflate.decompress(x) for x in texts.column("packed").to_pylist()]
         starts = np.cumsum([0, *map(len, held)])
         data = np.concatenate([np.frombuffer(b"".join(held), np.uint8), np.zeros(length, np.uint8)])
         doc = np.array([where[i] for i in ids.tolist()], np.int64)
+        places = places.astype(np.int64)
         left = np.minimum(places, reach)
         right = np.minimum(starts[doc + 1] - starts[doc] - places, length)
         at = starts[doc] + places
-        columns = np.arange(reach + length)
-        rows = data[np.clip(at[:, None] - reach + columns, 0, len(data) - 1)]
-        rows[(columns < reach - left[:, None]) | (columns >= reach + right[:, None])] = 0
+        # Whole surroundings of the usual grams; of equal ones the first document's are sent.
+        usual = np.flatnonzero(~hot)
+        usual = usual[np.lexsort((places[usual], ids[usual], hashes[usual]))]
+        columns = np.arange(width)
+        rows = data[np.clip(at[usual, None] - reach + columns, 0, len(data) - 1)]
+        rows[(columns < reach - left[usual, None]) | (columns >= reach + right[usual, None])] = 0
+        order, fresh = distinct_rows(hashes[usual], _two_bytes(left[usual]), _two_bytes(right[usual]), rows)
+        later = np.zeros(len(usual), bool)
+        if len(usual):
+            first = np.minimum.reduceat(ids[usual[order]], np.flatnonzero(fresh))
+            later[order] = ids[usual[order]] > first[np.cumsum(fresh) - 1]
+        gone = usual[later]
+        begins, ends = [at[gone] - left[gone]], [at[gone] + right[gone]]
+        rows, usual = rows[~later], usual[~later]
+        sent = [ids[usual], places[usual], hashes[usual], left[usual], right[usual]]
+        if hot.any():
+            string_at, string_hash, later = whole_strings(data, starts, named, doc[hot], at[hot], left[hot], right[hot], length, buckets)
+            begins.append(string_at[later])
+            ends.append(string_at[later] + length)
+            string_at, string_hash = string_at[~later], string_hash[~later]
+            own = np.searchsorted(starts, string_at, side="right") - 1
+            strings = np.zeros((len(string_at), width), np.uint8)
+            strings[:, reach:] = data[string_at[:, None] + np.arange(length)]
+            rows = np.concatenate([rows, strings])
+            sent = [np.concatenate(x) for x in zip(sent, (named[own], string_at - starts[own], string_hash, np.zeros(len(own), np.int64), np.full(len(own), length)))]
+        bucket = sent[2] >> 32
+        order = np.argsort(bucket, kind="stable")
+        bucket, sent, rows = bucket[order], [x[order] for x in sent], rows[order]
         bounds = _runs(bucket)
         deflate = zstandard.ZstdCompressor(level=1)
         packed = [deflate.compress(rows[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-        lists = _lists({"i": ids, "p": places.astype(np.int32), "h": hashes, "l": left.astype(np.int16), "r": right.astype(np.int16)}, bounds)
-        return pa.Table.from_arrays([pa.array(bucket[bounds[:-1]].astype(np.int32)), *lists, pa.array(packed, pa.binary())], schema=schema)
+
+        def table(bucket, ids, places, hashes, left, right, bounds, packed):
+            lists = _lists({"i": ids, "p": places.astype(np.int32), "h": hashes, "l": left.astype(np.int16), "r": right.astype(np.int16)}, bounds)
+            return pa.Table.from_arrays([pa.array(bucket, pa.int32()), *lists, pa.array(packed, pa.binary())], schema=schema)
+
+        made = [table(bucket[bounds[:-1]].astype(np.int32), *sent, bounds, packed)]
+        begins, ends = np.concatenate(begins), np.concatenate(ends)
+        if len(begins):
+            # One cell between two documents keeps their intervals apart.
+            own = np.searchsorted(starts, begins, side="right") - 1
+            steps = np.bincount(begins + own, minlength=len(data) + len(held) + 1) - np.bincount(ends + own, minlength=len(data) + len(held) + 1)
+            flags = np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8), [0]])
+            begins, ends = np.flatnonzero(np.diff(flags) == 1), np.flatnonzero(np.diff(flags) == -1)
+            own = np.searchsorted(starts[:-1] + np.arange(len(held)), begins, side="right") - 1
+            zero = starts[own] + own
+            none = np.zeros(len(own), np.int64)
+            made.append(table(np.array([-1 - key[0].as_py() % buckets]), named[own], begins - zero, ends - zero, none, none, np.array([0, len(own)]), [b""]))
+        return pa.concat_tables(made)
 
     return docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket int, ids array<long>, places array<int>, hashes array<long>, lefts array<short>, rights array<short>, bytes binary")
 
@@ -386,6 +501,8 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
     def run(key, table):
         inflate = zstandard.ZstdDecompressor()
         ids, places, hashes, left, right = (_flat(table, c).astype(np.int64) for c in ("ids", "places", "hashes", "lefts", "rights"))
+        if key[0].as_py() < 0:
+            return _by_block({"ids": ids, "starts": places.astype(np.int32), "stops": hashes.astype(np.int32)}, blocks)
         rows = np.frombuffer(b"".join(inflate.decompress(x) for x in table.column("bytes").to_pylist()), np.uint8).reshape(len(ids), width)
         # Distinct surroundings of each gram, with their smallest document.
         order, fresh = distinct_rows(hashes, _two_bytes(left), _two_bytes(right), rows)
@@ -465,7 +582,7 @@ def remove_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     return docs.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), hot: int = 32, hot_total: int = 50_000) -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `carry` as a struct `rest` if there are any.
 
     A byte is removed if a string of `length` bytes that covers it also starts
@@ -473,7 +590,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text, or between rows with the same id, nothing is removed. A null text is
     empty. Texts under `length` bytes lose nothing. A row with a null id neither
     loses bytes nor takes any. An empty table gives none; other columns are not read.
-    `length` is from GRAM to 32767.
+    `length` is from GRAM to 32767. A gram is hot, and what surrounds it dealt out by single strings, if `hot` texts of a
+    part of a task (4 MB) or more than `hot_total` of all have it; that changes where the work is done, not what is removed.
     """
     if not GRAM <= length < 1 << 15:
         raise ValueError(f"length is from {GRAM} to {(1 << 15) - 1}")
@@ -482,7 +600,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, round(total / BUCKET_BYTES))
     blocks = max(1, round(total / BLOCK_BYTES)) | 1
     named = base.where("id is not null")
-    shared = cut(shared_grams(grams_of(named, buckets, length), blocks))
+    shared = cut(shared_grams(grams_of(named, buckets, length, hot), blocks, hot_total))
 
     def pack(batches):
         deflate = zstandard.ZstdCompressor(level=1)
@@ -497,7 +615,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rows.withColumn("block", block).select("id", "block", "rest", "text").mapInArrow(pack, f"id long, block int, rest {rows.schema['rest'].dataType.simpleString()}, packed binary")
 
     bare = named.withColumn("rest", F.lit(None).cast("boolean"))
-    intervals = covered(surroundings(packed(bare), shared, length), blocks, length)
+    intervals = covered(surroundings(packed(bare), shared, length, buckets), blocks, length)
     texts = named.select("id", F.octet_length("text").alias("n"), F.md5("text").alias("digest")).where(F.col("n") >= length)
     firsts = texts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first")
     copies = texts.join(firsts, "digest").where("id > first").select(F.pmod("id", F.lit(blocks)).cast("int").alias("block"), F.array("id").alias("ids"), F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("stops"))

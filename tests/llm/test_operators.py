@@ -304,6 +304,22 @@ def test_repeats(spark, docs):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot, hot_total, length", [(2, 50_000, 50), (1, 50_000, 50), (10**9, 3, 50), (3, 5, 20), (2, 8, 200)])
+def test_hot_grams_change_no_result(spark, monkeypatch, hot, hot_total, length):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 9000)
+    rng = random.Random(hot)
+    passage = "a passage that a third of all documents have, long enough for several grams, and more so with these words " * 2
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 90)))
+    given = [line() + (passage[rng.randrange(0, 30) : len(passage) - rng.randrange(0, 30)] if rng.random() < 0.6 else line()) + line() for _ in range(150)]
+    given += [passage, passage, "z" * 300, "z" * 260 + "y", given[3], given[3] + "!", "", chr(0) * 120]
+    rng.shuffle(given)
+    want = brute_repeats({i: t.encode() for i, t in enumerate(given)}, length)
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    for r in suffix_dedup.remove_repeats(rows, length=length, hot=hot, hot_total=hot_total).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id], r.doc_id
+
+
 @pytest.mark.parametrize("length", [20, 50, 200])
 def test_repeats_of_any_length(spark, length):
     rng = random.Random(length)
