@@ -582,7 +582,7 @@ def remove_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     return docs.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), hot: int = 32, hot_total: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), hot: int = 128, hot_total: int = 50_000) -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), and the columns of `carry` as a struct `rest` if there are any.
 
     A byte is removed if a string of `length` bytes that covers it also starts
