@@ -40,6 +40,7 @@ GRAM = 16
 BUCKET_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 SORT_BYTES = 400_000
+SALTS = 64
 
 
 def sliding(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -617,8 +618,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bare = named.withColumn("rest", F.lit(None).cast("boolean"))
     intervals = covered(surroundings(packed(bare), shared, length, buckets), blocks, length)
     texts = named.select("id", F.octet_length("text").alias("n"), F.md5("text").alias("digest")).where(F.col("n") >= length)
-    firsts = texts.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").select("digest", "first")
-    copies = texts.join(firsts, "digest").where("id > first").select(F.pmod("id", F.lit(blocks)).cast("int").alias("block"), F.array("id").alias("ids"), F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("stops"))
+    # The copies of one text are met in SALTS groups, of which each gets the first of all.
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = texts.groupBy("digest", "salt").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    firsts = salted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("digest", "first")
+    firsts = salted.select("digest", "salt").join(firsts, "digest")
+    copies = texts.join(firsts, ["digest", "salt"]).where("id > first").select(F.pmod("id", F.lit(blocks)).cast("int").alias("block"), F.array("id").alias("ids"), F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("stops"))
     intervals = cut(intervals.unionByName(copies))
     out = remove_intervals(packed(base), intervals).withColumnRenamed("id", id_col)
     return out if carry else out.drop("rest")
