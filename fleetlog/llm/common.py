@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
+#: A key is hot from this part of all rows on, so there are never more hot keys than this, and they may be broadcast.
+MOST_HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_text, cut
+from .common import MOST_HOT, crc32_text, cut
 
 
 def _between(splitters: list[int], key: Column) -> Column:
@@ -46,7 +46,7 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     )
     classes = cut(slim.groupBy(id_col, "size", "text_crc32", "key").agg(F.count("*").alias("rows")))
     groups = cut(classes.groupBy("key").agg(F.sum(F.col("size") * F.col("rows")).alias("group_bytes"), F.sum("rows").alias("group_rows")))
-    total = groups.agg(F.sum("group_bytes")).first()[0] or 0
+    total, n_rows = (x or 0 for x in groups.agg(F.sum("group_bytes"), F.sum("group_rows")).first())
 
     # Drawn in proportion to bytes, so about `sample` groups at most; they become at most `ranges` splitters.
     weight = F.col("group_bytes") * F.lit(sample / max(1, total))
@@ -55,9 +55,9 @@ def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col:
     quantiles = drawn.agg(F.percentile(F.col("key").cast("double"), steps, F.greatest(F.lit(1), F.round(weight)).cast("long"))).first()[0]
     ranged = groups.withColumn("range", _between(sorted({int(x) for x in quantiles or []}), F.col("key")))
 
-    # A group with many rows is several units of about `part_rows`. Ids are dealt to them by a hash.
-    ranged = ranged.withColumn("units", F.ceil(F.col("group_rows") / part_rows).cast("int"))
-    hot = ranged.where("units > 1").select("key", "units")
+    # A group with many rows is several units of about `part_rows`, or of a MOST_HOT-th of all rows if that is more, so at most MOST_HOT groups are. Ids are dealt to them by a hash.
+    ranged = ranged.withColumn("units", F.ceil(F.col("group_rows") / max(part_rows, n_rows // MOST_HOT)).cast("int"))
+    hot = F.broadcast(ranged.where("units > 1").select("key", "units"))
     classes = classes.join(hot, "key", "left").withColumn("unit", F.pmod(F.xxhash64(id_col, F.lit(7)), F.coalesce("units", F.lit(1))).cast("int")).drop("units")
     several = classes.join(hot.select("key"), "key", "left_semi").groupBy("key", "unit").agg(F.sum(F.col("size") * F.col("rows")).alias("unit_bytes"), F.sum("rows").alias("unit_rows"))
     single = ranged.where("units = 1").select("key", F.lit(0).alias("unit"), F.col("group_bytes").alias("unit_bytes"), F.col("group_rows").alias("unit_rows"))
