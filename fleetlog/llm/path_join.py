@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, small_batches
+from .common import MOST_HOT, batches_of, cut, small_batches
 from .graph import components, forest, sorted_groups, tile_pairs
 
 TOKENS = 64
@@ -123,8 +123,14 @@ def buckets(sets: DataFrame, first: int, last: int, small: int, large: int, dept
         sampled = F.array(*[F.pmod(F.xxhash64("path", F.lit(k)), F.lit(TOKENS)).cast("int") for k in (0, 1)])
         sampled = F.array_distinct(F.slice(sampled, 1, F.when(F.lit(level > 1) & (F.pmod(F.xxhash64("path", F.lit(2)), F.lit(4)) == 0), 2).otherwise(1)))
         child = node.withColumn("at", F.explode(sampled)).select("id", "whole", F.xxhash64("path", "at", F.expr("tokens[at]")).alias("path"))
-        sizes = child.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        placed = cut(child.join(sizes, "path"))
+        sizes = cut(child.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        # A path of more than this many rows is dealt out in salts; there are at most MOST_HOT such paths.
+        most = max(TILE, (sizes.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+        salts = F.ceil(F.col("n") / most).cast("int")
+        hot = F.broadcast(sizes.where(F.col("n") > most).select("path", salts.alias("salts")))
+        salted = sizes.select("path", "n", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        salt = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("salts", F.lit(1))).cast("int")
+        placed = cut(child.join(hot, "path", "left").withColumn("salt", salt).join(salted, ["path", "salt"]).drop("salt", "salts"))
         # Of sets that are alike most go on together, and splitting them further only makes copies.
         alike = F.coalesce(F.col("n") >= ALIKE * F.col("whole"), F.lit(False))
         done = (F.col("n") <= small) | (F.lit(level >= usual) & (alike | (F.col("n") <= large))) | F.lit(level == depth)
