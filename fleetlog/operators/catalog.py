@@ -25,10 +25,11 @@ def children(sessions: DataFrame, parent) -> DataFrame:
     return sessions.where(F.col("parent_id") == parent).orderBy("created_at", "id")
 
 
-def session_tree(sessions: DataFrame, keys: tuple[str, ...] = ("provider", "project_path"), rounds: int = 64) -> DataFrame:
+def session_tree(sessions: DataFrame, keys: tuple[str, ...] = ("provider", "project_path"), rounds: int = 31) -> DataFrame:
     """(id, root_id, depth) inside each partition by `keys`: a child whose parent is not there is a root; sessions on a cycle have no row.
 
-    Parent links double in each round, so depth d takes about log2(d) joins.
+    Parent links double in each round, so depth d takes about log2(d) joins. Links that
+    go on for more than 2^rounds steps can only be cycles.
     """
     own = sessions.select("id", *keys, "parent_id")
     above = sessions.select(F.col("id").alias("parent_id"), *[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_there"))
@@ -41,10 +42,7 @@ def session_tree(sessions: DataFrame, keys: tuple[str, ...] = ("provider", "proj
         if steps.where("root is null").isEmpty():
             break
         over = steps.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-        # Links that go on for more than 2^rounds steps can only be cycles.
         steps = steps.join(over, "up", "left").select("id", F.coalesce("root", "_root").alias("root"), F.when(F.col("root").isNull(), F.col("n") + F.coalesce("_n", F.lit(0))).otherwise(F.col("n")).alias("n"), F.when(F.col("root").isNull() & F.col("_root").isNull(), F.col("_up")).alias("up")).checkpoint()
-        if _ >= 30:
-            break
     return steps.where("root is not null").select("id", F.col("root").alias("root_id"), F.col("n").alias("depth"))
 
 
