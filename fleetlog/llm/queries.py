@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, langid, mixing, path_join, piece_table, range_join, sharding, suffix_dedup, token_counts, warc
+from . import fill_middle, iblt, langid, mixing, path_join, piece_table, range_join, sharding, suffix_dedup, token_counts, warc
 from .common import crc32_text, shared_dir, table
 
 
@@ -66,6 +66,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 #: Groups by following links from the smallest id of each.
@@ -120,4 +126,11 @@ ORACLES: dict[str, str] = {
       UNION SELECT x.doc_id, y.doc_id FROM words x JOIN words y ON coalesce(x.text, '') = coalesce(y.text, '') AND x.doc_id <> y.doc_id),
     {_REACH}, low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
     SELECT doc_id, least(doc_id, coalesce(low.b, doc_id)) AS class_id, coalesce(n.n, 0) AS n_links FROM documents LEFT JOIN low ON low.a = doc_id LEFT JOIN n ON n.a = doc_id""",
+    "op11_fill_middle": """WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+    cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS u, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || x[i:i + 7] AS BIGINT)) AS h FROM drawn),
+    placed AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+    parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed)
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+      sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts""",
 }
