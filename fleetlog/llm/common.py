@@ -69,6 +69,15 @@ def load_sentencepiece(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+def lists_of(flat, parents, n: int):
+    """Arrow lists of the values by the rising index of their parent, of which there are `n`."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = np.bincount(parents.to_numpy(zero_copy_only=False), minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+
+
 def batches_of(array, size: int):
     """Slices of an Arrow array of at most about `size` bytes, one row at least."""
     import numpy as np

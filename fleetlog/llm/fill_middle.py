@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, small_batches
+from .common import batches_of, lists_of, small_batches
 
 PREFIX, SUFFIX, MIDDLE = MARKERS = ("<P>", "<S>", "<M>")
 BATCH_BYTES = 8 << 20
@@ -32,12 +32,6 @@ def units(texts: pa.Array) -> pa.ListArray:
     return lists_of(flat.filter(full), parents.filter(full), len(texts))
 
 
-def lists_of(flat: pa.Array, parents: pa.Array, n: int) -> pa.ListArray:
-    """Lists of the values by the rising index of their parent, of which there are `n`."""
-    sizes = np.bincount(parents.to_numpy(zero_copy_only=False), minlength=n)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
-
-
 def transform(batch: pa.RecordBatch, markers: tuple[str, str, str]) -> pa.RecordBatch:
     """Adds n, form, prefix_chars, middle_chars and output to a batch with text, low, high (draws for the two cuts) and wanted (form)."""
     before, after, between = markers

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, iblt, langid, mixing, path_join, piece_table, range_join, sharding, suffix_dedup, token_counts, warc
+from . import fill_middle, iblt, langid, line_runs, mixing, path_join, piece_table, range_join, sharding, suffix_dedup, token_counts, warc
 from .common import crc32_text, shared_dir, table
 
 
@@ -71,6 +71,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
@@ -83,6 +88,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_fill_middle": op11_fill_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: Groups by following links from the smallest id of each.
@@ -133,4 +139,10 @@ ORACLES: dict[str, str] = {
     parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed)
     SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts""",
+    "op13_line_dedup": """WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    keyed AS (SELECT r, doc_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM rows),
+    repeated AS (SELECT k FROM (SELECT DISTINCT r, unnest(keys) AS k FROM keyed) GROUP BY k HAVING length(k) >= 1 AND count(*) >= 10),
+    held AS (SELECT coalesce(list(k), []) AS ks FROM repeated)
+    SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(list_filter(keys, lambda k: list_contains(ks, k))) AS BIGINT) AS n_dropped,
+      sha256(coalesce(array_to_string(list_filter(lines, lambda x, i: NOT list_contains(ks, keys[i])), chr(10)), '')) AS kept_sha256 FROM keyed, held""",
 }
