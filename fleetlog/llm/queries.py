@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, iblt, langid, line_runs, mixing, path_join, piece_table, range_join, sharding, suffix_dedup, token_counts, warc
+from . import fill_middle, iblt, langid, line_runs, mixing, path_join, piece_table, prefix_trie, range_join, sharding, suffix_dedup, token_counts, warc
 from .common import crc32_text, shared_dir, table
 
 
@@ -71,6 +71,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(given))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_fill_middle": op11_fill_middle,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -139,6 +145,20 @@ ORACLES: dict[str, str] = {
     parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed)
     SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts""",
+    # crc32 bit by bit, as DuckDB has no function for it.
+    "op12_prefix_trie": """WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM
+      (SELECT conv_id, turn, sha256(strlen(r) || ':' || r || x)[1:32] AS d, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM turns)),
+    convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+    built AS (SELECT c.conv_id, 0 AS part, pos, d, w FROM convs c JOIN own o ON o.conv_id = c.base AND pos <= h UNION ALL SELECT conv_id, 1, pos, d, w FROM convs JOIN own USING (conv_id) WHERE pos > h),
+    prefix AS (SELECT conv_id, row_number() OVER line AS depth, w, string_agg(d, '') OVER line AS p FROM built WINDOW line AS (PARTITION BY conv_id ORDER BY part, pos) UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+    node AS (SELECT p, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, min(w) AS w FROM prefix GROUP BY p),
+    ends AS (SELECT p, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(p, depth) AS p FROM prefix GROUP BY conv_id) GROUP BY p),
+    kids AS (SELECT left(p, length(p) - 32) AS p, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+    up AS (SELECT left(p, 32 * CAST(a AS INTEGER)) AS p, count(*) FILTER (k IS NULL) AS leaves, sum((n - 1) * w) AS saved FROM (SELECT p, n, w, k, unnest(range(0, depth + 1)) AS a FROM node LEFT JOIN kids USING (p)) GROUP BY 1)
+    SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM node n JOIN up USING (p) LEFT JOIN kids USING (p) LEFT JOIN ends USING (p) LEFT JOIN node a ON n.depth > 0 AND a.p = left(n.p, length(n.p) - 32)""",
     "op13_line_dedup": """WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
     keyed AS (SELECT r, doc_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM rows),
     repeated AS (SELECT k FROM (SELECT DISTINCT r, unnest(keys) AS k FROM keyed) GROUP BY k HAVING length(k) >= 1 AND count(*) >= 10),
