@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def packed(frame: DataFrame, *out: str):
+    """All columns of the frame but those of `out` as one struct, so that their names can clash with none beside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in frame.columns if c not in out])
+
+
+def unpacked(frame: DataFrame, columns: list[str], row: str, **own) -> DataFrame:
+    """The columns again, by name from the struct `row` or, for a name in `own`, from that column."""
+    return frame.select(*[own[c].alias(c) if c in own else F.col(row)[c].alias(c) for c in columns])
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the shared folder."""
     shared_dir(frame.sparkSession)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed, unpacked
 
 LEVELS = ("domain", "lang", "source")
 BIN_ROWS = 1000
@@ -127,8 +127,9 @@ def mix(docs: DataFrame, fraction: float = 0.5, id_col: str = "doc_id", **how) -
 
 def draw(docs: DataFrame, fraction: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs`, all columns, that a mixture of `fraction` of the tokens has with each row once at most. Rows equal in id, text, language and source come together or not at all."""
-    classes = plan(docs, fraction, epochs=1, id_col=id_col, text_col=text_col, **how).where("whole > 0 or more = rows").select(F.col("id").alias("_id"), "digest", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    lang, source = (F.coalesce(F.col(how.get(f"{c}_col", c)).cast("string"), F.lit("none")) for c in ("lang", "source"))
-    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("digest")) & (lang == F.col("_lang")) & (source == F.col("_source"))
-    return docs.join(classes, same, "left_semi")
+    classes = plan(docs, fraction, epochs=1, id_col=id_col, text_col=text_col, **how).where("whole > 0 or more = rows").select("id", "digest", "lang", "source")
+    row = lambda c: F.col("row")[c]
+    lang, source = (F.coalesce(row(how.get(f"{c}_col", c)).cast("string"), F.lit("none")) for c in ("lang", "source"))
+    digest = F.md5(F.coalesce(row(text_col).cast("string"), F.lit("")))
+    same = row(id_col).eqNullSafe(F.col("id")) & (digest == F.col("digest")) & (lang == F.col("lang")) & (source == F.col("source"))
+    return unpacked(docs.select(packed(docs).alias("row")).join(classes, same, "left_semi"), docs.columns, "row")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HOT, batches_of, cut, small_batches
+from .common import MOST_HOT, batches_of, cut, packed, small_batches, unpacked
 from .graph import components, forest, sorted_groups, tile_pairs
 
 TOKENS = 64
@@ -329,11 +329,11 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows, known = classified(docs, id_col, text_col, **how)
     given = rows.join(known, "text_hash").withColumn("stays", F.col("leads") & F.col("id").eqNullSafe(F.col("own")))
     # One row for each id and text that goes.
-    gone = given.where("not stays").select(F.col("id").alias("_gone"), "text_hash").distinct()
-    keyed = docs.withColumn("_hash", text_hash(text_col))
-    kept = keyed.join(gone, (F.col("_hash") == F.col("text_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = given.where("not stays").select("id", "text_hash").distinct()
+    keyed = docs.select(packed(docs).alias("row"), text_hash(text_col).alias("hash"))
+    kept = keyed.join(gone, (F.col("hash") == F.col("text_hash")) & F.col("row")[id_col].cast("long").eqNullSafe(F.col("id")), "left_anti")
     repeated = given.where("stays").groupBy("id", "text_hash").count().where("count > 1").select("text_hash")
     if not repeated.isEmpty():
-        same = F.col("_hash") == F.col("text_hash")
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["_hash"]))
-    return kept.select(docs.columns)
+        same = F.col("hash") == F.col("text_hash")
+        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["hash"]))
+    return unpacked(kept, docs.columns, "row")

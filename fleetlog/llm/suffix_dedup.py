@@ -18,7 +18,8 @@ sort. So the work is first narrowed by a content-defined sample, exactly:
    and adjacent suffixes are compared by prefix. The smallest document of each
    run of equal prefixes keeps its bytes. Surroundings that all instances of a
    gram share need no sort.
-4. The covered intervals go back to their documents.
+4. The covered intervals go back to their rows. A row is known by its id and, among
+   different texts with that id, by the number of its text in their order.
 
 Rows carry arrays of a block of documents or a bucket of hashes, so Spark deals
 out, sorts and retries the work, and a task holds one of them at a time.
@@ -33,8 +34,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches_of, cut, small_batches
+from .common import packed as as_struct
 
 GRAM = 16
 BUCKET_BYTES = 8 << 20
@@ -55,8 +58,12 @@ def sliding(values: np.ndarray, width: int, op) -> np.ndarray:
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position, never 0."""
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
-    mixed = eight[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) + eight[8:]
+    return _gram_hash(eight[:-8], eight[8:])
+
+
+def _gram_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    mixed = low * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) + high
     mixed *= np.uint64(0xD6E8FEB86659FD93)
     return (mixed ^ (mixed >> np.uint64(32))) | np.uint64(1)
 
@@ -414,8 +421,38 @@ def whole_strings(data: np.ndarray, starts: np.ndarray, ids: np.ndarray, doc: np
     return at, (bucket << 32) | (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64), ids > first
 
 
+def tags_of(ids: list, texts: list[bytes]) -> np.ndarray:
+    """The number of each row's text among the distinct texts of its id, in order; 0 where the id has only one."""
+    held: dict = {}
+    for i, t in zip(ids, texts):
+        held.setdefault(i, set()).add(t)
+    ranks = {i: {t: k for k, t in enumerate(sorted(ts))} for i, ts in held.items() if len(ts) > 1}
+    return np.array([ranks[i][t] if i in ranks else 0 for i, t in zip(ids, texts)], np.int64)
+
+
+def rows_with(found: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, starts: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, row) for grams found as (ids, places, hashes): the row with the id, or each of the rows with it that has the gram there. `ids` of the rows rise."""
+    own, places, hashes = found
+    first, after = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+    many = after - first
+    if (many == 1).all():
+        return np.arange(len(own)), first
+    entry = np.repeat(np.arange(len(own)), many)
+    row = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many) + first[entry]
+    at = starts[row] + places[entry]
+    inside = at + GRAM <= starts[row + 1]
+    window = data[np.minimum(at, len(data) - GRAM)[:, None] + np.arange(GRAM)]
+    mixed = _gram_hash(*np.ascontiguousarray(window).view("<u8").T)
+    there = ((((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) << 32) | (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)) == hashes[entry]
+    pick = (many[entry] == 1) | (inside & there)
+    # Two rows with the gram at the same place made two equal entries.
+    entry, row = entry[pick], row[pick]
+    _, once = np.unique(np.stack([row, places[entry], hashes[entry]]), axis=1, return_index=True)
+    return entry[once], row[once]
+
+
 def surroundings(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, ids, places, hashes, lefts, rights, bytes) of the shared grams: what lies around each, compressed.
+    """(bucket, ids, tags, places, hashes, lefts, rights, bytes) of the shared grams: what lies around each, compressed.
 
     Around a hot gram each string goes to a bucket of its own hash, so no bucket gets all that surrounds the gram. What
     equals the bytes of an earlier document of the same block is settled here: its intervals, from `places` to `hashes`,
@@ -425,19 +462,21 @@ def surroundings(docs: DataFrame, shared: DataFrame, length: int, buckets: int)
     width = reach + length
 
     def run(key, texts, found):
-        schema = pa.schema([("bucket", pa.int32()), *((n, pa.list_(t)) for n, t in (("ids", pa.int64()), ("places", pa.int32()), ("hashes", pa.int64()), ("lefts", pa.int16()), ("rights", pa.int16()))), ("bytes", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), *((n, pa.list_(t)) for n, t in (("ids", pa.int64()), ("tags", pa.int32()), ("places", pa.int32()), ("hashes", pa.int64()), ("lefts", pa.int16()), ("rights", pa.int16()))), ("bytes", pa.binary())])
         if not found.num_rows or not texts.num_rows:
             return schema.empty_table()
         inflate = zstandard.ZstdDecompressor()
-        named = np.array(texts.column("id").to_pylist(), np.int64)
-        where = {i: k for k, i in enumerate(named.tolist())}
+        named, held = texts.column("id").to_pylist(), [inflate.decompress(x) for x in texts.column("packed").to_pylist()]
+        # Of rows that are equal one stands for all.
+        by_row = {(i, tag): t for i, tag, t in zip(named, tags_of(named, held).tolist(), held)}
+        held = [by_row[k] for k in sorted(by_row)]
+        named, tags = (np.array(x, np.int64) for x in zip(*sorted(by_row)))
         hot = np.repeat(found.column("hot").to_numpy(zero_copy_only=False).astype(bool), found.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))
         ids, places, hashes = (_flat(found, c) for c in ("ids", "places", "hashes"))
-        held = [inflate.decompress(x) for x in texts.column("packed").to_pylist()]
         starts = np.cumsum([0, *map(len, held)])
         data = np.concatenate([np.frombuffer(b"".join(held), np.uint8), np.zeros(length, np.uint8)])
-        doc = np.array([where[i] for i in ids.tolist()], np.int64)
-        places = places.astype(np.int64)
+        entry, doc = rows_with((ids, places.astype(np.int64), hashes), named, starts, data, buckets)
+        ids, places, hashes, hot = ids[entry], places[entry].astype(np.int64), hashes[entry], hot[entry]
         left = np.minimum(places, reach)
         right = np.minimum(starts[doc + 1] - starts[doc] - places, length)
         at = starts[doc] + places
@@ -455,7 +494,7 @@ def surroundings(docs: DataFrame, shared: DataFrame, length: int, buckets: int)
         gone = usual[later]
         begins, ends = [at[gone] - left[gone]], [at[gone] + right[gone]]
         rows, usual = rows[~later], usual[~later]
-        sent = [ids[usual], places[usual], hashes[usual], left[usual], right[usual]]
+        sent = [ids[usual], tags[doc[usual]], places[usual], hashes[usual], left[usual], right[usual]]
         if hot.any():
             string_at, string_hash, later = whole_strings(data, starts, named, doc[hot], at[hot], left[hot], right[hot], length, buckets)
             begins.append(string_at[later])
@@ -465,16 +504,16 @@ def surroundings(docs: DataFrame, shared: DataFrame, length: int, buckets: int)
             strings = np.zeros((len(string_at), width), np.uint8)
             strings[:, reach:] = data[string_at[:, None] + np.arange(length)]
             rows = np.concatenate([rows, strings])
-            sent = [np.concatenate(x) for x in zip(sent, (named[own], string_at - starts[own], string_hash, np.zeros(len(own), np.int64), np.full(len(own), length)))]
-        bucket = sent[2] >> 32
+            sent = [np.concatenate(x) for x in zip(sent, (named[own], tags[own], string_at - starts[own], string_hash, np.zeros(len(own), np.int64), np.full(len(own), length)))]
+        bucket = sent[3] >> 32
         order = np.argsort(bucket, kind="stable")
         bucket, sent, rows = bucket[order], [x[order] for x in sent], rows[order]
         bounds = _runs(bucket)
         deflate = zstandard.ZstdCompressor(level=1)
         packed = [deflate.compress(rows[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
 
-        def table(bucket, ids, places, hashes, left, right, bounds, packed):
-            lists = _lists({"i": ids, "p": places.astype(np.int32), "h": hashes, "l": left.astype(np.int16), "r": right.astype(np.int16)}, bounds)
+        def table(bucket, ids, tags, places, hashes, left, right, bounds, packed):
+            lists = _lists({"i": ids, "t": tags.astype(np.int32), "p": places.astype(np.int32), "h": hashes, "l": left.astype(np.int16), "r": right.astype(np.int16)}, bounds)
             return pa.Table.from_arrays([pa.array(bucket, pa.int32()), *lists, pa.array(packed, pa.binary())], schema=schema)
 
         made = [table(bucket[bounds[:-1]].astype(np.int32), *sent, bounds, packed)]
@@ -488,26 +527,26 @@ def surroundings(docs: DataFrame, shared: DataFrame, length: int, buckets: int)
             own = np.searchsorted(starts[:-1] + np.arange(len(held)), begins, side="right") - 1
             zero = starts[own] + own
             none = np.zeros(len(own), np.int64)
-            made.append(table(np.array([-1 - key[0].as_py() % buckets]), named[own], begins - zero, ends - zero, none, none, np.array([0, len(own)]), [b""]))
+            made.append(table(np.array([-1 - key[0].as_py() % buckets]), named[own], tags[own], begins - zero, ends - zero, none, none, np.array([0, len(own)]), [b""]))
         return pa.concat_tables(made)
 
-    return docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket int, ids array<long>, places array<int>, hashes array<long>, lefts array<short>, rights array<short>, bytes binary")
+    return docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket int, ids array<long>, tags array<int>, places array<int>, hashes array<long>, lefts array<short>, rights array<short>, bytes binary")
 
 
 def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
-    """(block, ids, starts, stops) of the intervals of bytes to remove."""
+    """(block, ids, tags, starts, stops) of the intervals of bytes to remove."""
     reach = length - GRAM
     width = reach + length
 
     def run(key, table):
         inflate = zstandard.ZstdDecompressor()
-        ids, places, hashes, left, right = (_flat(table, c).astype(np.int64) for c in ("ids", "places", "hashes", "lefts", "rights"))
+        ids, tags, places, hashes, left, right = (_flat(table, c).astype(np.int64) for c in ("ids", "tags", "places", "hashes", "lefts", "rights"))
         if key[0].as_py() < 0:
-            return _by_block({"ids": ids, "starts": places.astype(np.int32), "stops": hashes.astype(np.int32)}, blocks)
+            return _by_block({"ids": ids, "tags": tags.astype(np.int32), "starts": places.astype(np.int32), "stops": hashes.astype(np.int32)}, blocks)
         rows = np.frombuffer(b"".join(inflate.decompress(x) for x in table.column("bytes").to_pylist()), np.uint8).reshape(len(ids), width)
         # Distinct surroundings of each gram, with their smallest document.
         order, fresh = distinct_rows(hashes, _two_bytes(left), _two_bytes(right), rows)
-        ids, places, hashes, left, right = (x[order] for x in (ids, places, hashes, left, right))
+        ids, tags, places, hashes, left, right = (x[order] for x in (ids, tags, places, hashes, left, right))
         heads, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         first = np.minimum.reduceat(ids, heads)
         rows = rows[order[heads]]
@@ -537,37 +576,49 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
                 removed[some[members]] = least[group[members] - low] < first[some[members], None]
                 low = high
         later = ids > first[of]
-        spans = [(ids[later], places[later] - left[later], places[later] + right[later])]
+        spans = [(ids[later], tags[later], places[later] - left[later], places[later] + right[later])]
         own = np.flatnonzero(~later & removed.any(1)[of])
         flags = np.pad(removed[of[own]], ((0, 0), (1, 1))).astype(np.int8)
         edge = np.diff(flags, axis=1)
         i, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
         at = own[i]
-        spans.append((ids[at], places[at] - reach + begin, places[at] - reach + end - 1 + length))
+        spans.append((ids[at], tags[at], places[at] - reach + begin, places[at] - reach + end - 1 + length))
         made = [np.concatenate(x) for x in zip(*spans)]
-        return _by_block({"ids": made[0], "starts": made[1].astype(np.int32), "stops": made[2].astype(np.int32)}, blocks)
+        return _by_block({"ids": made[0], "tags": made[1].astype(np.int32), "starts": made[2].astype(np.int32), "stops": made[3].astype(np.int32)}, blocks)
 
-    return around.groupBy("bucket").applyInArrow(run, "block int, ids array<long>, starts array<int>, stops array<int>")
+    return around.groupBy("bucket").applyInArrow(run, "block int, ids array<long>, tags array<int>, starts array<int>, stops array<int>")
 
 
 def remove_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary, rest) for packed texts and the intervals of their blocks."""
+    """(id, n_bytes, n_removed, n_spans, kept binary, rest) for packed texts and the intervals of their blocks. A tag below 0 stands for a whole text: its start and stop are halves of the text's hash."""
 
     def run(key, texts, found):
         inflate = zstandard.ZstdDecompressor()
-        ids, starts, stops = (_flat(found, c).astype(np.int64) for c in ("ids", "starts", "stops")) if found.num_rows else (np.empty(0, np.int64),) * 3
-        order = np.lexsort((starts, ids))
-        ids, starts, stops = ids[order], starts[order], stops[order]
+        ids, tags, starts, stops = (_flat(found, c).astype(np.int64) for c in ("ids", "tags", "starts", "stops")) if found.num_rows else (np.empty(0, np.int64),) * 4
+        order = np.lexsort((starts, tags, ids))
+        ids, tags, starts, stops = ids[order], tags[order], starts[order], stops[order]
+        named, packed = texts.column("id").to_pylist(), texts.column("packed").to_pylist()
+        # Only rows of a repeated id have to be looked at together.
+        seen, several = set(), set()
+        for i in named:
+            (several if i in seen else seen).add(i)
+        again = [k for k, i in enumerate(named) if i in several and i is not None]
+        tag = dict(zip(again, tags_of([named[k] for k in again], [inflate.decompress(packed[k]) for k in again]).tolist()))
         sizes, gone, spans, kept = [], [], [], []
-        for own, packed in zip(texts.column("id").to_pylist(), texts.column("packed").to_pylist()):
-            text = inflate.decompress(packed)
+        for k, own in enumerate(named):
+            text = inflate.decompress(packed[k])
             a, b = (np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")) if own is not None else (0, 0)
+            low = a + np.searchsorted(tags[a:b], tag.get(k, 0))
+            high = a + np.searchsorted(tags[a:b], tag.get(k, 0), side="right")
+            whole = a + np.searchsorted(tags[a:b], 0)
             keep, at, n, parts = 0, 0, 0, []
-            if b > a:
-                reach = np.maximum.accumulate(stops[a:b])
-                heads = np.concatenate([[0], np.flatnonzero(starts[a + 1 : b] > reach[:-1]) + 1])
-                begins, ends = starts[a:b][heads].tolist(), reach[np.append(heads[1:], b - a) - 1].tolist()
+            if whole > a and ((starts[a:whole] == (halves := np.frombuffer(hashlib.md5(text).digest()[:8], ">u4").astype(np.int64) - (1 << 31))[0]) & (stops[a:whole] == halves[1])).any():
+                keep, at, n = 1, len(text), len(text)
+            elif high > low:
+                reach = np.maximum.accumulate(stops[low:high])
+                heads = np.concatenate([[0], np.flatnonzero(starts[low + 1 : high] > reach[:-1]) + 1])
+                begins, ends = starts[low:high][heads].tolist(), reach[np.append(heads[1:], high - low) - 1].tolist()
                 for begin, end in zip(begins, ends):
                     parts.append(text[at:begin])
                     at = min(end, len(text))
@@ -580,7 +631,7 @@ def remove_intervals(docs: DataFrame, intervals: DataFrame) -> DataFrame:
             kept.append(b"".join(parts))
         return pa.Table.from_arrays([texts.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans)), pa.array(kept, pa.binary()), texts.column("rest")], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
-    return docs.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {docs.schema['rest'].dataType.simpleString()}")
+    return docs.groupBy("block").cogroup(intervals.groupBy("block")).applyInArrow(run, T.StructType([*(T.StructField(c, T.LongType()) for c in ("id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), docs.schema["rest"]]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), hot: int = 128, hot_total: int = 50_000) -> DataFrame:
@@ -588,15 +639,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte is removed if a string of `length` bytes that covers it also starts
     in a text with a smaller id. Strings are judged on the input; within one
-    text, or between rows with the same id, nothing is removed. A null text is
+    text, or between rows with the same id, nothing is removed; rows of one id with
+    different texts each lose what their own text shares. A null text is
     empty. Texts under `length` bytes lose nothing. A row with a null id neither
-    loses bytes nor takes any. An empty table gives none; other columns are not read.
+    loses bytes nor takes any. Rows of one id lie in one task's block. An empty table gives none; other columns are not read.
     `length` is from GRAM to 32767. A gram is hot, and what surrounds it dealt out by single strings, if `hot` texts of a
     part of a task (4 MB) or more than `hot_total` of all have it; that changes where the work is done, not what is removed.
     """
     if not GRAM <= length < 1 << 15:
         raise ValueError(f"length is from {GRAM} to {(1 << 15) - 1}")
-    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("rest"))
+    base = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"), (as_struct(docs, *[c for c in docs.columns if c not in carry]) if carry else F.lit(None).cast("boolean")).alias("rest"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(total / BUCKET_BYTES))
     blocks = max(1, round(total / BLOCK_BYTES)) | 1
@@ -613,17 +665,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = F.pmod(F.coalesce("id", F.xxhash64("text")), F.lit(blocks)).cast("int")
 
     def packed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("block", block).select("id", "block", "rest", "text").mapInArrow(pack, f"id long, block int, rest {rows.schema['rest'].dataType.simpleString()}, packed binary")
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("block", T.IntegerType()), rows.schema["rest"], T.StructField("packed", T.BinaryType())])
+        return rows.withColumn("block", block).select("id", "block", "rest", "text").mapInArrow(pack, schema)
 
     bare = named.withColumn("rest", F.lit(None).cast("boolean"))
     intervals = covered(surroundings(packed(bare), shared, length, buckets), blocks, length)
-    texts = named.select("id", F.octet_length("text").alias("n"), F.md5("text").alias("digest")).where(F.col("n") >= length)
+    texts = named.where(F.octet_length("text") >= length).select("id", F.md5("text").alias("digest"))
     # The copies of one text are met in SALTS groups, of which each gets the first of all.
     texts = texts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     salted = texts.groupBy("digest", "salt").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
     firsts = salted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).where("rows > 1").select("digest", "first")
     firsts = salted.select("digest", "salt").join(firsts, "digest")
-    copies = texts.join(firsts, ["digest", "salt"]).where("id > first").select(F.pmod("id", F.lit(blocks)).cast("int").alias("block"), F.array("id").alias("ids"), F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("stops"))
+    half = lambda k: F.array((F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("long") - (1 << 31)).cast("int"))
+    copies = texts.join(firsts, ["digest", "salt"]).where("id > first").select(F.pmod("id", F.lit(blocks)).cast("int").alias("block"), F.array("id").alias("ids"), F.array(F.lit(-1)).alias("tags"), half(0).alias("starts"), half(1).alias("stops"))
     intervals = cut(intervals.unionByName(copies))
     out = remove_intervals(packed(base), intervals).withColumnRenamed("id", id_col)
     return out if carry else out.drop("rest")
