@@ -1,7 +1,8 @@
 """A training corpus from `documents`, in five stages of the operators in fleetlog.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of `documents`. Between two stages the rows are written as
+return the columns of `documents`, and any others that they are given, whatever
+their names; a row whose id repeats or is null is a row of its own. Between two stages the rows are written as
 Parquet to the shared folder and read again.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlog.llm import langid, mixing, path_join, piece_table, suffix_dedup
-from fleetlog.llm.common import cut_table, table
+from fleetlog.llm.common import cut_table, packed, table, unpacked
 from fleetlog.llm.queries import fold
 
 MIX_FRACTION = 0.8
@@ -20,8 +21,9 @@ MIX_FRACTION = 0.8
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those that no learned language claims; the border is chosen on the learning folds, with each language left out in turn."""
     model = langid.fit(docs, F.coalesce(fold() != 2, F.lit(True)), judge=True)
-    kept = langid.annotate(docs, model, judge=True).where("claimed")
-    return kept.select(docs.columns)
+    rest = docs.select("text", packed(docs, "text").alias("rest"))
+    kept = langid.annotate(rest, model, judge=True).where("claimed")
+    return unpacked(kept, docs.columns, "rest", text=F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     text = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
     cut = F.col("n_removed") > 0
     cleaned = suffix_dedup.remove_repeats(docs, carry=tuple(c for c in docs.columns if c != "text")).withColumn("text", text)
-    cleaned = cleaned.where(~cut | (F.col("text") != "")).select("text", "n_removed", "rest.*")
-    return cleaned.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_chars = F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("rest")["n_chars"])
+    return unpacked(cleaned.where(~cut | (F.col("text") != "")), docs.columns, "rest", text=F.col("text"), n_chars=n_chars)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
