@@ -259,10 +259,10 @@ def shared_extent(group: np.ndarray, parts: np.ndarray) -> np.ndarray:
 
 def distinct_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, fresh): an order that puts equal rows together and keeps the first column ascending, and where a row differs from the one before."""
-    whole = np.ascontiguousarray(np.concatenate([c if c.dtype == np.uint8 else c.astype(">i8").view(np.uint8).reshape(len(c), 8) for c in columns], axis=1))
-    n, width = whole.shape
-    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    words[:, :width] = whole
+    n, widths = len(columns[0]), [c.shape[1] if c.dtype == np.uint8 else 8 for c in columns]
+    words = np.zeros((n, -(-sum(widths) // 8) * 8), np.uint8)
+    for c, wide, at in zip(columns, widths, np.cumsum([0, *widths])):
+        words[:, at : at + wide] = c if c.dtype == np.uint8 else c.astype(">i8").view(np.uint8).reshape(n, 8)
     words = words.view("<u8")
     mixed = np.zeros(n, np.uint64)
     for k in range(words.shape[1]):
@@ -270,8 +270,11 @@ def distinct_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mixed ^= mixed >> np.uint64(31)
     order = np.lexsort((mixed, columns[0]))
     # Rows are told apart by their bytes; two that only share the mixed value would at worst stay apart.
-    ordered = words[order]
-    return order, np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)]) if n else np.zeros(0, bool)
+    fresh = np.ones(n, bool)
+    for low in range(1, n, 1 << 15):
+        some = slice(low, low + (1 << 15))
+        fresh[some] = (words[order[some]] != words[order[low - 1 : low - 1 + len(order[some])]]).any(1)
+    return order, fresh
 
 
 def _two_bytes(numbers: np.ndarray) -> np.ndarray:
@@ -543,7 +546,11 @@ def covered(around: DataFrame, blocks: int, length: int) -> DataFrame:
         ids, tags, places, hashes, left, right = (_flat(table, c).astype(np.int64) for c in ("ids", "tags", "places", "hashes", "lefts", "rights"))
         if key[0].as_py() < 0:
             return _by_block({"ids": ids, "tags": tags.astype(np.int32), "starts": places.astype(np.int32), "stops": hashes.astype(np.int32)}, blocks)
-        rows = np.frombuffer(b"".join(inflate.decompress(x) for x in table.column("bytes").to_pylist()), np.uint8).reshape(len(ids), width)
+        rows, at = np.empty((len(ids), width), np.uint8), 0
+        for piece in table.column("bytes"):
+            part = np.frombuffer(inflate.decompress(piece.as_buffer()), np.uint8).reshape(-1, width)
+            rows[at : at + len(part)] = part
+            at += len(part)
         # Distinct surroundings of each gram, with their smallest document.
         order, fresh = distinct_rows(hashes, _two_bytes(left), _two_bytes(right), rows)
         ids, tags, places, hashes, left, right = (x[order] for x in (ids, tags, places, hashes, left, right))
