@@ -11,7 +11,7 @@ from ..operators import catalog, search, usage
 from ..plans import reports
 from ..sources import logs, sinks
 from ..sources import tables as T
-from ..streaming import jobs
+from ..streaming import deltas, jobs, late, merge
 from . import usage as U
 
 QUERIES, ORACLES = {}, {}
@@ -359,9 +359,40 @@ def stream_events(spark, sf):
 STREAM = f"WITH {T.EVENTS_SQL}, ev AS (SELECT *, epoch(CAST(ts AS TIMESTAMPTZ)) AS sec, CASE WHEN seq % 5 = 4 THEN NULL ELSE usage_hash END AS h FROM usage_events WHERE ts IS NOT NULL AND model <> '' AND model <> '<synthetic>')"
 
 
-@query("st_1_stream_usage", f"{STREAM} SELECT session_id, CAST(floor(sec / 900) * 900 AS BIGINT) AS bucket, model, count(*) AS turn_count, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in usage.COUNTERS)} FROM ev GROUP BY 1, 2, 3")
+#: Rows arrive in slices of 800 days, up to 50 days behind their time.
+SLICE = "CAST(floor((floor(sec / 86400) + (session_id * 7 + seq * 13) % 50) / 800) AS BIGINT)"
+DELAY_DAYS = 30
+ARRIVED = f"""arrived AS (SELECT *, {SLICE} AS slice FROM ev), newest AS (SELECT slice, max(sec) AS sec FROM arrived GROUP BY slice),
+  marks AS (SELECT slice, max(sec) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DELAY_DAYS * 86400} AS mark FROM newest),
+  told AS (SELECT a.*, coalesce(floor(a.sec / 900) * 900 + 900 <= mark, false) AS late FROM arrived a JOIN marks USING (slice))"""
+
+
+def arrivals(spark, rows, folder, start):
+    """Feeds rows with ts, session_id and seq slice by slice to a query that start(folder of files) makes, until it has read each."""
+    sliced = f"{folder}/sliced"
+    rows.withColumn("slice", F.expr("cast(floor((floor(unix_seconds(ts) / 86400) + (session_id * 7 + seq * 13) % 50) / 800) as bigint)")).write.partitionBy("slice").parquet(sliced)
+    for k in sorted(r.slice for r in spark.read.parquet(sliced).select("slice").distinct().collect()):
+        spark.read.schema(rows.schema).parquet(f"{sliced}/slice={k}").write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).awaitTermination()
+
+
+def to_files(frame, folder):
+    """Starts a streaming frame that writes each batch's result to `folder`/out."""
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return frame.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+@query("st_1_stream_usage", f"""{STREAM}, {ARRIVED} SELECT session_id, CAST(floor(sec / 900) * 900 AS BIGINT) AS bucket, model, count(*) AS turn_count, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in usage.COUNTERS)} FROM told
+  WHERE NOT late AND floor(sec / 900) * 900 + 900 <= (SELECT max(sec) - {DELAY_DAYS * 86400} FROM arrived) GROUP BY 1, 2, 3""")
 def st_1(spark, sf):
-    return streamed(spark, stream_events(spark, sf), lambda s: jobs.stream_usage(s, LATE), "complete")
+    """Windows that the watermark has closed, of the rows that weren't late."""
+    folder, rows = sinks.shared_folder(spark, "usage"), stream_events(spark, sf)
+    arrivals(spark, rows, folder, lambda s: to_files(jobs.stream_usage(s, f"{DELAY_DAYS} days"), folder))
+    schema = jobs.stream_usage(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "1 day").schema
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
 @query("st_2_stream_dedup", f"{STREAM} SELECT session_id, h AS usage_hash, CASE WHEN h IS NULL THEN count(*) ELSE 1 END AS n FROM ev GROUP BY 1, 2")
@@ -370,13 +401,22 @@ def st_2(spark, sf):
     return rows.groupBy("session_id", "usage_hash").agg(F.count("*").alias("n"))
 
 
-@query("st_3_stream_delta", f"""{STREAM}, t AS (SELECT session_id, seq, CASE WHEN seq % 3 = 0 THEN NULL ELSE sum(CASE WHEN seq % 4 = 0 THEN -input_tokens ELSE input_tokens END) OVER (PARTITION BY session_id ORDER BY seq) END AS total, CASE WHEN seq % 5 = 1 THEN input_tokens END AS own FROM ev),
+@query("st_3_stream_delta", f"""{STREAM}, e AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY sec, seq) AS seq, input_tokens FROM ev),
+  t AS (SELECT session_id, seq, CASE WHEN seq % 3 = 0 THEN NULL ELSE sum(CASE WHEN seq % 4 = 0 THEN -input_tokens ELSE input_tokens END) OVER (PARTITION BY session_id ORDER BY seq) END AS total, CASE WHEN seq % 5 = 1 THEN input_tokens END AS own FROM e),
   s AS (SELECT *, coalesce(last_value(total IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM t) SELECT session_id, seq, CAST(coalesce(own, greatest(0, total - seen)) AS BIGINT) AS input_tokens FROM s""")
 def st_3(spark, sf):
+    """A session's rows come out of order in several slices; one much newer row at the end lets the last go."""
     total = "if(seq % 3 = 0, null, sum(if(seq % 4 = 0, -input_tokens, input_tokens)) over (partition by session_id order by seq)) as total_input_tokens"
-    rows = stream_events(spark, sf).selectExpr("session_id", "seq", "ts", total, "if(seq % 5 = 1, input_tokens, null) as last_input_tokens")
-    # A session's rows come in one batch here, so that they come in order.
-    return streamed(spark, rows.coalesce(1), lambda s: jobs.stream_delta(s, late=LATE)).select("session_id", "seq", "input_tokens")
+    rows = stream_events(spark, sf).withColumn("seq", F.expr("cast(row_number() over (partition by session_id order by ts, seq) as long)"))
+    rows = rows.selectExpr("session_id", "seq", "ts", total, "if(seq % 5 = 1, input_tokens, null) as last_input_tokens")
+    end = rows.agg(F.max("ts").alias("ts")).selectExpr("-1L as session_id", "1L as seq", "ts + interval 1000 days as ts", "0L as total_input_tokens", "null as last_input_tokens")
+    folder = sinks.shared_folder(spark, "deltas")
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        arrivals(spark, rows.unionByName(end), folder, lambda s: to_files(deltas.stream_delta(s, late="60 days", idle="3000 days"), folder))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    return spark.read.schema("session_id long, seq long, input_tokens long").option("recursiveFileLookup", "true").parquet(f"{folder}/out").where("session_id >= 0")
 
 
 @query("st_4_activity_bursts", f"""{MESSAGES}, g AS (SELECT session_id, ts_ms, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) < 18000000 THEN 0 ELSE 1 END AS fresh FROM messages),
@@ -387,14 +427,45 @@ def st_4(spark, sf):
     return bursts.select("session_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "messages")
 
 
-@query("st_5_stream_merge", f"{STREAM} SELECT session_id, seq, model FROM ev")
+def _merged(old: str, new: str) -> str:
+    """SQL for the rows of `new` merged into those of `old`."""
+    return f"""SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.provider ELSE n.provider END AS provider, CASE WHEN n.id IS NULL OR o.title_custom THEN o.title ELSE n.title END AS title,
+    coalesce(o.title_custom, false) OR coalesce(n.title_custom, false) AS title_custom, CASE WHEN n.id IS NULL THEN o.content_text ELSE n.content_text END AS content_text,
+    CASE WHEN n.id IS NULL OR coalesce(n.project_path, '') = '' THEN o.project_path ELSE n.project_path END AS project_path,
+    CASE WHEN n.id IS NULL THEN o.project_name WHEN coalesce(n.project_name, '') IN ('', 'Unknown Project') THEN coalesce(o.project_name, n.project_name) ELSE n.project_name END AS project_name,
+    CASE WHEN n.id IS NULL THEN o.is_sidechain WHEN n.provider = 'low' THEN n.is_sidechain ELSE coalesce(o.is_sidechain, false) OR n.is_sidechain END AS is_sidechain,
+    CASE WHEN n.id IS NULL THEN o.parent_id WHEN n.provider = 'low' THEN n.parent_id ELSE coalesce(n.parent_id, o.parent_id) END AS parent_id,
+    n.id IS NOT NULL AND NOT (o.id IS NOT NULL AND o.title = n.title AND o.content_text = n.content_text AND o.project_name = n.project_name) AS changed FROM {old} o FULL JOIN {new} n ON o.id = n.id"""
+
+
+#: Sessions as three passes of a scan find them: which, and what differs in them.
+PASSES = (
+    ("id % 3 <> 0", {"title_custom": "id % 4 = 0"}),
+    ("id % 5 <> 1", {"title": "concat(title, CASE WHEN id % 2 = 0 THEN ' new' ELSE '' END)", "project_path": "CASE WHEN id % 5 = 0 THEN '' ELSE concat(project_path, 'x') END", "project_name": "CASE WHEN id % 7 = 0 THEN 'Unknown Project' ELSE project_name END", "is_sidechain": "id % 11 = 0", "parent_id": "CASE WHEN id % 2 = 0 THEN parent_id END"}),
+    ("id % 2 = 0", {"title": "concat(title, ' third')", "content_text": "CASE WHEN id % 4 = 0 THEN content_text ELSE concat(content_text, '!') END", "project_path": "CASE WHEN id % 6 = 0 THEN NULL ELSE project_path END", "project_name": "CASE WHEN id % 10 = 0 THEN '' ELSE concat(project_name, 'z') END", "is_sidechain": "false", "parent_id": "CASE WHEN id % 8 = 0 THEN id + 1 END"}),
+)
+_MERGE_COLUMNS = ("id", "provider", "title", "title_custom", "content_text", "project_path", "project_name", "is_sidechain", "parent_id")
+
+
+def _pass(k: int) -> list[str]:
+    own = {"title_custom": "false"} | PASSES[k][1]
+    return [f"{own[c]} AS {c}" if c in own else c for c in _MERGE_COLUMNS]
+
+
+@query("st_5_stream_merge", f"WITH {T.SESSIONS_SQL}, " + ", ".join(f"w{k} AS (SELECT {', '.join(_pass(k))} FROM sessions WHERE {PASSES[k][0]})" for k in range(3)) + f", m1 AS ({_merged('w0', 'w1')}), m2 AS ({_merged('m1', 'w2')}) SELECT id, title, title_custom, content_text, project_path, project_name, is_sidechain, parent_id, changed FROM m2")
 def st_5(spark, sf):
-    folder = sinks.shared_folder(spark, "merge")
-    rows = stream_events(spark, sf).select("session_id", "seq", "model")
-    rows.write.parquet(f"{folder}/in")
-    for _ in range(2):  # run again, it adds nothing
-        jobs.stream_merge(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    """Three batches of sessions merged by id. The second has each session twice, and is merged once more after it was."""
+    folder, sessions = sinks.shared_folder(spark, "merge"), T.sessions(spark, sf)
+    for k in range(3):
+        rows = sessions.where(PASSES[k][0]).selectExpr(*_pass(k), "1L as version")
+        if k == 1:
+            rows = rows.unionByName(rows.withColumns({"version": F.lit(0).cast("long"), "title": F.lit("old")}))
+        rows.write.mode("append").parquet(f"{folder}/in")
+        again = lambda table, number: merge.merge_batch(table, rows.withColumn("title", F.lit("again")), 1, ["version"], "low") if number else None  # noqa: B023, E731
+        merge.stream_merge(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state", ["version"], "low", after=again).awaitTermination()
+    # Parts without a row in the last batch can't be: each has some ids that it changed.
+    last = merge.sessions_table(rows, f"{folder}/out")
+    return last.read().select("id", "title", "title_custom", "content_text", "project_path", "project_name", "is_sidechain", "parent_id", "changed")
 
 
 @query("st_6_changed_lines", f"{EVENT_LINES} SELECT log, line_no FROM made WHERE NOT blank")
@@ -406,18 +477,10 @@ def st_6(spark, sf):
     return new.unionByName(again).select(log_number(), "line_no")
 
 
-@query("st_7_late_rows", f"{STREAM}, top AS (SELECT max(sec) AS newest FROM ev) SELECT CAST(count(*) AS BIGINT) AS late FROM ev, top WHERE floor(sec / 900) * 900 + 900 <= newest - 3600")
+@query("st_7_late_rows", f"{STREAM}, {ARRIVED} SELECT session_id, model, late, count(*) AS n FROM told GROUP BY 1, 2, 3")
 def st_7(spark, sf):
-    """All rows come after one row at the newest time, so each whose window had closed by then is late."""
+    """Rows in time and late ones, by session and model."""
     folder, rows = sinks.shared_folder(spark, "late"), stream_events(spark, sf)
-    newest = rows.agg(F.max("ts").alias("ts"))
-    first = newest.select(F.lit(-1).cast("long").alias("session_id"), F.lit(0).cast("long").alias("seq"), "ts", F.lit("m").alias("model"), *[F.lit(0).cast("long").alias(c) for c in (*usage.COUNTERS, "turn_count")], F.lit("first").alias("usage_hash"))
-    feed = f"{folder}/in"
-    late = 0
-    for part in (first, rows):
-        part.write.mode("append").parquet(feed)
-        stream = jobs.stream_usage(spark.readStream.schema(rows.schema).parquet(feed), "1 hour")
-        running = stream.writeStream.format("noop").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        running.awaitTermination()
-        late += jobs.late_rows(running)
-    return rows.agg(F.max(F.lit(late).cast("long")).alias("late"))
+    arrivals(spark, rows, folder, lambda s: late.split_late(s, f"{folder}/split", f"{folder}/state", late.window_end(), f"{DELAY_DAYS} days"))
+    both = [late.split_rows(spark, f"{folder}/split", "session_id long, model string", x).withColumn("late", F.lit(x)) for x in (True, False)]
+    return both[0].unionByName(both[1]).groupBy("session_id", "model", "late").agg(F.count("*").alias("n"))

@@ -1,12 +1,9 @@
-"""Streams of usage events and messages. Each function takes and returns a streaming DataFrame, but stream_merge()."""
+"""Streams of usage events and messages. Each function takes and returns a streaming DataFrame, but changed_lines()."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.usage import COUNTERS
 from ..sources.logs import LogFormat, discover_logs, read_log_lines, stale_files
@@ -18,7 +15,7 @@ def file_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame
 
 
 def stream_usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Sums by session, 15 minutes and model, for the update or append mode. Rows behind the watermark are dropped and counted in the query's progress."""
+    """Sums by session, 15 minutes and model, for the update or append mode. Rows behind the watermark are dropped; late.split_late() keeps and counts them."""
     windowed = events.withWatermark("ts", late).groupBy("session_id", F.window("ts", "15 minutes").alias("w"), "model")
     return windowed.agg(F.count("*").alias("turn_count"), *[F.sum(c).alias(c) for c in COUNTERS]).select("session_id", F.unix_seconds("w.start").alias("bucket"), "model", "turn_count", *COUNTERS)
 
@@ -29,54 +26,12 @@ def stream_dedup(events: DataFrame, late: str = "1 hour", keys: tuple[str, ...]
     return timed.where("usage_hash is not null").dropDuplicatesWithinWatermark([*keys, "usage_hash"]).unionByName(timed.where("usage_hash is null"))
 
 
-def stream_delta(events: DataFrame, counters: tuple[str, ...] = ("input_tokens",), late: str = "1 hour") -> DataFrame:
-    """(session_id, seq, ts, counters) from cumulative logs with total_<c> and last_<c>: as given in `last_<c>`, else the total less the one seen before, 0 at least.
-
-    The state of a session is its last totals. It goes when the watermark is `late` behind the session's last row; a
-    session that goes on after that starts from 0 again.
-    """
-    totals, lasts = [f"total_{c}" for c in counters], [f"last_{c}" for c in counters]
-    wait = int(events.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + interval {late})")).first()[0])
-
-    def run(key, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        seen = pd.Series(list(state.get) if state.exists else [0] * len(counters), index=totals, dtype="float64")
-        known = pd.concat([seen.to_frame().T, rows[totals].astype("float64")]).ffill()
-        made = pd.DataFrame({"session_id": key[0], "seq": rows["seq"].to_numpy(), "ts": rows["ts"].to_numpy()})
-        for counter, total, last in zip(counters, totals, lasts):
-            steps = (rows[total].astype("float64").to_numpy() - known[total].to_numpy()[:-1])
-            made[counter] = pd.Series(rows[last].to_numpy()).astype("float64").fillna(pd.Series(steps).fillna(0).clip(lower=0)).astype("Int64")
-        state.update(tuple(int(x) for x in known.iloc[-1]))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + wait + 1)
-        yield made
-
-    made = "session_id long, seq long, ts timestamp, " + ", ".join(f"{c} long" for c in counters)
-    held = ", ".join(f"{c} long" for c in totals)
-    needed = events.select("session_id", "seq", "ts", *totals, *lasts).withWatermark("ts", late)
-    return needed.groupBy("session_id").applyInPandasWithState(run, made, held, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def activity_bursts(messages: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """(session_id, start, end, messages) of runs without a longer pause."""
     grouped = messages.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("w"))
     return grouped.agg(F.count("*").alias("messages")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "messages")
 
 
-def stream_merge(rows: DataFrame, path: str, checkpoint: str):
-    """Starts a query that writes each batch to its own folder under `path`; a batch that runs again overwrites its own rows only."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def changed_lines(spark: SparkSession, folder: str, fmt: LogFormat, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Of logs that grow: the lines that `known` (source_path, size, mtime, lines) doesn't have yet, and the new `known`.
 
@@ -96,8 +51,3 @@ def changed_lines(spark: SparkSession, folder: str, fmt: LogFormat, known: DataF
     ends = lines.groupBy("source_path").agg(F.max("line_no").alias("now"))
     state = listed.join(ends, "source_path", "left").select("source_path", "size", "mtime", F.coalesce("now", "had", F.lit(0)).cast("long").alias("lines"))
     return new, state
-
-
-def late_rows(query) -> int:
-    """Rows that a query's stateful operators dropped as they came behind the watermark, over its recent progress; what came late is put right by replacing whole sessions from a batch."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
