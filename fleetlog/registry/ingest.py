@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..operators import catalog, search, usage
 from ..plans import reports
-from ..sources import logs, sinks
+from ..sources import logs, ranges, sinks
 from ..sources import tables as T
 from ..streaming import deltas, jobs, late, merge
 from . import usage as U
@@ -468,13 +468,68 @@ def st_5(spark, sf):
     return last.read().select("id", "title", "title_custom", "content_text", "project_path", "project_name", "is_sidechain", "parent_id", "changed")
 
 
-@query("st_6_changed_lines", f"{EVENT_LINES} SELECT log, line_no FROM made WHERE NOT blank")
+def put_logs(lines, folder: str) -> None:
+    """Lines (log, line_no, raw) as one file for each log, in place of the file that was there."""
+    lines = lines.select(F.col("log").cast("string").alias("log"), "line_no", "raw").repartition("log").sortWithinPartitions("log", "line_no")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root)
+        out, own = None, None
+        for batch in batches:
+            for log, raw in zip(batch.column("log").to_pylist(), batch.column("raw").to_pylist()):
+                if log != own:
+                    if out:
+                        out.close()
+                        files.move(f"{root}/.{own}.part", f"{root}/log={own}.jsonl")
+                    own, out = log, files.open_output_stream(f"{root}/.{log}.part")
+                out.write(raw.encode() + b"\n")
+        if out:
+            out.close()
+            files.move(f"{root}/.{own}.part", f"{root}/log={own}.jsonl")
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.string())], names=["log"])
+
+    lines.mapInArrow(write, "log string").write.format("noop").mode("overwrite").save()
+
+
+#: Of each log three fifths are there at first; then it grows, and every fifth log is written anew.
+GROWN = f"""{EVENT_LINES}, counted AS (SELECT *, count(*) OVER (PARTITION BY log) AS n FROM made),
+  read AS (SELECT log, line_no, 1 AS pass FROM counted WHERE NOT blank AND line_no <= n * 3 // 5 UNION ALL SELECT log, line_no, 2 FROM counted WHERE NOT blank AND (line_no > n * 3 // 5 OR log % 5 = 2))"""
+
+
+def grown_logs(spark, sf):
+    lines = event_lines(spark, sf).withColumn("n", F.expr("count(*) over (partition by log)"))
+    return lines.where("line_no <= floor(n * 3 / 5)"), lines.withColumn("raw", F.expr("if(log % 5 = 2 and raw <> ' ', concat('x', raw), raw)"))
+
+
+@query("st_6_changed_lines", f"{GROWN} SELECT log, line_no, pass FROM read")
 def st_6(spark, sf):
-    """Two passes over the logs; the second finds nothing new."""
-    folder, fmt = log_folder(spark, sf), logs.LogFormat("agent", "part-*.txt")
-    new, state = jobs.changed_lines(spark, folder, fmt)
-    again, _ = jobs.changed_lines(spark, folder, fmt, state)
-    return new.unionByName(again).select(log_number(), "line_no")
+    """Three passes over the logs; the last finds nothing new."""
+    folder, fmt = sinks.shared_folder(spark, "grown"), logs.LogFormat("agent")
+    known, out = None, None
+    for k, lines in enumerate([*grown_logs(spark, sf), None], start=1):
+        if lines is not None:
+            put_logs(lines, f"{folder}/in")
+        new, known = ranges.grown_lines(spark, f"{folder}/in", fmt, f"{folder}/pass={k}", known)
+        new = new.select(log_number(), "line_no", F.lit(k).alias("pass"))
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
+@query("st_6_growing_source", f"{GROWN} SELECT log, pass, count(*) AS lines FROM read GROUP BY 1, 2")
+def st_6_source(spark, sf):
+    """The same logs as a streaming source, a batch for each state of them."""
+    folder = sinks.shared_folder(spark, "source")
+    spark.dataSource.register(ranges.GrowingLogs)
+    for k, lines in enumerate(grown_logs(spark, sf), start=1):
+        put_logs(lines, f"{folder}/in")
+        stream = spark.readStream.format("growing_logs").option("path", f"{folder}/in").load().select("source_path", "at", "raw", F.lit(k).alias("pass"))
+        to_files(stream, folder).awaitTermination()
+    rows = spark.read.schema("source_path string, at long, raw string, pass int").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return rows.where(F.trim("raw") != "").groupBy(log_number(), "pass").agg(F.count("*").alias("lines"))
 
 
 @query("st_7_late_rows", f"{STREAM}, {ARRIVED} SELECT session_id, model, late, count(*) AS n FROM told GROUP BY 1, 2, 3")

@@ -1,4 +1,4 @@
-"""Streams of usage events and messages. Each function takes and returns a streaming DataFrame, but changed_lines()."""
+"""Streams of usage events and messages. Each function takes and returns a streaming DataFrame."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.usage import COUNTERS
-from ..sources.logs import LogFormat, discover_logs, read_log_lines, stale_files
 
 
 def file_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
-    """Lines (source_path, raw) of new files. Files that grow are not seen again; changed_lines() reads those."""
+    """Lines (source_path, raw) of new files. Files that grow are not seen again; sources.ranges reads those."""
     return spark.readStream.format("text").option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("raw"))
 
 
@@ -30,24 +29,3 @@ def activity_bursts(messages: DataFrame, gap: str = "5 minutes", late: str = "1
     """(session_id, start, end, messages) of runs without a longer pause."""
     grouped = messages.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", gap).alias("w"))
     return grouped.agg(F.count("*").alias("messages")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "messages")
-
-
-def changed_lines(spark: SparkSession, folder: str, fmt: LogFormat, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of logs that grow: the lines that `known` (source_path, size, mtime, lines) doesn't have yet, and the new `known`.
-
-    One pass of a job that runs again and again. A file that shrank is read from its start; a torn last line waits for its newline.
-    The paths of the changed files go through the driver, as those of any listing do.
-    """
-    listing = discover_logs(spark, folder, fmt).select("source_path", "size", "mtime")
-    if known is None:
-        known = spark.createDataFrame([], "source_path string, size long, mtime long, lines long")
-    changed = [r.source_path for r in stale_files(listing, known).select("source_path").collect()]
-    was = known.select("source_path", F.col("size").alias("was"), F.col("lines").alias("had"))
-    if not changed:
-        return spark.createDataFrame([], "source_path string, line_no long, raw string, malformed boolean"), known
-    listed = listing.join(was, "source_path", "left").withColumn("had", F.when(F.col("size") >= F.col("was"), F.col("had")).otherwise(0))
-    lines = read_log_lines(spark, changed, torn_tail=True)
-    new = lines.join(listed.select("source_path", "had"), "source_path").where(F.col("line_no") > F.coalesce("had", F.lit(0))).drop("had")
-    ends = lines.groupBy("source_path").agg(F.max("line_no").alias("now"))
-    state = listed.join(ends, "source_path", "left").select("source_path", "size", "mtime", F.coalesce("now", "had", F.lit(0)).cast("long").alias("lines"))
-    return new, state

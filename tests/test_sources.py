@@ -147,23 +147,6 @@ def test_stream_keeps_rows_without_hash(spark, tmp_path):
     assert sorted((r.session_id, r.usage_hash) for r in got.collect() if r.usage_hash) == [(1, "h"), (2, "h")] and got.where("usage_hash is null").count() == 2
 
 
-def test_grown_logs(spark, tmp_path):
-    fmt = logs.LogFormat("p")
-    write(tmp_path, "a.jsonl", ['{"n":1}', '{"n":2}'])
-    write(tmp_path, "b.jsonl", ['{"n":1}', "{torn"], tail="")
-    new, known = jobs.changed_lines(spark, str(tmp_path), fmt)
-    assert sorted((r.source_path[-7], r.line_no) for r in new.collect()) == [("a", 1), ("a", 2), ("b", 1)]
-    known = spark.createDataFrame(known.collect(), known.schema)
-    write(tmp_path, "a.jsonl", ['{"n":1}', '{"n":2}', '{"n":3}'])
-    write(tmp_path, "b.jsonl", ['{"n":1}', '{"n":2}'])
-    new, known = jobs.changed_lines(spark, str(tmp_path), fmt, known)
-    assert sorted((r.source_path[-7], r.line_no, r.raw) for r in new.collect()) == [("a", 3, '{"n":3}'), ("b", 2, '{"n":2}')]
-    known = spark.createDataFrame(known.collect(), known.schema)
-    write(tmp_path, "a.jsonl", ['{"m":1}'])
-    new, known = jobs.changed_lines(spark, str(tmp_path), fmt, known)
-    assert [(r.source_path[-7], r.line_no, r.raw) for r in new.collect()] == [("a", 1, '{"m":1}')]
-
-
 def test_lines_in_blocks(spark, tmp_path):
     rows = [f'{{"n":{i}}}' if i % 7 else "" for i in range(4000)]
     write(tmp_path, "a.jsonl", rows, tail="")
