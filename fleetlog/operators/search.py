@@ -126,19 +126,6 @@ def candidates(postings: DataFrame, q: str) -> DataFrame:
     return postings.where(F.col("trigram").isin(grams)).groupBy("id", "field").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id").distinct()
 
 
-def indexed_search(docs: DataFrame, postings: DataFrame, q: str) -> DataFrame:
-    """As phrase_search(), reading only the texts that the postings leave; queries under three characters scan."""
-    if len(q.strip()) < 3:
-        return phrase_search(docs, q)
-    return phrase_search(docs.join(candidates(postings, q), "id", "left_semi"), q)
-
-
-def refreshed_postings(postings: DataFrame, docs: DataFrame, changed: DataFrame, fields=FIELDS) -> DataFrame:
-    """Postings after a change: those of the rows in `changed` (id) are taken out and built anew from `docs`, the others stay."""
-    kept = postings.join(changed.select("id"), "id", "left_anti").select("trigram", "id", "field")
-    return kept.unionByName(trigram_postings(docs.join(changed.select("id"), "id", "left_semi"), fields))
-
-
 def parse_query(text: str) -> tuple[str, dict]:
     """Takes the first provider:, project:, after: and before: out of a query; dates that aren't are ignored."""
     import datetime

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import catalog, search, usage
+from ..operators import catalog, postings, search, usage
 from ..plans import reports
 from ..sources import logs, ranges, sinks
 from ..sources import tables as T
@@ -322,21 +322,30 @@ _Q = "the an"
 _FOLDED = f"WITH {T.DOCS_SQL}, folded AS (SELECT *, translate(coalesce(title, ''), '{search.UPPER}', '{search.LOWER}') AS t, translate(coalesce(content_text, ''), '{search.UPPER}', '{search.LOWER}') AS c, translate(coalesce(project_name, ''), '{search.UPPER}', '{search.LOWER}') AS p FROM docs)"
 
 
-@query("srch_2_indexed_search", f"{_FOLDED} SELECT id, title FROM folded WHERE contains(t, '{_Q}') OR contains(c, '{_Q}') OR contains(p, '{_Q}')")
-def srch_2_indexed(spark, sf):
+_NEW_TITLE = "CASE WHEN id % 4 = 0 THEN reverse(t) ELSE t END"
+
+
+def _index(spark, sf, fields=search.FIELDS):
+    """An index over the documents whose titles, of a quarter, were another when it was built, and which was refreshed since; the documents as they are."""
     docs = T.search_docs(spark, sf)
-    return search.indexed_search(docs, search.trigram_postings(docs), _Q).select("id", "title")
+    index = postings.PostingIndex(spark, sinks.shared_folder(spark, "postings"), fields, most_layers=2)
+    index.build(docs)
+    now = docs.withColumn("title", F.expr("if(id % 4 = 0, reverse(title), title)"))
+    for k in range(3):
+        index.refresh(now, docs.where(f"id % 4 = 0 and id % 3 = {k}").select("id"))
+    return index, now
 
 
-_NEW_TITLE = "CASE WHEN id % 4 = 0 THEN reverse(t) ELSE t END"
+@query("srch_2_indexed_search", f"{_FOLDED} SELECT id, {_NEW_TITLE.replace('t)', 'title)').replace('ELSE t', 'ELSE title')} AS title FROM folded WHERE contains({_NEW_TITLE}, '{_Q}') OR contains(c, '{_Q}') OR contains(p, '{_Q}')")
+def srch_2_indexed(spark, sf):
+    index, docs = _index(spark, sf)
+    return index.search(docs, _Q).select("id", "title")
 
 
 @query("cat_8_changed_postings", f"{_FOLDED}, g AS (SELECT id, 'title' AS field, {_NEW_TITLE} AS x FROM folded UNION ALL SELECT id, 'project_name', p FROM folded) SELECT DISTINCT substr(x, CAST(i AS INTEGER), 3) AS trigram, id, field FROM (SELECT id, field, x, unnest(range(1, length(x) - 1)) AS i FROM g WHERE length(x) >= 3)")
 def cat_8_postings(spark, sf):
-    """Postings after the titles of some rows have changed; only those rows are taken apart again."""
-    fields, docs = ("title", "project_name"), T.search_docs(spark, sf)
-    changed = docs.where("id % 4 = 0").select("id")
-    return search.refreshed_postings(search.trigram_postings(docs, fields), docs.withColumn("title", F.expr("if(id % 4 = 0, reverse(title), title)")), changed, fields)
+    """The postings after the titles of some rows have changed, through layers and a merge of them."""
+    return _index(spark, sf, ("title", "project_name"))[0].postings()
 
 
 def streamed(spark, frame, job, mode="append", name="stream"):
