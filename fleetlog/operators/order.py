@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import before
 from .usage import COUNTERS, total
 
 
@@ -133,18 +134,22 @@ def session_window(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return marked.where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + limit)).drop("_at", "_from")
 
 
-def token_timeline(rows: DataFrame) -> DataFrame:
-    """Rows with usage: position, total and running total."""
+def token_timeline(rows: DataFrame, segment_rows: int | None = None) -> DataFrame:
+    """Rows with usage: position, total and running total. Sessions of more than `segment_rows` rows are cut."""
     used = rows.where("input_tokens is not null").withColumn("total", total())
-    upto = by_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return used.select("session_id", "msg_index", (F.row_number().over(by_session()) - 1).alias("position"), *COUNTERS, "total", F.sum("total").over(upto).alias("cumulative"))
-
-
-def token_buckets(timeline: DataFrame, most: int = 44) -> DataFrame:
-    """The timeline in at most `most` buckets of equal length: sums, and the last running total."""
-    n = F.count("*").over(Window.partitionBy("session_id"))
-    size = F.greatest(F.lit(1), F.ceil(n / most))
-    sized = timeline.withColumn("bucket", F.floor(F.col("position") / size).cast("long"))
+    used = before(used, "msg_index", sums={"position": F.lit(1), "_done": F.col("total")}, segment_rows=segment_rows)
+    return used.select("session_id", "msg_index", F.col("position").cast("int").alias("position"), *COUNTERS, "total", (F.col("_done") + F.col("total")).alias("cumulative"))
+
+
+def token_buckets(timeline: DataFrame, most: int = 44, windows: bool = True) -> DataFrame:
+    """The timeline in at most `most` buckets of equal length: sums, and the last running total. Without `windows` the lengths are joined, so that no session is one window partition."""
+    if windows:
+        sized = timeline.withColumn("_n", F.count("*").over(Window.partitionBy("session_id")))
+    else:
+        lengths = timeline.groupBy(F.col("session_id").alias("_of")).agg(F.count("*").alias("_n"))
+        sized = timeline.join(lengths, F.col("session_id").eqNullSafe(F.col("_of")))
+    size = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
+    sized = sized.withColumn("bucket", F.floor(F.col("position") / size).cast("long"))
     return sized.groupBy("session_id", "bucket").agg(F.count("*").alias("points"), F.sum("total").alias("total"), F.max_by("cumulative", "position").alias("cumulative"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..functions.times import to_bucket
+from .scans import before
 
 COUNTERS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens"]
 SYNTHETIC = "<synthetic>"
@@ -70,14 +71,12 @@ def token_stats(events: DataFrame, prices: DataFrame) -> DataFrame:
     return sum_stats(priced(valid_usage(dedup_max(events)), prices, events))
 
 
-def counter_delta(rows: DataFrame, counters: list[str]) -> DataFrame:
-    """(session_id, seq, ts, model) and the counters of each row: as given in `last_<c>`, else the cumulative `total_<c>` less the one seen before, 0 at least."""
-    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows
+def counter_delta(rows: DataFrame, counters: list[str], segment_rows: int | None = None) -> DataFrame:
+    """(session_id, seq, ts, model) and the counters of each row: as given in `last_<c>`, else the cumulative `total_<c>` less the one seen before, 0 at least. Sessions of more than `segment_rows` rows are cut."""
+    out = before(rows, "seq", lasts={f"_seen_{c}": F.col(f"total_{c}") for c in counters}, segment_rows=segment_rows)
     for c in counters:
-        seen = F.coalesce(F.last(f"total_{c}", ignorenulls=True).over(before), F.lit(0))
-        out = out.withColumn(c, F.coalesce(F.col(f"last_{c}"), F.greatest(F.lit(0), F.col(f"total_{c}") - seen)))
-    return out
+        out = out.withColumn(c, F.coalesce(F.col(f"last_{c}"), F.greatest(F.lit(0), F.col(f"total_{c}") - F.coalesce(f"_seen_{c}", F.lit(0)))))
+    return out.drop(*[f"_seen_{c}" for c in counters])
 
 
 def drop_exact_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,13 +95,17 @@ def skip_replay_burst(rows: DataFrame, forked: str = "forked") -> DataFrame:
     return rows.withColumn("primes_only", F.col(forked) & ~F.coalesce(left, F.lit(False)))
 
 
-def fill_model(rows: DataFrame) -> DataFrame:
-    """model: the row's own by info, payload, then the last seen in the session, then the usage's; what stays open takes the session's only model, if it has just one."""
-    upto = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def fill_model(rows: DataFrame, segment_rows: int | None = None) -> DataFrame:
+    """model: the row's own by info, payload, then the last seen in the session, then the usage's; what stays open takes the session's only model, if it has just one. With `segment_rows` sessions of more rows are cut, and no session is one window partition."""
     own = F.coalesce("info_model", "payload_model", "context_model")
-    found = rows.withColumn("model", F.coalesce("info_model", "payload_model", F.last(own, ignorenulls=True).over(upto), "usage_model"))
-    only = F.collect_set("model").over(Window.partitionBy("session_id"))
-    return found.withColumn("_all", only).withColumn("model", F.coalesce("model", F.when(F.size("_all") == 1, F.col("_all")[0]))).drop("_all")
+    found = before(rows, "seq", lasts={"_last": own}, segment_rows=segment_rows)
+    found = found.withColumn("model", F.coalesce("info_model", "payload_model", own, "_last", "usage_model")).drop("_last")
+    if segment_rows is None:
+        whole = Window.partitionBy("session_id")
+        only = F.when(F.min("model").over(whole) == F.max("model").over(whole), F.min("model").over(whole))
+        return found.withColumn("model", F.coalesce("model", only))
+    single = found.groupBy(F.col("session_id").alias("_of")).agg(F.min("model").alias("_only"), F.max("model").alias("_other")).where("_only = _other").drop("_other")
+    return found.join(single, F.col("session_id").eqNullSafe(F.col("_of")), "left").withColumn("model", F.coalesce("model", "_only")).drop("_of", "_only")
 
 
 def ticks_to_usd(turns: DataFrame) -> DataFrame:
@@ -116,13 +119,12 @@ def ticks_to_usd(turns: DataFrame) -> DataFrame:
     return each.select("session_id", "turn", "model", F.when(trusted, ticks / 1e10).alias("cost_usd"))
 
 
-def estimate_from_chars(messages: DataFrame) -> DataFrame:
+def estimate_from_chars(messages: DataFrame, segment_rows: int | None = None) -> DataFrame:
     """Assistant rows of logs without usage: a token is four characters, of the running context for input, of the row for output; 1 at least."""
-    before = Window.partitionBy("session_id").orderBy("msg_index").rowsBetween(Window.unboundedPreceding, -1)
-    chars = F.char_length(F.coalesce("content", F.lit("")))
-    context = F.coalesce(F.sum(chars).over(before), F.lit(0))
-    return messages.select(
-        "session_id", "msg_index", "role", F.greatest(F.lit(1), F.floor(context / 4)).cast("long").alias("input_tokens"), F.greatest(F.lit(1), F.floor(chars / 4)).cast("long").alias("output_tokens"),
+    sized = messages.select("session_id", "msg_index", "role", F.char_length(F.coalesce("content", F.lit(""))).alias("chars"))
+    sized = before(sized, "msg_index", sums={"context": F.col("chars")}, segment_rows=segment_rows)
+    return sized.select(
+        "session_id", "msg_index", "role", F.greatest(F.lit(1), F.floor(F.col("context") / 4)).cast("long").alias("input_tokens"), F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).cast("long").alias("output_tokens"),
     ).where("role = 'assistant'").drop("role")
 
 

@@ -58,18 +58,19 @@ TIMELINE = f"""t AS (SELECT session_id, msg_index, row_number() OVER w - 1 AS po
 
 @query("win_16_token_timeline", f"{EVENTS}, {TIMELINE} SELECT * REPLACE (CAST(position AS INTEGER) AS position, CAST(cache_write_tokens AS BIGINT) AS cache_write_tokens) FROM t")
 def win_16(spark, sf):
-    return order.token_timeline(T.event_messages(spark, sf))
+    """Sessions are cut at 30 rows, so that most are."""
+    return order.token_timeline(T.event_messages(spark, sf), segment_rows=30)
 
 
 @query("win_17_token_buckets", f"""{EVENTS}, {TIMELINE}, b AS (SELECT *, position // greatest(1, CAST(ceil(count(*) OVER (PARTITION BY session_id) / 10.0) AS BIGINT)) AS bucket FROM t)
   SELECT session_id, bucket, count(*) AS points, CAST(sum(total) AS BIGINT) AS total, arg_max(cumulative, position) AS cumulative FROM b GROUP BY 1, 2""")
 def win_17(spark, sf):
-    return order.token_buckets(win_16(spark, sf), 10)
+    return order.token_buckets(order.token_timeline(T.event_messages(spark, sf)), 10)
 
 
 @query("win_18_peak_point", f"{EVENTS}, {TIMELINE} SELECT session_id, msg_index, total FROM t QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY total DESC, position) = 1")
 def win_18(spark, sf):
-    return order.peak_point(win_16(spark, sf))
+    return order.peak_point(order.token_timeline(T.event_messages(spark, sf)))
 
 
 @query("win_19_match_locations", f"{CHAT}, h AS (SELECT session_id, msg_index, (length(lower(content)) - length(replace(lower(content), 'the', ''))) // 3 AS n FROM messages WHERE role IN ('user', 'assistant')) SELECT session_id, msg_index, CAST(unnest(range(n)) AS INTEGER) AS nth FROM h WHERE n > 0")

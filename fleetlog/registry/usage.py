@@ -348,7 +348,7 @@ def use_6(spark, sf):
         "session_id", F.col("msg_index").alias("seq"), F.expr("if(msg_index % 7 = 3, input_tokens, null)").alias("last_input_tokens"),
         F.when(F.col("msg_index") % 7 != 3, F.sum(F.coalesce("input_tokens", F.lit(0))).over(day)).alias("total_input_tokens"),
     )
-    return usage.counter_delta(rows, ["input_tokens"]).select("session_id", "seq", "input_tokens")
+    return usage.counter_delta(rows, ["input_tokens"], segment_rows=40).select("session_id", "seq", "input_tokens")
 
 
 @query("use_8_skip_replay_burst", f"""WITH {T.event_messages_sql(100000)}, r AS (SELECT session_id, msg_index, session_id % 2 = 0 AS forked, ts_ms // 1000 AS sec FROM messages), f AS (SELECT *, first_value(sec) OVER w AS first_sec FROM r WINDOW w AS (PARTITION BY session_id ORDER BY msg_index)),
@@ -361,7 +361,7 @@ def use_8(spark, sf):
 @query("use_12_estimate_from_chars", f"""WITH {T.CHAT_SQL}, c AS (SELECT session_id, msg_index, role, length(coalesce(content, '')) AS n, coalesce(sum(length(coalesce(content, ''))) OVER (PARTITION BY session_id ORDER BY msg_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM messages)
   SELECT session_id, msg_index, CAST(greatest(1, before // 4) AS BIGINT) AS input_tokens, CAST(greatest(1, n // 4) AS BIGINT) AS output_tokens FROM c WHERE role = 'assistant'""")
 def use_12(spark, sf):
-    return usage.estimate_from_chars(T.chat_messages(spark, sf))
+    return usage.estimate_from_chars(T.chat_messages(spark, sf), segment_rows=3)
 
 
 @query("use_11_ticks_to_usd", """WITH t AS (SELECT l_orderkey AS session_id, l_linenumber AS turn, count(*) AS models, CAST(sum(l_extendedprice) * 100 AS BIGINT) AS turn_ticks, min(l_suppkey) % 5 = 0 AS incomplete FROM lineitem GROUP BY 1, 2),

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fmt_tokens
 from ..operators.order import renderable
+from .kept import shared_folder
 
 BAD_CHARACTERS = '/\\:*?"<>|'
 
@@ -57,16 +55,6 @@ def write_tables(stats: DataFrame, path: str, part: Column | None = None) -> Non
     dated.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or, on one machine only, below the temporary folder where the session names none."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        there = "file://" + tempfile.gettempdir()
-    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def kept_facts(stats: DataFrame) -> DataFrame:
     """The fact table, written once in order of its buckets and read back, so that reports read their days' row groups only."""
     folder = shared_folder(stats.sparkSession, "facts")
