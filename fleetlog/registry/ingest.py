@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..operators import catalog, postings, search, usage
 from ..plans import reports
-from ..sources import logs, ranges, sinks
+from ..sources import kept, logs, ranges, sinks
 from ..sources import tables as T
+from ..sources.facts import FactTable
 from ..streaming import deltas, jobs, late, merge
 from . import usage as U
 
@@ -43,7 +44,7 @@ EVENT_LINES = f"""{MESSAGES}, made AS (SELECT session_id % 16 AS log, row_number
 
 
 def log_folder(spark, sf):
-    folder = sinks.shared_folder(spark, "logs")
+    folder = kept.shared_folder(spark, "logs")
     logs.write_logs(event_lines(spark, sf), folder)
     return folder
 
@@ -251,13 +252,26 @@ def snk_3(spark, sf):
 @query("snk_5_write_tables", f"{U.FACTS} SELECT session_id, bucket, model, turn_count, strftime(to_timestamp(bucket) AT TIME ZONE 'UTC', '%Y-%m') AS bucket_month FROM stats")
 def snk_5(spark, sf):
     """All facts by month, then one month's again, which takes the place of that month only."""
-    stats, folder = U.facts(spark, sf).select("session_id", "bucket", "model", "turn_count"), sinks.shared_folder(spark, "tables")
+    stats, folder = U.facts(spark, sf).select("session_id", "bucket", "model", "turn_count"), kept.shared_folder(spark, "tables")
     month = F.date_format(F.timestamp_seconds("bucket"), "yyyy-MM")
     sinks.write_tables(stats, folder, month.alias("bucket_month"))
     sinks.write_tables(stats.where(F.col("bucket") < 694224000), folder, month.alias("bucket_month"))
     return spark.read.schema("session_id long, bucket long, model string, turn_count long, bucket_month string").parquet(folder)
 
 
+@query("snk_5_refresh_facts", f"{U.FACTS} SELECT session_id, bucket, model, turn_count, input_tokens FROM stats WHERE session_id % 11 <> 4")
+def snk_5_refresh(spark, sf):
+    """Facts of which some sessions were missing, some were others and some are gone after a refresh."""
+    events = T.usage_events(spark, sf)
+    before = events.where("session_id % 7 <> 2").withColumn("input_tokens", F.expr("if(session_id % 5 = 1, input_tokens + 1, input_tokens)")).withColumn("ts", F.expr("if(session_id % 5 = 1, replace(ts, '1995', '1996'), ts)"))
+    changed = "session_id % 7 = 2 or session_id % 5 = 1 or session_id % 11 = 4"
+    first = usage.token_stats(before, T.prices(spark))
+    table = FactTable(spark, kept.shared_folder(spark, "facts"), first.schema)
+    table.refresh(0, first)
+    table.refresh(1, usage.token_stats(events.where(f"({changed}) and session_id % 11 <> 4"), T.prices(spark)), events.where(changed).select("session_id"))
+    return table.read().select("session_id", "bucket", "model", "turn_count", "input_tokens")
+
+
 @query("exp_4_day_range", f"{U.BASE} SELECT provider, count(*) AS facts FROM base WHERE bucket >= {U.midnight('1996-04-07')} AND bucket < {U.midnight('1997-04-07')} GROUP BY 1")
 def exp_4(spark, sf):
     """The bounds are days on which the zone's clocks change."""
@@ -328,7 +342,7 @@ _NEW_TITLE = "CASE WHEN id % 4 = 0 THEN reverse(t) ELSE t END"
 def _index(spark, sf, fields=search.FIELDS):
     """An index over the documents whose titles, of a quarter, were another when it was built, and which was refreshed since; the documents as they are."""
     docs = T.search_docs(spark, sf)
-    index = postings.PostingIndex(spark, sinks.shared_folder(spark, "postings"), fields, most_layers=2)
+    index = postings.PostingIndex(spark, kept.shared_folder(spark, "postings"), fields, most_layers=2)
     index.build(docs)
     now = docs.withColumn("title", F.expr("if(id % 4 = 0, reverse(title), title)"))
     for k in range(3):
@@ -350,7 +364,7 @@ def cat_8_postings(spark, sf):
 
 def streamed(spark, frame, job, mode="append", name="stream"):
     """What a streaming job makes of the rows of a frame, which come as files of a folder."""
-    folder = sinks.shared_folder(spark, name)
+    folder = kept.shared_folder(spark, name)
     frame.write.parquet(f"{folder}/in")
     made = job(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"))
 
@@ -398,7 +412,7 @@ def to_files(frame, folder):
   WHERE NOT late AND floor(sec / 900) * 900 + 900 <= (SELECT max(sec) - {DELAY_DAYS * 86400} FROM arrived) GROUP BY 1, 2, 3""")
 def st_1(spark, sf):
     """Windows that the watermark has closed, of the rows that weren't late."""
-    folder, rows = sinks.shared_folder(spark, "usage"), stream_events(spark, sf)
+    folder, rows = kept.shared_folder(spark, "usage"), stream_events(spark, sf)
     arrivals(spark, rows, folder, lambda s: to_files(jobs.stream_usage(s, f"{DELAY_DAYS} days"), folder))
     schema = jobs.stream_usage(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), "1 day").schema
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
@@ -419,7 +433,7 @@ def st_3(spark, sf):
     rows = stream_events(spark, sf).withColumn("seq", F.expr("cast(row_number() over (partition by session_id order by ts, seq) as long)"))
     rows = rows.selectExpr("session_id", "seq", "ts", total, "if(seq % 5 = 1, input_tokens, null) as last_input_tokens")
     end = rows.agg(F.max("ts").alias("ts")).selectExpr("-1L as session_id", "1L as seq", "ts + interval 1000 days as ts", "0L as total_input_tokens", "null as last_input_tokens")
-    folder = sinks.shared_folder(spark, "deltas")
+    folder = kept.shared_folder(spark, "deltas")
     store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     try:
         arrivals(spark, rows.unionByName(end), folder, lambda s: to_files(deltas.stream_delta(s, late="60 days", idle="3000 days"), folder))
@@ -464,7 +478,7 @@ def _pass(k: int) -> list[str]:
 @query("st_5_stream_merge", f"WITH {T.SESSIONS_SQL}, " + ", ".join(f"w{k} AS (SELECT {', '.join(_pass(k))} FROM sessions WHERE {PASSES[k][0]})" for k in range(3)) + f", m1 AS ({_merged('w0', 'w1')}), m2 AS ({_merged('m1', 'w2')}) SELECT id, title, title_custom, content_text, project_path, project_name, is_sidechain, parent_id, changed FROM m2")
 def st_5(spark, sf):
     """Three batches of sessions merged by id. The second has each session twice, and is merged once more after it was."""
-    folder, sessions = sinks.shared_folder(spark, "merge"), T.sessions(spark, sf)
+    folder, sessions = kept.shared_folder(spark, "merge"), T.sessions(spark, sf)
     for k in range(3):
         rows = sessions.where(PASSES[k][0]).selectExpr(*_pass(k), "1L as version")
         if k == 1:
@@ -517,7 +531,7 @@ def grown_logs(spark, sf):
 @query("st_6_changed_lines", f"{GROWN} SELECT log, line_no, pass FROM read")
 def st_6(spark, sf):
     """Three passes over the logs; the last finds nothing new."""
-    folder, fmt = sinks.shared_folder(spark, "grown"), logs.LogFormat("agent")
+    folder, fmt = kept.shared_folder(spark, "grown"), logs.LogFormat("agent")
     known, out = None, None
     for k, lines in enumerate([*grown_logs(spark, sf), None], start=1):
         if lines is not None:
@@ -531,7 +545,7 @@ def st_6(spark, sf):
 @query("st_6_growing_source", f"{GROWN} SELECT log, pass, count(*) AS lines FROM read GROUP BY 1, 2")
 def st_6_source(spark, sf):
     """The same logs as a streaming source, a batch for each state of them."""
-    folder = sinks.shared_folder(spark, "source")
+    folder = kept.shared_folder(spark, "source")
     spark.dataSource.register(ranges.GrowingLogs)
     for k, lines in enumerate(grown_logs(spark, sf), start=1):
         put_logs(lines, f"{folder}/in")
@@ -544,7 +558,7 @@ def st_6_source(spark, sf):
 @query("st_7_late_rows", f"{STREAM}, {ARRIVED} SELECT session_id, model, late, count(*) AS n FROM told GROUP BY 1, 2, 3")
 def st_7(spark, sf):
     """Rows in time and late ones, by session and model."""
-    folder, rows = sinks.shared_folder(spark, "late"), stream_events(spark, sf)
+    folder, rows = kept.shared_folder(spark, "late"), stream_events(spark, sf)
     arrivals(spark, rows, folder, lambda s: late.split_late(s, f"{folder}/split", f"{folder}/state", late.window_end(), f"{DELAY_DAYS} days"))
     both = [late.split_rows(spark, f"{folder}/split", "session_id long, model string", x).withColumn("late", F.lit(x)) for x in (True, False)]
     return both[0].unionByName(both[1]).groupBy("session_id", "model", "late").agg(F.count("*").alias("n"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import pricing, times
 from ..operators import usage
 from ..plans import reports
-from ..sources import sinks
+from ..sources import kept
 from ..sources import tables as T
+from ..sources.facts import FactTable
 
 TZ = "America/New_York"
 START, END = times.day_range_epochs("1997-01-01", "1998-12-31", TZ)
@@ -44,19 +45,18 @@ COST = "round(sum(cost_usd) + 1e-9, 4) AS cost_usd"
 DAY = f"CAST(CAST(to_timestamp(bucket) AT TIME ZONE '{TZ}' AS DATE) AS VARCHAR)"
 
 
-FACT_TABLES = {}
-
-
 def fresh_facts(spark, sf):
     return usage.token_stats(T.usage_events(spark, sf), T.prices(spark))
 
 
 def facts(spark, sf):
-    """The fact table of these inputs, written by the session's first report."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in FACT_TABLES:
-        FACT_TABLES[key] = sinks.kept_facts(fresh_facts(spark, sf))
-    return FACT_TABLES[key]
+    """The fact table of these inputs, kept in the shared folder by application and a stamp of the inputs' files; the first report of an input builds it."""
+    stats = fresh_facts(spark, sf)
+    name = f"facts-{spark.sparkContext.applicationId}-{kept.stamp(spark, f'{sf}/lineitem.parquet')}"
+    table = FactTable(spark, f"{kept.shared_root(spark)}/{name}", stats.schema)
+    if table.number() < 0:
+        table.refresh(0, stats)
+    return table.read()
 
 
 def base(spark, sf):

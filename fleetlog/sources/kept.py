@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,15 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or, on one machine only, below the temporary folder where the session names none."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or, on one machine only, the temporary folder where the session names none."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         master = spark.sparkContext.master
         if not master.startswith("local[") and master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = "file://" + tempfile.gettempdir()
-    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return there.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below shared_root()."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _file_system(spark: SparkSession, folder: str):
@@ -38,6 +44,15 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
 
 
+def stamp(spark: SparkSession, *paths: str) -> str:
+    """A hash of the names, sizes and times of the files in some folders, or of some files."""
+    found = []
+    for folder in paths:
+        files, path = _file_system(spark, folder)
+        found += sorted((folder, x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in files.listStatus(path))
+    return hashlib.sha256(repr(found).encode()).hexdigest()[:16]
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     files, path = _file_system(spark, folder)
     files.delete(path, True)
@@ -73,14 +88,14 @@ class KeptTable:
         paths = [f"{self.folder}/version={v}/part={p}" for p, v in sorted(versions.items()) if parts is None or p in parts]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def change(self, number: int, fresh: DataFrame, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], order: tuple[str, ...] = ()) -> list[str]:
-        """Puts merge(old rows, fresh rows) in place of the parts, named by `part`, that `fresh` has rows of; a part may come back with no row. The parts that were written."""
+    def change(self, number: int, fresh: DataFrame, part: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], order: tuple[str, ...] = (), also: list[str] = ()) -> list[str]:
+        """Puts merge(old rows, fresh rows) in place of the parts, named by `part`, that `fresh` has rows of, and of those in `also`; a part may come back with no row. The parts that were replaced."""
         if number <= self.number():
             return []
         named = part.cast("string")
         fresh = fresh.persist()
         try:
-            touched = sorted(r.part for r in fresh.select(named.alias("part")).distinct().collect())
+            touched = sorted({*also, *(r.part for r in fresh.select(named.alias("part")).distinct().collect())})
             merged = merge(self.read(touched), fresh).select([f.name for f in self.schema]).withColumn("part", named)
             version = f"{self.folder}/version={number}"
             # Large parts are split along their order.

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fmt_tokens
 from ..operators.order import renderable
-from .kept import shared_folder
 
 BAD_CHARACTERS = '/\\:*?"<>|'
 
@@ -53,10 +52,3 @@ def write_tables(stats: DataFrame, path: str, part: Column | None = None) -> Non
     dated = stats.select("*", part)
     name = dated.columns[-1]
     dated.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
-
-
-def kept_facts(stats: DataFrame) -> DataFrame:
-    """The fact table, written once in order of its buckets and read back, so that reports read their days' row groups only."""
-    folder = shared_folder(stats.sparkSession, "facts")
-    stats.sortWithinPartitions("bucket").write.parquet(folder)
-    return stats.sparkSession.read.schema(stats.schema).parquet(folder)
