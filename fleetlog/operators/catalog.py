@@ -196,14 +196,32 @@ def parent_by_header_path(headers: DataFrame) -> DataFrame:
 
 
 def match_subagent(calls: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(call_id, child_id) for calls (call_id, parent_id, agent_id, nickname, description) and child sessions (id, parent_id, title): by agent id, then by nickname, then by description or a prefix either way; the best rule, then the smallest id."""
-    agent = F.regexp_replace(F.regexp_replace("agent_id", "@session-.*$", ""), "^agent-", "")
-    pairs = calls.withColumn("_agent", agent).join(candidates.withColumnRenamed("id", "child_id"), "parent_id")
-    cut_title = F.regexp_replace("title", "(\\.\\.\\.|…)$", "")
-    rule = (
-        F.when(F.col("child_id").cast("string").isin([]) | (F.col("child_id").cast("string") == F.col("_agent")) | (F.col("child_id").cast("string") == F.concat(F.lit("agent-"), "_agent")) | (F.col("title") == F.col("_agent")), 1)
-        .when(F.col("nickname") == F.col("title"), 2)
-        .when((F.col("description") != "") & (F.startswith("title", "description") | ((cut_title != F.col("title")) & F.startswith("description", cut_title))), 3)
-    )
-    best = Window.partitionBy("call_id").orderBy("_rule", "child_id")
-    return pairs.withColumn("_rule", rule).where("_rule is not null").withColumn("_n", F.row_number().over(best)).where("_n = 1").select("call_id", "child_id", F.col("_rule").alias("rule"))
+    """(call_id, child_id, rule) for calls (call_id, parent_id, agent_id, nickname, description) and child sessions (id, parent_id, title): by agent id, then by nickname, then by description or a prefix either way; the best rule, then the smallest id.
+
+    Each rule is an equality join with the smallest child of each key of a parent, so calls and children of one parent are never paired
+    with each other. Prefixes are joined by the lengths that the parent's other side has.
+    """
+    calls = calls.select("call_id", "parent_id", F.regexp_replace(F.regexp_replace("agent_id", "@session-.*$", ""), "^agent-", "").alias("agent"), "nickname", "description")
+    children = candidates.select(F.col("id").alias("child_id"), "parent_id", "title")
+
+    def matched(call_key: Column, keyed: DataFrame, rule: int, given: DataFrame = calls) -> DataFrame:
+        """Calls whose key a child has; `keyed` has children with `key`."""
+        first = keyed.where("key is not null").groupBy("parent_id", "key").agg(F.min("child_id").alias("child_id"))
+        return given.withColumn("key", call_key).join(first, ["parent_id", "key"]).select("call_id", F.struct(F.lit(rule).alias("rule"), "child_id").alias("best"))
+
+    own = F.col("child_id").cast("string")
+    aliases = children.withColumn("key", F.explode(F.array(own, F.when(own.startswith("agent-"), F.substring(own, 7, 1 << 30)), F.col("title"))))
+    found = matched(F.col("agent"), aliases, 1).unionByName(matched(F.col("nickname"), children.withColumn("key", F.col("title")), 2))
+    # Titles that start with a description.
+    described = calls.where("description <> ''")
+    lengths = described.groupBy("parent_id").agg(F.collect_set(F.char_length("description")).alias("lengths"))
+    fit = F.explode(F.filter("lengths", lambda n: n <= F.char_length("title")))
+    starts = children.join(lengths, "parent_id").withColumn("n", fit).withColumn("key", F.substring(F.col("title"), F.lit(1), F.col("n")))
+    found = found.unionByName(matched(F.col("description"), starts, 3, described))
+    # Descriptions that start with a title that was cut off.
+    cut = children.withColumn("key", F.regexp_replace("title", "(\\.\\.\\.|…)$", "")).where("key <> title")
+    lengths = cut.groupBy("parent_id").agg(F.collect_set(F.char_length("key")).alias("lengths"))
+    fit = F.explode(F.filter("lengths", lambda n: n <= F.char_length("description")))
+    found = found.unionByName(matched(F.substring(F.col("description"), F.lit(1), F.col("n")), cut, 3, described.join(lengths, "parent_id").withColumn("n", fit)))
+    best = found.groupBy("call_id").agg(F.min("best").alias("best"))
+    return best.select("call_id", "best.child_id", "best.rule")

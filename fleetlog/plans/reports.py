@@ -33,12 +33,18 @@ def bounded(df: DataFrame, providers: list[str] | None = None, start: int | None
     return df
 
 
+def with_sessions(stats: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Facts with their sessions. model is the fact's, else the session's, else empty."""
+    joined = stats.join(sessions.withColumnRenamed("model", "session_model"), stats["session_id"] == sessions["id"])
+    return joined.withColumn("model", F.coalesce(F.nullif("model", F.lit("")), "session_model", F.lit("")))
+
+
 def usage_base(stats: DataFrame, sessions: DataFrame, folding: str = FOLDING) -> DataFrame:
     """Facts with their sessions, without the child sessions of the folding provider whose parent has facts itself."""
-    joined = stats.join(sessions.withColumnRenamed("model", "session_model"), stats["session_id"] == sessions["id"])
+    joined = with_sessions(stats, sessions)
     parents = stats.select(F.col("session_id").alias("_parent")).distinct()
     folded = (F.col("provider") == folding) & F.col("is_sidechain") & (F.col("parent_id") == F.col("_parent"))
-    return joined.join(parents, folded, "left_anti").withColumn("model", F.coalesce(F.nullif("model", F.lit("")), "session_model", F.lit("")))
+    return joined.join(parents, folded, "left_anti")
 
 
 def session_count(base: DataFrame) -> DataFrame:

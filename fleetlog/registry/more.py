@@ -74,10 +74,10 @@ def agg_22(spark, sf):
     return days.select("date", "turns")
 
 
-@query("exp_7_effective_model", f"{U.FACTS}, {T.SESSIONS_SQL} SELECT t.session_id, bucket, coalesce(nullif(CASE WHEN t.session_id % 2 = 0 THEN '' ELSE t.model END, ''), s.model, '') AS model FROM stats t JOIN sessions s ON t.session_id = s.id WHERE s.provider <> 'high'")
+@query("exp_7_effective_model", f"{U.FACTS}, {T.SESSIONS_SQL} SELECT t.session_id, bucket, coalesce(nullif(CASE WHEN t.session_id % 2 = 0 THEN '' ELSE t.model END, ''), s.model, '') AS model FROM stats t JOIN sessions s ON t.session_id = s.id")
 def exp_7(spark, sf):
     facts = U.facts(spark, sf).withColumn("model", F.when(F.col("session_id") % 2 == 0, "").otherwise(F.col("model")))
-    return reports.usage_base(facts, T.sessions(spark, sf)).where("provider <> 'high'").select("session_id", "bucket", "model")
+    return reports.with_sessions(facts, T.sessions(spark, sf)).select("session_id", "bucket", "model")
 
 
 @query("exp_9_renderable", f"WITH {T.event_messages_sql()}, m AS (SELECT session_id, msg_index, role, CASE WHEN msg_index % 3 = 0 THEN ' ' ELSE content END AS content, CASE WHEN role = 'tool' AND msg_index % 5 = 0 THEN concat('toolu_', msg_index) ELSE tool_name END AS tool_name FROM messages) SELECT session_id, msg_index, CASE WHEN role = 'tool' THEN coalesce(tool_name, '') NOT LIKE 'toolu\\_%' ESCAPE '\\' AND (trim(content) <> '' OR coalesce(tool_name, '') <> '') ELSE trim(content) <> '' END AS shown FROM m")
