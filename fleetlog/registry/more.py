@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import agents, pricing, times
 from ..operators import catalog, order, search, usage
-from ..plans import reports
+from ..plans import reports, sets
 from ..sources import tables as T
 from . import usage as U
 
@@ -39,6 +39,18 @@ def jn_2(spark, sf):
     return U.base(spark, sf).groupBy("provider").agg(F.count("*").alias("n"), F.sum(usage.total()).alias("tokens"))
 
 
+RANGES = (("month", "1997-03-01", "1997-03-31"), ("quarter", "1997-01-01", "1997-03-31"), ("years", "1995-06-17", "1998-02-28"), ("none", "2020-01-01", "2020-01-31"))
+
+
+@query("agg_1_sessions_over_ranges", f"""{U.BASE}, d AS (SELECT *, {U.DAY} AS date FROM base), r(name, first, last) AS (VALUES {', '.join(map(str, RANGES))})
+  SELECT name, provider, count(DISTINCT session_id) AS sessions, {U.SUM4} FROM d JOIN r ON date BETWEEN first AND last GROUP BY 1, 2""")
+def agg_1_ranges(spark, sf):
+    """Distinct sessions and sums of ranges that overlap, from sets and sums of days."""
+    base = U.base(spark, sf)
+    days = sets.day_sets(base, sets.session_numbers(base), U.TZ)
+    return sets.over_ranges(days, sets.day_sums(base, U.TZ), spark.createDataFrame(RANGES, "name string, first string, last string"), "provider")
+
+
 @query("jn_4_project_tools", f"{U.BASE}, {U.IDS_SQL}, {U.TOOLS_SQL} SELECT session_id, tool_key, count FROM tool_stats WHERE session_id IN (SELECT id FROM ids)")
 def jn_4(spark, sf):
     ids = U.QUERIES["agg_12_project_session_ids"](spark, sf)
