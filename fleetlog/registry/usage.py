@@ -53,7 +53,7 @@ def facts(spark, sf):
     """The fact table of these inputs, kept in the shared folder by application and a stamp of the inputs' files; the first report of an input builds it."""
     stats = fresh_facts(spark, sf)
     name = f"facts-{spark.sparkContext.applicationId}-{kept.stamp(spark, f'{sf}/lineitem.parquet')}"
-    table = FactTable(spark, f"{kept.shared_root(spark)}/{name}", stats.schema)
+    table = FactTable(spark, f"{kept.shared_root(spark)}/{name}", stats.schema, days=365)
     if table.number() < 0:
         table.refresh(0, stats)
     return table.read()

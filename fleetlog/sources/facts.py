@@ -32,10 +32,10 @@ class FactTable:
         stats = stats.persist()
         try:
             ids = (stats if changed is None else changed).select("session_id").distinct()
-            lies_in = self.places.read().join(ids, "session_id", "left_semi")
             # A row for each part, of which there are as many as spans of days.
-            was = [r.place for r in lies_in.select(F.explode("places").alias("place")).distinct().collect()]
-            touched = self.facts.change(number, stats, place, lambda old, new: old.join(ids, "session_id", "left_anti").unionByName(new), ("bucket", "session_id"), was)
+            lies_in = self.places.read().join(ids, "session_id", "left_semi").select(F.explode("places").alias("place")).distinct()
+            was = [r.place for r in lies_in.collect()] if self.places.number() >= 0 else []
+            touched = self.facts.change(number, stats, place, lambda old, new: old.join(ids, "session_id", "left_anti").unionByName(new) if self.facts.number() >= 0 else new, ("bucket", "session_id"), was)
             now = ids.join(stats.groupBy("session_id").agg(F.collect_set(place.cast("string")).alias("places")), "session_id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<string>")))
             self.places.change(number, now, hash_part("session_id", self.parts), lambda old, new: old.join(new, "session_id", "left_anti").unionByName(new.where(F.size("places") > 0)))
         finally:

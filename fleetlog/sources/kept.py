@@ -93,7 +93,9 @@ class KeptTable:
         if number <= self.number():
             return []
         named = part.cast("string")
-        fresh = fresh.persist()
+        level = fresh.storageLevel
+        own = not (level.useMemory or level.useDisk)
+        fresh = fresh.persist() if own else fresh
         try:
             touched = sorted({*also, *(r.part for r in fresh.select(named.alias("part")).distinct().collect())})
             merged = merge(self.read(touched), fresh).select([f.name for f in self.schema]).withColumn("part", named)
@@ -102,7 +104,8 @@ class KeptTable:
             dealt = merged.repartitionByRange("part", *order) if order else merged.repartition("part")
             dealt.sortWithinPartitions("part", *order).write.partitionBy("part").mode("overwrite").parquet(version)
         finally:
-            fresh.unpersist()
+            if own:
+                fresh.unpersist()
         written = {n.removeprefix("part=") for n in children(self.spark, version) if n.startswith("part=")}
         kept = {p: v for p, v in self.versions().items() if p not in touched} | {p: number for p in touched if p in written}
         manifest = self.spark.createDataFrame(sorted(kept.items()), "part string, version long")
