@@ -249,6 +249,16 @@ def snk_3(spark, sf):
     return sinks.export_batch(sinks.export_markdown(sessions, rows), sessions, chosen, "md").withColumn("doc", F.md5("doc"))
 
 
+@query("snk_3_export_files", f"WITH {MARKDOWN} SELECT id, concat(replace(replace(title, '/', '_'), ':', '_'), '_', CAST(id AS VARCHAR)[1:8], '.md') AS file_name, md5(doc) AS doc, CAST(strlen(doc) AS BIGINT) AS bytes FROM docs")
+def snk_3_files(spark, sf):
+    """Every session as a file, a message at a time, read back."""
+    sessions, rows = chats(spark, sf)
+    folder = kept.shared_folder(spark, "exports")
+    written = sinks.export_files(sinks.markdown_pieces(sessions, rows), sessions, folder, "md")
+    docs = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("_metadata.file_name").alias("name"), F.md5("value").alias("doc"))
+    return written.join(docs, F.col("file_name") == F.replace("name", F.lit("%20"), F.lit(" "))).select(F.col("id").cast("long").alias("id"), "file_name", "doc", "bytes")
+
+
 @query("snk_5_write_tables", f"{U.FACTS} SELECT session_id, bucket, model, turn_count, strftime(to_timestamp(bucket) AT TIME ZONE 'UTC', '%Y-%m') AS bucket_month FROM stats")
 def snk_5(spark, sf):
     """All facts by month, then one month's again, which takes the place of that month only."""
