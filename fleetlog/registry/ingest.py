@@ -400,10 +400,10 @@ ARRIVED = f"""arrived AS (SELECT *, {SLICE} AS slice FROM ev), newest AS (SELECT
   told AS (SELECT a.*, coalesce(floor(a.sec / 900) * 900 + 900 <= mark, false) AS late FROM arrived a JOIN marks USING (slice))"""
 
 
-def arrivals(spark, rows, folder, start):
-    """Feeds rows with ts, session_id and seq slice by slice to a query that start(folder of files) makes, until it has read each."""
+def arrivals(spark, rows, folder, start, unit=86400, behind=50, length=800):
+    """Feeds rows with ts, session_id and seq slice by slice, of `length` units of so many seconds, to a query that start(folder of files) makes, until it has read each. Rows come up to `behind` units after their time."""
     sliced = f"{folder}/sliced"
-    rows.withColumn("slice", F.expr("cast(floor((floor(unix_seconds(ts) / 86400) + (session_id * 7 + seq * 13) % 50) / 800) as bigint)")).write.partitionBy("slice").parquet(sliced)
+    rows.withColumn("slice", F.expr(f"cast(floor((floor(unix_seconds(ts) / {unit}) + (session_id * 7 + seq * 13) % {behind}) / {length}) as bigint)")).write.partitionBy("slice").parquet(sliced)
     for k in sorted(r.slice for r in spark.read.parquet(sliced).select("slice").distinct().collect()):
         spark.read.schema(rows.schema).parquet(f"{sliced}/slice={k}").write.mode("append").parquet(f"{folder}/in")
         start(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")).awaitTermination()
@@ -455,8 +455,12 @@ def st_3(spark, sf):
 @query("st_4_activity_bursts", f"""{MESSAGES}, g AS (SELECT session_id, ts_ms, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) < 18000000 THEN 0 ELSE 1 END AS fresh FROM messages),
   r AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT session_id, min(ts_ms) AS start_ms, max(ts_ms) + 18000000 AS end_ms, count(*) AS messages FROM r GROUP BY session_id, run""")
 def st_4(spark, sf):
-    rows = T.event_messages(spark, sf).selectExpr("session_id", "timestamp_millis(ts_ms) as ts")
-    bursts = streamed(spark, rows, lambda s: jobs.activity_bursts(s, "5 hours", LATE), "complete")
+    """Messages come up to a day late, two days are waited for, and one much newer message at the end lets the last bursts go."""
+    rows = T.event_messages(spark, sf).selectExpr("session_id", "timestamp_millis(ts_ms) as ts", "cast(msg_index as long) as seq")
+    end = rows.agg(F.max("ts").alias("ts")).selectExpr("-1L as session_id", "ts + interval 100 days as ts", "0L as seq")
+    folder = kept.shared_folder(spark, "bursts")
+    arrivals(spark, rows.unionByName(end), folder, lambda s: to_files(jobs.activity_bursts(s, "5 hours", "2 days"), folder), 3600, 24, 192)
+    bursts = spark.read.schema("session_id long, start timestamp, end timestamp, messages long").option("recursiveFileLookup", "true").parquet(f"{folder}/out").where("session_id >= 0")
     return bursts.select("session_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("end").alias("end_ms"), "messages")
 
 
