@@ -13,6 +13,35 @@ CAP = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: How thinking is marked, and how much of it and of a tool's input or result is searched.
+THINKING, THINKING_CHARS, TOOL_CHARS = "[thinking]", 1000, 300
+
+
+def indexable_text(messages: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """(session_id, text): what of a session is searched, a line break between parts, in message order.
+
+    User and assistant texts that aren't blank are whole; of a system row marked as thinking the first THINKING_CHARS; of a tool row its name, input
+    and result, TOOL_CHARS each of the last two. A session without such a part has its content_text from `fallback` (session_id, content_text), else an
+    empty text. messages have session_id, msg_index, role, content, tool_name and tool_input. The text of a session is one value.
+    """
+    stripped = lambda c, where: F.regexp_replace(c, where, "")
+    content, both, left = F.coalesce("content", F.lit("")), "(?U)^\\s+|\\s+$", "(?U)^\\s+"
+    blank = stripped(content, both) == ""
+    given = F.coalesce("tool_input", F.lit(""))
+    tool = F.array("tool_name", F.when(stripped(given, both) != "", F.substring(given, 1, TOOL_CHARS)), F.substring(stripped(content, both), 1, TOOL_CHARS))
+    thought = F.when(F.startswith(content, F.lit(THINKING)), F.substring(stripped(F.substring(content, len(THINKING) + 1, 1 << 30), left), 1, THINKING_CHARS))
+    part = (
+        F.when(F.col("role").isin("user", "assistant"), F.when(~blank, content)).when(F.col("role") == "system", thought)
+        .when(F.col("role") == "tool", F.array_join(F.filter(tool, lambda x: x != ""), "\n"))
+    )
+    ordered = F.sort_array(F.collect_list(F.when(F.length(part) > 0, F.struct("msg_index", part.alias("part")))))
+    made = messages.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n").alias("text"))
+    if fallback is None:
+        return made
+    own = fallback.select(F.col("session_id").alias("_of"), "content_text")
+    return made.join(own, F.col("session_id") == F.col("_of"), "left").select("session_id", F.when(F.col("text") == "", F.coalesce("content_text", F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
 def ascii_fold(column) -> Column:
     return F.translate(column, UPPER, LOWER)
 

@@ -86,10 +86,18 @@ def srch_10_candidates(spark, sf):
     return search.candidates(search.trigram_postings(docs(spark, sf)), Q)
 
 
-@query("srch_1_indexable_text", f"WITH {T.event_messages_sql()} SELECT session_id, string_agg(CASE WHEN role = 'tool' THEN concat(tool_name, chr(10), substr(content, 1, 300)) ELSE content END, chr(10) ORDER BY msg_index) AS text FROM messages WHERE role <> 'system' GROUP BY 1")
+_SAID = (
+    "session_id", "msg_index", "CASE WHEN session_id % 10 = 3 THEN 'system' ELSE role END AS role", "tool_name", """CASE WHEN role = 'tool' THEN repeat(concat('{"k":', msg_index, '} '), CAST(msg_index % 60 AS INT)) END AS tool_input""",
+    """CASE WHEN session_id % 10 = 3 THEN content WHEN role = 'system' AND msg_index % 2 = 0 THEN concat('[thinking]  ', repeat(content, 90)) WHEN msg_index % 4 = 0 THEN '  '
+      WHEN msg_index % 4 = 1 THEN repeat(concat(' ', content), 40) ELSE content END AS content""",
+)
+
+
+@query("srch_1_indexable_text", f"""WITH {T.event_messages_sql()}, said AS (SELECT {", ".join(_SAID)} FROM messages), p AS (SELECT session_id, msg_index, CASE role
+    WHEN 'tool' THEN array_to_string(list_filter([tool_name, CASE WHEN trim(tool_input) <> '' THEN substr(tool_input, 1, 300) END, substr(trim(content), 1, 300)], lambda x: x <> ''), chr(10))
+    WHEN 'system' THEN CASE WHEN starts_with(content, '[thinking]') THEN substr(ltrim(substr(content, 11)), 1, 1000) END ELSE CASE WHEN trim(content) <> '' THEN content END END AS part FROM said)
+  SELECT session_id, coalesce(string_agg(part, chr(10) ORDER BY msg_index) FILTER (part <> ''), concat('session ', session_id)) AS text FROM p GROUP BY 1""")
 def srch_1(spark, sf):
-    """User and assistant texts whole, tool names with 300 characters of what they got, in order. A session's text is one value."""
-    rows = T.event_messages(spark, sf).where("role <> 'system'")
-    part = F.when(F.col("role") == "tool", F.concat_ws("\n", "tool_name", F.substring("content", 1, 300))).otherwise(F.col("content"))
-    ordered = F.sort_array(F.collect_list(F.struct("msg_index", part.alias("part"))))
-    return rows.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n").alias("text"))
+    """Whole dialogue, with thinking, tools and sessions that have none of it."""
+    said = T.event_messages(spark, sf).selectExpr(*_SAID)
+    return search.indexable_text(said, said.select("session_id").distinct().withColumn("content_text", F.concat(F.lit("session "), "session_id")))

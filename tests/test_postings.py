@@ -88,3 +88,15 @@ def test_blocks_of_a_frequent_trigram(spark):
     blocks = postings.blocks_of(rows, 100).collect()
     assert all(len(b.ids) <= 100 and b.ids == sorted(b.ids) and (b.first_id, b.last_id) == (b.ids[0], b.ids[-1]) for b in blocks)
     assert sorted(i for b in blocks for i in b.ids) == list(range(5000))
+
+
+def test_indexable_text(spark):
+    schema = "session_id long, msg_index long, role string, content string, tool_name string, tool_input string"
+    rows = [
+        (1, 2, "assistant", " kept as it is\n", None, None), (1, 1, "user", "first", None, None), (1, 3, "user", " \n", None, None), (1, 4, "system", "[thinking]  " + "é" * 1200, None, None),
+        (1, 5, "system", "not searched", None, None), (1, 6, "tool", " \n" + "o" * 400 + " ", "Bash", "i" * 301), (1, 7, "tool", None, None, " "), (1, 8, "tool", "out", "", None), (1, 9, "system", "[thinking]  ", None, None), (1, 10, "other", "x", None, None),
+        (2, 1, "assistant", None, None, None), (3, 1, "system", "y", None, None),
+    ]
+    got = {r.session_id: r.text for r in search.indexable_text(spark.createDataFrame(rows, schema), spark.createDataFrame([(2, "from the provider"), (1, "not this")], "session_id long, content_text string")).collect()}
+    assert got == {1: "\n".join(["first", " kept as it is\n", "é" * 1000, "Bash", "i" * 300, "o" * 300, "out"]), 2: "from the provider", 3: ""}
+    assert {r.session_id for r in search.indexable_text(spark.createDataFrame(rows, schema)).where("text = ''").collect()} == {2, 3}
