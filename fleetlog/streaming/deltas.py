@@ -29,22 +29,24 @@ class Deltas(StatefulProcessor):
         self.seen = handle.getValueState("seen", "ms long, " + ", ".join(f"{c} long" for c in self.counters))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        held = list(self.held.get()) if self.held.exists() else []
+        # Each look at the state is a message to the JVM, so nothing is asked for twice.
+        held = list(self.held.get())
+        stored = bool(held)
         for frame in rows:
             us = frame["ts"].astype("datetime64[us]").astype("int64")
             columns = [frame["seq"], us // 1000, us, *(frame[f"{kind}_{c}"] for c in self.counters for kind in ("total", "last"))]
             held += [tuple(None if x is None or x != x else int(x) for x in row) for row in zip(*(c.to_list() for c in columns))]
-        yield from self._given_out(key, held, timerValues.getCurrentWatermarkInMs())
+        yield from self._given_out(key, held, stored, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = list(self.held.get()) if self.held.exists() else []
+        held = list(self.held.get())
         if held:
-            yield from self._given_out(key, held, mark)
-        elif self.seen.exists() and self.seen.get()[0] + self.wait <= mark:
+            yield from self._given_out(key, held, True, mark)
+        elif (seen := self.seen.get()) is not None and seen[0] + self.wait <= mark:
             self.seen.clear()
 
-    def _given_out(self, key, held: list[tuple], mark: int) -> Iterator:
+    def _given_out(self, key, held: list[tuple], stored: bool, mark: int) -> Iterator:
         import pandas as pd
 
         held.sort(key=lambda row: (row[0], row[2]))
@@ -52,7 +54,7 @@ class Deltas(StatefulProcessor):
         while ready < len(held) and held[ready][1] <= mark:
             ready += 1
         if ready:
-            last, *totals = self.seen.get() if self.seen.exists() else (0, *[0] * len(self.counters))
+            last, *totals = self.seen.get() or (0, *[0] * len(self.counters))
             made = []
             for seq, ms, us, *values in held[:ready]:
                 own = []
@@ -66,7 +68,7 @@ class Deltas(StatefulProcessor):
         rest = held[ready:]
         if rest:
             self.held.put(rest)
-        elif self.held.exists():
+        elif stored:
             self.held.clear()
         # A timer goes off when the watermark is past it.
         self.handle.registerTimer(rest[0][1] - 1 if rest else last + self.wait)
