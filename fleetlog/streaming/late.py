@@ -21,7 +21,7 @@ def split_batch(batch: DataFrame, number: int, folder: str, closes: Column, late
     """
     spark = batch.sparkSession
     before = f"{folder}/counts/batch={number - 1}"
-    newest = spark.read.parquet(before).first().newest if number and exists(spark, before) else None
+    newest = spark.read.schema("rows long, late long, newest timestamp").parquet(before).first().newest if number and exists(spark, before) else None
     mark = F.lit(newest) - F.expr(f"interval {late}") if newest is not None else F.lit(None).cast("timestamp")
     seen = Observation()
     told = batch.withColumn("late", F.coalesce(closes <= mark, F.lit(False)))
