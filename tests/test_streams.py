@@ -44,6 +44,30 @@ def test_deltas_of_rows_out_of_order(spark, tmp_path):
     assert sorted(r for r in made if r[0] >= 0) == sorted(tuple(r) for r in want.collect())
 
 
+def test_deltas_of_many_sessions_in_few_groups(spark, tmp_path):
+    schema = "session_id long, seq long, ts timestamp, total_input_tokens long, last_input_tokens long"
+    big = 1 << 60
+    rows = [(s, q, minutes(q), big + s + q, None) for s in range(3000) for q in (1, 2)]
+    # Totals no float can hold beside missing ones, a pause of over a day, and rows without a session.
+    rows += [(5000, 1, minutes(1), big + 1, None), (5000, 2, minutes(2), None, None), (5000, 3, minutes(3), big + 2, None), (5000, 4, minutes(3000), big + 9, None), (None, 1, minutes(1), 7, None), (None, 2, minutes(2), 9, None)]
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        kept = []
+        for part in (rows[::2], rows[1::2], [(-1, 0, minutes(100_000), 0, None)]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            out = deltas.stream_delta(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), late="4000 minutes", groups=4)
+            query = out.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            query.awaitTermination(300)
+            kept.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    made = {(r.session_id, r.seq): r.input_tokens for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(s, q): big + s + 1 if q == 1 else 1 for s in range(3000) for q in (1, 2)}
+    want |= {(5000, 1): big + 1, (5000, 2): 0, (5000, 3): 1, (5000, 4): big + 9, (None, 1): 7, (None, 2): 2}
+    assert {k: v for k, v in made.items() if k[0] != -1} == want
+    assert max(kept) < 100
+
+
 def test_late_rows_are_counted_where_they_enter(spark, tmp_path):
     schema = "session_id long, ts timestamp, model string"
     waves = [[(1, minutes(600), "m")], [(1, minutes(5), "m")] * 100 + [(2, minutes(590), "m"), (3, None, "m")], [(1, minutes(549), "m"), (1, minutes(552), "m"), (4, minutes(900), "m")]]
