@@ -55,9 +55,12 @@ def invalid_counts(events: DataFrame) -> DataFrame:
 
 
 def priced(events: DataFrame, prices: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """Adds cost: the wire's, else estimated. Prices are looked up once for each distinct model, of `models` if it is given: a frame with at least the events' models that is cheaper to read."""
+    """Adds cost: the wire's, else estimated. Prices are looked up once for each distinct model, of `models` if it is given: a frame with at least the events' models that is cheaper to read.
+
+    The prices are broadcast, a row for each model that has one: dealt by model, all events of a model would meet in one task.
+    """
     known = pricing.lookup(events if models is None else models, prices)
-    return events.join(known, "model", "left").withColumn("cost", pricing.resolve_cost()).drop(*[c for c in known.columns if c != "model"])
+    return events.join(F.broadcast(known), "model", "left").withColumn("cost", pricing.resolve_cost()).drop(*[c for c in known.columns if c != "model"])
 
 
 def sum_stats(events: DataFrame) -> DataFrame:

@@ -406,7 +406,7 @@ def pr_6(spark, sf):
         (F.sum("l_quantity") * 4000).cast("bigint").alias("input_tokens"), (F.sum("l_partkey") * 100).alias("output_tokens"), F.sum("l_suppkey").alias("cache_read_tokens"), F.count("*").alias("cache_write_tokens"))
     known = pricing.lookup(used, T.prices(spark))
     cost = F.when(F.col("input").isNull(), 0.0).otherwise(pricing.estimate_cost())
-    return used.join(known, "model", "left").select("session_id", "model", F.round(cost + 1e-9, 4).alias("cost"))
+    return used.join(F.broadcast(known), "model", "left").select("session_id", "model", F.round(cost + 1e-9, 4).alias("cost"))
 
 
 @query("pr_7_resolve_cost", f"WITH {T.PRICES_SQL}, {T.EVENTS_SQL}, {DEDUP_SQL}, {VALID_SQL}, {COST_SQL} SELECT session_id, seq, round(cost + 1e-10, 6) AS cost FROM priced")

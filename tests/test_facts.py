@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlog.operators import usage
 from fleetlog.registry import usage as U
+from fleetlog.sources import tables
 from fleetlog.sources.facts import FactTable
 
 DAY = 86400
@@ -64,3 +66,14 @@ def test_facts_follow_their_input(spark, sf, tmp_path):
     whole = U.facts(spark, folder).agg(F.sum("turn_count")).first()[0]
     spark.createDataFrame(line.limit(100).collect(), line.schema).write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
     assert U.facts(spark, folder).agg(F.sum("turn_count")).first()[0] < whole
+
+
+def test_events_of_one_model_do_not_meet_in_one_task(spark):
+    events = spark.range(0, 4000, 1, 8).selectExpr("id as session_id", "'no' as model", "id as input_tokens", "0L as output_tokens", "0L as cache_read_tokens", "0L as cache_write_tokens", "cast(null as double) as cost_usd")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        priced = usage.priced(events, tables.prices(spark)).groupBy(F.spark_partition_id().alias("at")).agg(F.count("*").alias("n"), F.sum("cost").alias("cost")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(priced) == 8 and max(r.n for r in priced) == 500 and abs(sum(r.cost for r in priced) - 4e-6 * sum(range(4000))) < 1e-6
