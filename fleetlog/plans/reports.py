@@ -43,8 +43,10 @@ def usage_base(stats: DataFrame, sessions: DataFrame, folding: str = FOLDING) ->
     """Facts with their sessions, without the child sessions of the folding provider whose parent has facts itself."""
     joined = with_sessions(stats, sessions)
     parents = stats.select(F.col("session_id").alias("_parent")).distinct()
-    folded = (F.col("provider") == folding) & F.col("is_sidechain") & (F.col("parent_id") == F.col("_parent"))
-    return joined.join(parents, folded, "left_anti")
+    child = F.coalesce((F.col("provider") == folding) & F.col("is_sidechain") & F.col("parent_id").isNotNull(), F.lit(False))
+    # Other rows are dealt by their own session, as rows without a parent would all meet in one task.
+    keyed = joined.withColumn("_child", child).withColumn("_key", F.when(F.col("_child"), F.col("parent_id")).otherwise(F.col("session_id")))
+    return keyed.join(parents, (F.col("_key") == F.col("_parent")) & F.col("_child"), "left_anti").drop("_child", "_key")
 
 
 def session_count(base: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlog.operators import usage
+from fleetlog.plans import reports
 from fleetlog.registry import usage as U
 from fleetlog.sources import tables
 from fleetlog.sources.facts import FactTable
@@ -77,3 +78,21 @@ def test_events_of_one_model_do_not_meet_in_one_task(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert len(priced) == 8 and max(r.n for r in priced) == 500 and abs(sum(r.cost for r in priced) - 4e-6 * sum(range(4000))) < 1e-6
+
+
+def test_facts_without_a_parent_do_not_meet_in_one_task(spark):
+    stats = spark.range(0, 4000, 1, 8).selectExpr("id as session_id", "'m' as model")
+    sessions = spark.range(4000).selectExpr("id", "if(id % 3 = 0, 'high', if(id % 3 = 1, 'low', null)) as provider", "if(id % 4 = 0, null, id % 4 = 1) as is_sidechain", "if(id % 5 = 0, id + 3000, null) as parent_id", "'m' as model")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = reports.usage_base(stats, sessions).select("session_id", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    gone = {i for i in range(1000) if i % 3 == 0 and i % 4 == 1 and i % 5 == 0}
+    assert {r.session_id for r in rows} == set(range(4000)) - gone
+    sizes = [sum(r.at == k for r in rows) for k in {r.at for r in rows}]
+    assert len(sizes) == 8 and max(sizes) < 800
