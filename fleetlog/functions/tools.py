@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,12 +106,31 @@ def has(json: str, name: str) -> Column:
     return F.get_json_object(json, f"$.{name}").isNotNull()
 
 
-def tool_status(json: str, is_error: str, status: str) -> Column:
-    own = lambda n: F.get_json_object(json, f"$.{n}")
-    return (
-        F.when(F.coalesce(F.col(is_error), F.lit(False)), "error").when(F.col(status).isNotNull(), F.col(status)).when(own("status").isNotNull(), own("status"))
-        .when(own("interrupted") == "true", "interrupted").when(own("success") == "true", "success").when(own("success") == "false", "error").otherwise("success")
-    )
+def fields_of(json: str) -> Column:
+    """The top-level fields of a JSON object as a map of texts, by the rules of get_json_object; null for other texts. A text is parsed once, where each get_json_object parses it anew."""
+    parsed = F.from_json(json, "map<string,string>", {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false"})
+    # A name that is there twice has the first value that isn't null.
+    return F.map_filter(parsed, lambda _, value: value.isNotNull())
+
+
+def _over_fields(json: str, fields: str | None, made: Callable[[Column], Column]) -> Column:
+    """made(map of the fields): of the column that has it, else of the text, parsed once."""
+    return made(F.col(fields)) if fields is not None else F.transform(F.array(fields_of(json)), made)[0]
+
+
+def _there(fields: Column, json: str, name: str) -> Column:
+    """Whether a field, or one inside a field, isn't null; only a text whose outer field is there is searched for an inner one."""
+    outer, _, inner = name.partition(".")
+    found = fields[outer].isNotNull()
+    return found & has(json, name) if inner else found
+
+
+def tool_status(json: str, is_error: str, status: str, fields: str | None = None) -> Column:
+    """How a call ended. `fields` names a column with fields_of() the text, if there is one."""
+    return _over_fields(json, fields, lambda own: (
+        F.when(F.coalesce(F.col(is_error), F.lit(False)), "error").when(F.col(status).isNotNull(), F.col(status)).when(own["status"].isNotNull(), own["status"])
+        .when(own["interrupted"] == "true", "interrupted").when(own["success"] == "true", "success").when(own["success"] == "false", "error").otherwise("success")
+    ))
 
 
 # Fields of a result that tell its kind, and tools whose results are of one kind. Earlier rules come first.
@@ -128,21 +151,24 @@ RESULT_TOOLS = {
 }
 
 
-def tool_result_kind(canonical: str, category: str, json: str) -> Column:
-    """The kind of a result: a server tool's and an image's by the tool alone; else, if there is a result, by the first rule on its fields, then by the tool."""
+def tool_result_kind(canonical: str, category: str, json: str, fields: str | None = None) -> Column:
+    """The kind of a result: a server tool's and an image's by the tool alone; else, if there is a result, by the first rule on its fields, then by the tool. `fields` as in tool_status()."""
     tool = F.col(canonical)
-    both = lambda a, b: has(json, a) & has(json, b)
-    # What counts beside the fields of a kind.
-    also = {
-        "file_patch": both("oldString", "newString") | both("old_string", "new_string") | ((tool == "Edit") & (has(json, "output") | has(json, "message"))),
-        "terminal_output": (tool == "Bash") & has(json, "output"),
-    }
-    rules = [(F.col(category) == "mcp", "mcp"), (tool == "ImageGeneration", "image"), (F.col(json).isNull(), None)]
-    rules += [(F.coalesce(F.array_contains(F.array(*[has(json, n) for n in names]), True) | also.get(kind, F.lit(False)), F.lit(False)), kind) for kind, names in RESULT_FIELDS.items()]
-    rules += [(tool.isin(names), kind) for kind, names in RESULT_TOOLS.items()]
-    # Of the rules that hold, the first.
-    matching = F.filter(F.array(*[F.when(holds, F.struct(F.lit(True).alias("met"), F.lit(kind).cast("string").alias("kind"))) for holds, kind in rules]), lambda r: r.isNotNull())
-    return F.get(matching, F.lit(0))["kind"]
+
+    def kind_of(own: Column) -> Column:
+        there = lambda n: _there(own, json, n)
+        # What counts beside the fields of a kind.
+        also = {
+            "file_patch": [there("oldString") & there("newString"), there("old_string") & there("new_string"), (tool == "Edit") & (there("output") | there("message"))],
+            "terminal_output": [(tool == "Bash") & there("output")],
+        }
+        rules = [(F.col(category) == "mcp", "mcp"), (tool == "ImageGeneration", "image"), (F.col(json).isNull(), None)]
+        rules += [(reduce(or_, [*map(there, names), *also.get(kind, [])]), kind) for kind, names in RESULT_FIELDS.items()]
+        rules += [(tool.isin(names), kind) for kind, names in RESULT_TOOLS.items()]
+        # Of the rules that hold, the first; those after it are not worked out.
+        return reduce(lambda earlier, rule: earlier.when(rule[0], F.lit(rule[1]).cast("string")), rules, F)
+
+    return _over_fields(json, fields, kind_of)
 
 
 def structured_ids(json: str) -> Column:
@@ -150,13 +176,16 @@ def structured_ids(json: str) -> Column:
     return F.struct(field(json, "agentId", "agent_id", "teammate_id", "new_thread_id", "sub_session_id").alias("agentId"), field(json, "taskId", "task_id").alias("taskId"), field(json, "persistedOutputPath", "outputPath", "metadata.outputPath").alias("persistedOutputPath"))
 
 
-def orphan_tool_name(json: str, call_id: str) -> Column:
-    """The tool of a result without a call, by its fields; else the call's id."""
-    h = lambda n: has(json, n)
-    return (
-        F.when(h("commandName") & h("allowedTools"), "SlashCommand").when(h("oldString") & h("newString"), "Edit").when(h("stdout") | h("stderr"), "Bash").when(h("matches") & h("total_deferred_tools"), "ToolSearch")
-        .when(h("taskId") & h("updatedFields"), "TaskUpdate").when(h("task"), "TaskCreate").when(h("agentId"), "Agent").when(h("url") & h("durationMs"), "WebFetch").when(h("filePath"), "Write").otherwise(F.coalesce(F.col(call_id), F.lit("UnknownToolResult")))
-    )
+def orphan_tool_name(json: str, call_id: str, fields: str | None = None) -> Column:
+    """The tool of a result without a call, by its fields; else the call's id. `fields` as in tool_status()."""
+    def name_of(own: Column) -> Column:
+        h = lambda n: _there(own, json, n)
+        return (
+            F.when(h("commandName") & h("allowedTools"), "SlashCommand").when(h("oldString") & h("newString"), "Edit").when(h("stdout") | h("stderr"), "Bash").when(h("matches") & h("total_deferred_tools"), "ToolSearch")
+            .when(h("taskId") & h("updatedFields"), "TaskUpdate").when(h("task"), "TaskCreate").when(h("agentId"), "Agent").when(h("url") & h("durationMs"), "WebFetch").when(h("filePath"), "Write").otherwise(F.coalesce(F.col(call_id), F.lit("UnknownToolResult")))
+        )
+
+    return _over_fields(json, fields, name_of)
 
 
 def usage_fields(json: str, paths: dict[str, list[str]]) -> Column:

@@ -141,8 +141,8 @@ RESULTS = """case l_partkey % 9 when 0 then '{"stdout":"x"}' when 1 then '{"oldS
 
 @query("exp_22_23_37_results", """SELECT l_orderkey, l_linenumber, l_partkey, r.s AS status, CASE WHEN l_suppkey % 10 = 0 THEN 'error' ELSE r.s END AS real_status, r.kind, r.name FROM lineitem JOIN (VALUES (0, 'success', 'terminal_output', 'Bash'), (1, 'success', 'file_patch', 'Edit'), (2, 'done', 'agent_summary', 'Agent'), (3, 'success', 'task_status', 'TaskCreate'), (4, 'success', 'persisted_output', 'id'), (5, 'interrupted', 'web_result', 'id'), (6, 'error', 'web_result', 'id'), (7, 'success', 'web_result', 'WebFetch'), (8, 'success', NULL, 'id')) r(k, s, kind, name) ON l_partkey % 9 = k""")
 def exp_22(spark, sf):
-    rows = T.read(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{RESULTS} as result", "l_suppkey % 10 = 0 as is_error", "cast(null as string) as given", "'WebFetch' as canonical", "'web' as category", "'id' as call_id", "false as fine")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", tools.tool_status("result", "fine", "given").alias("status"), tools.tool_status("result", "is_error", "given").alias("real_status"), tools.tool_result_kind("canonical", "category", "result").alias("kind"), tools.orphan_tool_name("result", "call_id").alias("name"))
+    rows = T.read(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{RESULTS} as result", "l_suppkey % 10 = 0 as is_error", "cast(null as string) as given", "'WebFetch' as canonical", "'web' as category", "'id' as call_id", "false as fine").withColumn("fields", tools.fields_of("result"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", tools.tool_status("result", "fine", "given", "fields").alias("status"), tools.tool_status("result", "is_error", "given", "fields").alias("real_status"), tools.tool_result_kind("canonical", "category", "result", "fields").alias("kind"), tools.orphan_tool_name("result", "call_id", "fields").alias("name"))
 
 
 @query("exp_24_structured_ids", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS agent, CASE WHEN l_partkey % 3 = 2 THEN CAST(l_suppkey AS VARCHAR) END AS task FROM lineitem")

@@ -96,3 +96,20 @@ def test_result_kinds_by_precedence(spark):
     frame = spark.createDataFrame(rows, "canonical string, category string, result string, want string")
     got = frame.select("want", tools.tool_result_kind("canonical", "category", "result").alias("kind")).collect()
     assert [r.kind for r in got] == [r.want for r in got]
+
+
+def test_results_are_parsed_once(spark, sf):
+    plan = registry.QUERIES["exp_22_23_37_results"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("get_json_object") < 15
+
+
+def test_fields_follow_get_json_object(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlog.functions import tools
+
+    texts = [None, "", "x", "{}", "[]", '[{"a":1}]', '{"a":1', '{"a":1} x', '{"a":null,"a":2}', '{"a":1,"a":2}', '{"a":1.0}', '{"a":1e3}', '{"a":{"b": 1}}', '{"a":[1, 2]}', "{'a':'q'}", '{"a":"x\ny"}', '{"a":NaN}', '{"a":"\\u00e9"}', '{"a":true}', '{"a":"",}', '"a"', "null", '{"b":{"a":1}}', '{a:1}']
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.get_json_object("t", "$.a").alias("want"), tools.fields_of("t")["a"].alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == []
+    nested = spark.createDataFrame([('{"metadata":{"outputPath":1}}',), ('{"metadata":"{\\"outputPath\\":1}"}',), ('{"metadata":{"outputPath":null}}',)], "r string").selectExpr("r", "'Z' as c")
+    assert [r[0] for r in nested.select(tools.tool_result_kind("c", "c", "r")).collect()] == ["persisted_output", None, None]
