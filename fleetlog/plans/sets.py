@@ -1,8 +1,8 @@
 """Exact sets of sessions by day, that can be put together for any range of days.
 
 Sessions get dense numbers in the order of their first bucket, so the sessions of a day lie close together. A day's
-sessions are bitmaps of 32,768 numbers each; the sessions of a range are the OR of its days' bitmaps, and
-their number is exact, without reading facts.
+sessions are bitmaps of 32,768 numbers each, of which only the 64-bit words that have a session are kept; the sessions
+of a range are the OR of its days' words, and their number is exact, without reading facts.
 """
 
 from __future__ import annotations
@@ -31,10 +31,16 @@ def session_numbers(facts: DataFrame) -> DataFrame:
 
 
 def day_sets(base: DataFrame, numbers: DataFrame, tz: str, by: tuple[str, ...] = ("provider",)) -> DataFrame:
-    """(date, *by, chunk, sessions): the sessions with facts on each local day as bitmaps, one for each chunk of numbers that the day has."""
+    """(date, *by, chunk, sessions): the sessions with facts on each local day as bitmaps, one for each chunk of numbers that the day has, as the words (word, bits) that aren't 0.
+
+    A chunk has 512 words; a day with few sessions of it has few, where a whole bitmap would take 4 KB in each sort.
+    """
     seen = base.withColumn("date", civil_date("bucket", tz)).where("date is not null").select("session_id", "date", *by).distinct().join(numbers, "session_id")
     chunk, at = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
-    return seen.groupBy("date", *by, chunk.alias("chunk")).agg(F.bitmap_construct_agg(at).alias("sessions"))
+    # Dealt by chunk before, so that both sums are made where the rows are.
+    placed = seen.select("date", *by, chunk.alias("chunk"), F.floor(at / 64).cast("short").alias("word"), F.expr("shiftleft(1L, cast(bitmap_bit_position(number) % 64 as int))").alias("bits")).repartition("date", *by, "chunk")
+    words = placed.groupBy("date", *by, "chunk", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy("date", *by, "chunk").agg(F.collect_list(F.struct("word", "bits")).alias("sessions"))
 
 
 def day_sums(base: DataFrame, tz: str, by: tuple[str, ...] = ("provider",)) -> DataFrame:
@@ -44,8 +50,9 @@ def day_sums(base: DataFrame, tz: str, by: tuple[str, ...] = ("provider",)) -> D
 
 def sessions_of(sets: DataFrame, *by: str) -> DataFrame:
     """(*by, sessions): distinct sessions of all rows of each group of sets, over whatever days and groups they have."""
-    chunks = sets.groupBy(*by, "chunk").agg(F.bitmap_or_agg("sessions").alias("sessions"))
-    return chunks.groupBy(*by).agg(F.sum(F.bitmap_count("sessions")).alias("sessions"))
+    # Dealt as they are, by chunk: the words of a chunk are put together in one place, with 8 bytes for each.
+    words = sets.repartition(*by, "chunk").select(*by, "chunk", F.inline("sessions")).groupBy(*by, "chunk", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy(*by).agg(F.sum(F.bit_count("bits")).cast("long").alias("sessions"))
 
 
 def over_ranges(sets: DataFrame, sums: DataFrame, ranges: DataFrame, *by: str) -> DataFrame:

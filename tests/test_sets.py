@@ -39,3 +39,15 @@ def test_any_range_is_exact(spark, base):
         want = dated.where(F.col("date").between(first, last)).groupBy("provider").agg(F.count_distinct("session_id").alias("sessions"), F.sum("turn_count").alias("turn_count"))
         assert sorted(map(tuple, got.where(F.col("name") == name).select("provider", "sessions", "turn_count").collect())) == sorted(map(tuple, want.collect()))
     assert sets.sessions_of(days).first().sessions == 40_000
+
+
+def test_a_day_keeps_the_words_that_it_has(spark):
+    base = spark.range(40_000).selectExpr("id as session_id", "id % 50 * 86400 as bucket", "'p' as provider")
+    numbers = spark.range(40_000).selectExpr("id as session_id", "id + 1 as number")
+    days = sets.day_sets(base, numbers, "UTC")
+    # 800 sessions a day far from each other, 8 bytes and a place each; a whole bitmap of the first chunk has 4,096 bytes.
+    assert days.agg(F.max(F.size("sessions"))).first()[0] <= 656 and days.select(F.inline("sessions")).agg(F.sum(F.bit_count("bits"))).first()[0] == 40_000
+    every = spark.range(64).selectExpr("id as session_id", "0L as bucket", "'p' as provider")
+    assert sets.day_sets(every, numbers, "UTC").select(F.inline("sessions")).collect() == [(0, -1)] and sets.sessions_of(sets.day_sets(every, numbers, "UTC")).first().sessions == 64
+    # The sets are put together in a hash aggregate over longs; bitmaps of 4 KB were sorted.
+    assert "SortAggregate" not in sets.sessions_of(days, "provider")._jdf.queryExecution().executedPlan().toString()
