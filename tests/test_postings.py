@@ -100,3 +100,73 @@ def test_indexable_text(spark):
     got = {r.session_id: r.text for r in search.indexable_text(spark.createDataFrame(rows, schema), spark.createDataFrame([(2, "from the provider"), (1, "not this")], "session_id long, content_text string")).collect()}
     assert got == {1: "\n".join(["first", " kept as it is\n", "é" * 1000, "Bash", "i" * 300, "o" * 300, "out"]), 2: "from the provider", 3: ""}
     assert {r.session_id for r in search.indexable_text(spark.createDataFrame(rows, schema)).where("text = ''").collect()} == {2, 3}
+
+
+def listed(frame):
+    return sorted(((r.trigram, r.id, r.field) for r in frame.select("trigram", F.explode("ids").alias("id"), "field").collect()), key=repr)
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 64])
+def test_grouped_texts_are_the_postings(spark, docs, monkeypatch, chunk):
+    monkeypatch.setattr(postings, "CHUNK_BYTES", chunk)
+    odd = [
+        (1000, "aAaAaA", "", "ab"), (1000, "the same id", None, "x"), (None, "no id at all", "né\x00\U0001f600\U0001f601é", None), (-5, "ÀÉ[`@{Zz", "\U0001f600" * 3, "a b"),
+        (1001, "".join(map(chr, range(0x4E00, 0x4E00 + 20000))), "".join(map(chr, range(0xAC00, 0xD7A3))), "\r\n\t"),
+    ]
+    both = docs.unionByName(spark.createDataFrame(odd, SCHEMA)).coalesce(1)
+    blocks = postings.grouped_texts(both, block_ids=50)
+    expected = sorted(((r.trigram, r.id, r.field) for r in search.trigram_postings(both).collect()), key=repr)
+    assert listed(blocks) == expected == listed(postings.merged_blocks(blocks, 70))
+    for r in postings.merged_blocks(blocks.where("first_id is not null"), 70).collect():
+        assert len(r.ids) <= 70 and r.ids == sorted(r.ids) and (r.first_id, r.last_id) == (r.ids[0], r.ids[-1])
+    if chunk == 1 << 22:
+        assert blocks.count() < len(expected) / 2
+
+
+def test_many_letters_and_bad_bytes():
+    import pyarrow as pa
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts, ids = pa.array([every, "abcd", *["xyz"] * 20]), pa.array(range(22), pa.int64())
+    found = [(b.column("trigram").to_pylist(), b.column("ids").to_pylist()) for b in postings._grams(texts, ids, "t", 1024)]
+    pairs = {(g, i) for grams, lists in found for g, ii in zip(grams, lists) for i in ii}
+    low = search.fold_text(every)
+    assert pairs == {(low[i : i + 3], 0) for i in range(len(low) - 2)} | {("abc", 1), ("bcd", 1)} | {("xyz", i) for i in range(2, 22)}
+    broken = pa.StringArray.from_buffers(2, pa.py_buffer(b"\0\0\0\0\4\0\0\0\7\0\0\0"), pa.py_buffer(b"ab\xffcdef"))
+    found = [r for b in postings._grams(broken, pa.array([7, 8], pa.int64()), "t", 1024) for r in b.to_pylist()]
+    assert {(r["trigram"], *r["ids"]) for r in found} == {("ab�", 7), ("b�c", 7), ("def", 8)}
+
+
+def test_texts_are_gone_through_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    docs = spark.range(300).select("id", F.lit("a title").alias("title"), told(F.sha2(F.col("id").cast("string"), 256)).alias("content_text"), F.lit("p").alias("project_name"))
+    index = postings.PostingIndex(spark, str(tmp_path / "i"))
+    index.build(docs)
+    assert seen.value == 300
+    index.refresh(docs, spark.range(30))
+    assert seen.value <= 630
+
+
+def test_small_changes_leave_the_base(spark, docs, tmp_path, monkeypatch):
+    index = postings.PostingIndex(spark, str(tmp_path / "i"), most_layers=2)
+    index.build(docs)
+    for k in range(3):
+        index.refresh(docs.where("id <> 3"), spark.range(10 * k, 10 * k + 12))
+    assert [n for _, n in index._layers()] == ["base=1", "layer=2-4"]
+    now = sorted(map(tuple, search.trigram_postings(docs.where("id <> 3")).collect()))
+    assert sorted(map(tuple, index.postings().collect())) == now
+    index.refresh(docs.where("id <> 3"), spark.range(300))
+    assert [n for _, n in index._layers()] == ["base=5"]
+    assert sorted(map(tuple, index.postings().collect())) == now
+    # What a merge that broke off before it deleted anything leaves behind is not read.
+    monkeypatch.setattr(postings, "remove", lambda *_: None)
+    index.refresh(docs.where("id <> 4"), spark.range(5))
+    index.refresh(docs.where("id <> 5"), spark.range(4, 8))
+    assert {"layer=6", "layer=7"} < set(postings.children(spark, index.folder)) and [n for _, n in index._layers()] == ["base=5", "layer=6-7"]
+    assert sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, search.trigram_postings(docs.where("id <> 5")).collect()))
