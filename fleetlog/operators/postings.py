@@ -192,10 +192,6 @@ def blocks_of(postings: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame:
     return merged_blocks(grouped_postings(postings, block_ids), block_ids)
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def grams_of(q: str, most: int = MOST_GRAMS) -> list[str]:
     """Trigrams of a folded query, at most so many, evenly spread."""
     q = fold_text(q.strip())
@@ -246,7 +242,7 @@ class PostingIndex:
         """A layer of the documents in `changed` (id), as they are in `docs` now; one that isn't there any more is only taken out. Layers are merged when there are too many."""
         name = f"layer={max((k for k, _ in self._layers()), default=0) + 1}"
         ids = self._note(name, changed)
-        self._write(name, grouped_texts(docs.join(_few(ids), "id", "left_semi"), self.fields))
+        self._write(name, grouped_texts(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), self.fields))
         layers = self._layers()
         if len(layers) > self.most_layers:
             # So many as must be, and older ones while those together have half as many documents: what is written again stays in proportion to the changes.
@@ -266,18 +262,24 @@ class PostingIndex:
             raise ValueError(f"no index in {self.folder}")
         return out
 
-    def _postings(self, layers: list[tuple[int, str]]) -> DataFrame:
+    def _rows(self, layers: list[tuple[int, str]], whole, cleaned) -> DataFrame:
+        """The rows of some layers together: whole(blocks) of a layer of which no document is in a newer one, cleaned(postings) without those that are."""
         rows = None
         for i, (_, name) in enumerate(layers):
-            own = self.spark.read.schema(BLOCKS).parquet(f"{self.folder}/{name}/blocks").select("trigram", F.explode("ids").alias("id"), "field")
-            newer = [n for _, n in layers[i + 1 :]]
-            own = own.join(_few(self._changed(*newer)), "id", "left_anti").select("trigram", "id", "field") if newer else own
+            own, newer, n = self.spark.read.schema(BLOCKS).parquet(f"{self.folder}/{name}/blocks"), [n for _, n in layers[i + 1 :]], 0
+            if newer:
+                stale = self._changed(name).join(self._changed(*newer), "id", "left_semi")
+                n = stale.count()
+            if n:
+                own = cleaned(own.select("trigram", F.explode("ids").alias("id"), "field").join(F.broadcast(stale) if n <= BROADCAST_IDS else stale, "id", "left_anti").select("trigram", "id", "field"))
+            else:
+                own = whole(own)
             rows = own if rows is None else rows.unionByName(own)
         return rows
 
     def postings(self) -> DataFrame:
         """(trigram, id, field) as the documents are now: of each document the postings of the last layer that has it."""
-        return self._postings(self._layers())
+        return self._rows(self._layers(), lambda blocks: blocks.select("trigram", F.explode("ids").alias("id"), "field"), lambda rows: rows)
 
     def compact(self) -> None:
         """Merges all layers into one, then deletes them."""
@@ -291,7 +293,7 @@ class PostingIndex:
         first, last = old[0][1].split("=")[1].split("-")[0], old[-1][0]
         name = f"layer={first}-{last}" if k else f"base={last}"
         self._note(name, self._changed(*[n for _, n in old]))
-        self._write(name, grouped_postings(self._postings(old)))
+        self._write(name, self._rows(old, lambda blocks: blocks, grouped_postings))
         for _, n in old:
             remove(self.spark, f"{self.folder}/{n}")
 

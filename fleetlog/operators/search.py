@@ -51,7 +51,8 @@ def fold_text(text: str) -> str:
 
 
 def contains(column: str, q: str) -> Column:
-    return F.contains(ascii_fold(F.coalesce(column, F.lit(""))), F.lit(fold_text(q)))
+    """Whether the text has the query in it, ASCII letters in any case; Java's (?i) without (?u) folds just these, and no folded copy of the text is made."""
+    return F.rlike(F.coalesce(column, F.lit("")), F.lit("(?i)" + re.sub(r"([!-/:-@\[-`{-~])", r"\\\1", q)))
 
 
 def phrase_search(docs: DataFrame, q: str) -> DataFrame:

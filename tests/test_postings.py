@@ -170,3 +170,13 @@ def test_small_changes_leave_the_base(spark, docs, tmp_path, monkeypatch):
     index.refresh(docs.where("id <> 5"), spark.range(4, 8))
     assert {"layer=6", "layer=7"} < set(postings.children(spark, index.folder)) and [n for _, n in index._layers()] == ["base=5", "layer=6-7"]
     assert sorted(map(tuple, index.postings().collect())) == sorted(map(tuple, search.trigram_postings(docs.where("id <> 5")).collect()))
+
+
+def test_contains_folds_ascii_only_and_makes_no_folded_copy(spark):
+    texts = ["", "The AN", "K kelvin", "ſharp ß ẞ", "É é", "İ i ı", "a.b", "axb", "\\E \\Q", "[x]{2}(y)*+?^$|", "a_b %c", "line\nTwo\r\t", "\U0001f600x\U0001f601", "nul\x00X", "-#&~`'\"<>,;:=@!/"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id long, t string")
+    queries = [*texts, "the an", "k", "s", "SS", "É", "é", "i", "A.B", "\\e", "[X]", "(", "*", "_", "%C", "\ntwo", "\U0001f600X", "\x00x", "$", " ", "#", "-"]
+    found = docs.select("id", *[search.contains("t", q).alias(f"q{k}") for k, q in enumerate(queries)]).orderBy("id").collect()
+    for r, t in zip(found, [*texts, ""]):
+        assert [r[f"q{k}"] for k in range(len(queries))] == [search.fold_text(q) in search.fold_text(t) for q in queries], t
+    assert "translate" not in docs.where(search.contains("t", "x"))._jdf.queryExecution().toString().lower()
