@@ -246,6 +246,30 @@ def test_range_join(spark, monkeypatch):
     assert range_join.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_range_join_copies_no_vector_for_a_tile(spark):
+    rng = np.random.default_rng(8)
+    n, dim = 6000, 24
+    vectors = rng.normal(size=(n, dim))
+    for i in range(0, n, 3):  # a third lie beside an earlier one, many of them beside the first
+        vectors[i] = vectors[rng.integers(max(1, i)) if i % 2 else 0] + rng.normal(size=dim) * rng.choice([0, 0.05, 0.3])
+    vectors, labels = vectors.astype(np.float32), np.where(np.arange(n) % 10 == 1, 1, 0)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    component, before = np.arange(n), None
+    while before is None or (component != before).any():
+        before = component
+        component = np.minimum(before, np.where(near, before[None, :], n).min(1))
+    frame = spark.createDataFrame(list(zip(range(n), vectors.tolist(), labels.tolist())), "vec_id long, embedding array<float>, label int").repartition(4)
+    jvm = spark._jvm
+    held = lambda: {f.getName(): f.length() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    start = held()
+    got = range_join.near_vectors(frame, tile=64).collect()
+    assert sum(size for name, size in held().items() if name not in start) < 10 * vectors.nbytes
+    assert len(got) == n and near.sum() > 100_000
+    assert all((r.n_links, r.component_id, r.kept) == (near[r.vec_id].sum(), component[r.vec_id], component[r.vec_id] == r.vec_id) for r in got)
+
+
 def test_sharding(spark, docs):
     many = docs.select("doc_id", "text").unionByName(spark.range(5000, 9000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))).unionByName(spark.createDataFrame([(None, "n"), (None, None)] + [(None, "same")] * 300, "doc_id long, text string"))
     rows = sharding.shard(many, part_rows=100).collect()
