@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 
 from pyspark.sql import functions as F
@@ -372,8 +373,8 @@ def cat_8_postings(spark, sf):
     return _index(spark, sf, ("title", "project_name"))[0].postings()
 
 
-def streamed(spark, frame, job, mode="append", name="stream"):
-    """What a streaming job makes of the rows of a frame, which come as files of a folder."""
+def streamed(spark, frame, job, mode="append", name="stream", state=None):
+    """What a streaming job makes of the rows of a frame, which come as files of a folder. It is started under `state`, if that is given."""
     folder = kept.shared_folder(spark, name)
     frame.write.parquet(f"{folder}/in")
     made = job(spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in"))
@@ -381,7 +382,9 @@ def streamed(spark, frame, job, mode="append", name="stream"):
     def write(batch, number):
         batch.write.mode("overwrite").parquet(f"{folder}/out/{'all' if mode == 'complete' else number}")
 
-    made.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    with state or contextlib.nullcontext():
+        query = made.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(made.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
@@ -430,7 +433,8 @@ def st_1(spark, sf):
 
 @query("st_2_stream_dedup", f"{STREAM} SELECT session_id, h AS usage_hash, CASE WHEN h IS NULL THEN count(*) ELSE 1 END AS n FROM ev GROUP BY 1, 2")
 def st_2(spark, sf):
-    rows = streamed(spark, stream_events(spark, sf), lambda s: jobs.stream_dedup(s, LATE))
+    """Nothing leaves the state here, so it grows with the table and is kept on disk. Columns that the result hasn't are not written for the stream."""
+    rows = streamed(spark, stream_events(spark, sf).select("session_id", "ts", "usage_hash"), lambda s: jobs.stream_dedup(s, LATE), state=jobs.disk_state(spark))
     return rows.groupBy("session_id", "usage_hash").agg(F.count("*").alias("n"))
 
 

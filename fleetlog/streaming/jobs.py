@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.usage import COUNTERS
+from .deltas import STORE
+
+_STATE = "spark.sql.streaming.stateStore"
+#: State on disk, with the changes of each batch beside it, a bound for what is in memory, and no look at each key again just to count them.
+DISK_STATE = {f"{_STATE}.providerClass": STORE, **{f"{_STATE}.rocksdb.{k}": v for k, v in (("changelogCheckpointing.enabled", "true"), ("boundedMemoryUsage", "true"), ("allowFAllocate", "false"), ("trackTotalNumberOfRows", "false"))}}
+
+
+@contextmanager
+def disk_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB. The session's own store holds it in the heap, about 350 bytes for each hash of stream_dedup().
+
+    A stream keeps its number of state partitions: two for each core unless told otherwise, and no more than the session's shuffles have.
+    Each has files of its own in every batch, and none is held whole.
+    """
+    shuffles = "spark.sql.shuffle.partitions"
+    wanted = DISK_STATE | {shuffles: str(partitions or min(int(spark.conf.get(shuffles)), 2 * spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def file_stream(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
@@ -20,7 +47,7 @@ def stream_usage(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def stream_dedup(events: DataFrame, late: str = "1 hour", keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
-    """The first row of each hash under `keys` inside the watermark; rows without a hash all stay. The batch keeps the largest instead; a nightly batch puts that right."""
+    """The first row of each hash under `keys` inside the watermark; rows without a hash all stay. The batch keeps the largest instead; a nightly batch puts that right. State has every hash inside the watermark: where they don't fit the heap, start it under disk_state()."""
     timed = events.withWatermark("ts", late)
     return timed.where("usage_hash is not null").dropDuplicatesWithinWatermark([*keys, "usage_hash"]).unionByName(timed.where("usage_hash is null"))
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlog.operators import catalog, usage
+from fleetlog.registry import QUERIES, ingest
 from fleetlog.sources.kept import KeptTable, children, hash_part
-from fleetlog.streaming import deltas, late, merge
+from fleetlog.streaming import deltas, jobs, late, merge
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -68,6 +69,32 @@ def test_deltas_of_many_sessions_in_few_groups(spark, tmp_path):
     assert max(kept) < 100
 
 
+def test_dedup_with_its_state_on_disk(spark, tmp_path):
+    schema = "session_id long, ts timestamp, usage_hash string"
+    waves = [[(s, minutes(s), f"h{s % 7}" if s % 5 else None) for s in range(60)] for _ in range(2)] + [[(3, minutes(70), "h3"), (3, minutes(71), "new"), (0, minutes(72), None), (1, minutes(73), "h3")]]
+    wanted = [*jobs.DISK_STATE, "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(k, None) for k in wanted]
+    for wave in waves:
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = jobs.stream_dedup(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 day")
+        with jobs.disk_state(spark, 3):
+            query = out.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert [spark.conf.get(k, None) for k in wanted] == before
+        query.awaitTermination(300)
+        state = query.recentProgress[0]["stateOperators"][0]
+        assert state["numShufflePartitions"] == 3 and "rocksdbPutCount" in state["customMetrics"]
+    got = sorted((r.session_id, r.usage_hash or "") for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    rows = [(s, h) for wave in waves for s, _, h in wave]
+    assert got == sorted([(s, h) for s, h in set(rows) if h] + [(s, "") for s, h in rows if not h])
+
+
+def test_registered_dedup_holds_no_state_in_the_heap(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest.kept, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert QUERIES["st_2_stream_dedup"](spark, sf).count() > 1000
+    kinds = {p.suffix for p in (tmp_path / "stream/state/state/0").glob("*/*") if p.is_file() and not p.name.startswith(".")}
+    assert kinds & {".changelog", ".zip"} and ".delta" not in kinds
+
+
 def test_late_rows_are_counted_where_they_enter(spark, tmp_path):
     schema = "session_id long, ts timestamp, model string"
     waves = [[(1, minutes(600), "m")], [(1, minutes(5), "m")] * 100 + [(2, minutes(590), "m"), (3, None, "m")], [(1, minutes(549), "m"), (1, minutes(552), "m"), (4, minutes(900), "m")]]
